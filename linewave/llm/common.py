@@ -26,10 +26,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/linewave/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -39,9 +39,13 @@ def held_out(doc_id: Column | str) -> Column:
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("null")).cast("binary")), F.lit(4)) == 2
 
 
-def smallest_by_hash(df: DataFrame, doc_id: str, limit: int) -> DataFrame:
-    """The ``limit`` rows of smallest id hash: a bounded sample that reruns repeat."""
-    return df.orderBy(F.xxhash64(F.col(doc_id), F.lit(17)), F.col(doc_id)).limit(limit)
+def hash_sample(df: DataFrame, doc_id: str, about: int) -> DataFrame:
+    """About ``about`` rows of ``df`` (all, if it has no more), chosen by a hash of the id: reruns agree."""
+    n = df.count()
+    if n <= about:
+        return df
+    bound = -(-about * (1 << 31) // n)
+    return df.where(F.pmod(F.xxhash64(F.col(doc_id), F.lit(17)), F.lit(1 << 31)) < bound)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

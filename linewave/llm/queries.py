@@ -19,6 +19,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an Ogg bitstream, stored, read back, verified and summed up."""
+    from linewave.llm.media import media_digests, stored_media
+
+    return media_digests(stored_media(_documents(spark, sf_dir, "doc_id", "text")))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of documents on two-word shingles."""
     from linewave.llm.neardup import near_duplicates
@@ -26,6 +33,23 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir, "doc_id", "text"), k=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_near_duplicates)}
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of the sources takes from each document."""
+    from linewave.llm.mixing import mix_counts
+
+    docs = _documents(spark, sf_dir, "doc_id", "text", "source")
+    return mix_counts(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids, written as a token file and read back."""
+    import public_tokenizers
+
+    from linewave.llm.tokenfile import stored_tokens
+
+    return stored_tokens(_documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_media, op4_near_duplicates, op8_mixing, op10_token_file)}
 
 SQL: dict[str, str] = {}
