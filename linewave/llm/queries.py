@@ -19,6 +19,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test items found in documents, by exact containment of their five-word shingles."""
+    from linewave.llm.decontam import leaks
+
+    return leaks(_documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as an Ogg bitstream, stored, read back, verified and summed up."""
     from linewave.llm.media import media_digests, stored_media
@@ -33,6 +40,16 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir, "doc_id", "text"), k=2)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the documents outside the held-out quarter."""
+    import public_tokenizers
+
+    from linewave.llm.language import fit_languages, identify
+
+    docs = _documents(spark, sf_dir, "doc_id", "text", "lang")
+    return identify(docs, fit_languages(docs, public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of the sources takes from each document."""
     from linewave.llm.mixing import mix_counts
@@ -41,6 +58,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the labels outside the held-out quarter."""
+    from linewave.llm.quality import fit_quality, quality
+
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    return quality(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token ids, written as a token file and read back."""
     import public_tokenizers
@@ -50,6 +75,6 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_tokens(_documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_media, op4_near_duplicates, op8_mixing, op10_token_file)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_media, op4_near_duplicates, op5_language, op8_mixing, op9_quality, op10_token_file)}
 
 SQL: dict[str, str] = {}
