@@ -50,6 +50,20 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit_languages(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from linewave.llm.pages import extract_text
+
+    return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    from linewave.llm.pii import find_personal_data
+
+    return find_personal_data(_documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of the sources takes from each document."""
     from linewave.llm.mixing import mix_counts
@@ -75,6 +89,6 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_tokens(_documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_media, op4_near_duplicates, op5_language, op8_mixing, op9_quality, op10_token_file)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_media, op4_near_duplicates, op5_language, op6_main_text, op7_personal_data, op8_mixing, op9_quality, op10_token_file)}
 
 SQL: dict[str, str] = {}
