@@ -1,0 +1 @@
+"""Whole analyses, the registered queries and their SQL."""
