@@ -1,15 +1,13 @@
-"""Helpers shared by the operators: scratch tables on the shared folder, word and shingle hashes."""
+"""Helpers shared by the operators: held-out ids, samples, batch slices, word and shingle hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space that separates words: space and the bytes 9 to 13.
@@ -17,22 +15,6 @@ SPACES = b" \t\n\v\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; a local folder is taken only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="linewave-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/linewave/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: Column | str) -> Column:
     """True where crc32 of the id as text leaves 2 on division by 4; a null id counts as the text 'null'."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

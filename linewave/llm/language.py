@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewave.llm.common import _BASE, _INVERSE, _powers, held_out, slices, written
+from linewave.llm.common import _BASE, _INVERSE, _powers, held_out, slices
+from linewave.storage import written
 
 MARK = "▁"
 LONGEST = 30

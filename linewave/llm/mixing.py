@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linewave.llm.common import WORD, written
+from linewave.llm.common import WORD
+from linewave.storage import written
 
 WEIGHTS = (3, 1, 2)
 

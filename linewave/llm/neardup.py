@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewave.llm.common import mix64, shingle_sets, slices, written
-from linewave.llm.components import connected_components
+from linewave.llm.common import mix64, shingle_sets, slices
+from linewave.operators.components import connected_components
+from linewave.storage import written
 
 HASHES = 64
 TREES = 16

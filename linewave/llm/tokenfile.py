@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewave.llm.common import hash_sample, scratch_path, slices, written
+from linewave.llm.common import hash_sample, slices
+from linewave.storage import scratch_path, written
 
 #: A space next to other white space belongs to a longer pre-token: such texts go to the library whole.
 _WIDE = re.compile(r"\s \s|  |\s $|^ | $")
