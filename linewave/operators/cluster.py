@@ -23,17 +23,17 @@ def density_clusters(points: DataFrame, eps: float, least: int = 5, keys: list[s
     if eps <= 0 or least < 1:
         raise ValueError("eps must be positive and least at least 1")
     keys = GROUP if keys is None else keys
-    flat = points.select(*keys, "point_idx", "x", "y").withColumn("g", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    flat = points.select(*keys, "point_idx", "x", "y").withColumn("_lw_g", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
     flat = written(flat, "points")
     cell = lambda c: F.floor(F.col(c) / F.lit(float(eps))).cast("long")
-    places = flat.groupBy("g", "x", "y").agg(F.count("*").alias("n"), F.min("point_idx").alias("least_idx"))
+    places = flat.groupBy("_lw_g", "x", "y").agg(F.count("*").alias("n"), F.min("point_idx").alias("least_idx"))
     # A place is named by group and coordinates; a number would need an order over all of them.
-    places = written(places.withColumns({"cx": cell("x"), "cy": cell("y"), "place": F.concat_ws("|", F.format_string("%012d", "least_idx"), "g")}), "places")
+    places = written(places.withColumns({"cx": cell("x"), "cy": cell("y"), "place": F.concat_ws("|", F.format_string("%012d", "least_idx"), "_lw_g")}), "places")
     offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    seek = places.select("g", F.col("place").alias("a"), "x", "y", F.explode(offsets).alias("o"), "cx", "cy").select("g", "a", "x", "y", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
-    there = places.select("g", "cx", "cy", F.col("place").alias("b"), F.col("x").alias("u"), F.col("y").alias("w"), "n", F.col("least_idx").alias("b_idx"))
+    seek = places.select("_lw_g", F.col("place").alias("a"), "x", "y", F.explode(offsets).alias("o"), "cx", "cy").select("_lw_g", "a", "x", "y", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+    there = places.select("_lw_g", "cx", "cy", F.col("place").alias("b"), F.col("x").alias("u"), F.col("y").alias("w"), "n", F.col("least_idx").alias("b_idx"))
     d = (F.col("x") - F.col("u")) ** 2 + (F.col("y") - F.col("w")) ** 2
-    pairs = written(seek.join(there, ["g", "cx", "cy"]).where(d <= float(eps) ** 2).select("a", "b", "n", "b_idx"), "pairs")
+    pairs = written(seek.join(there, ["_lw_g", "cx", "cy"]).where(d <= float(eps) ** 2).select("a", "b", "n", "b_idx"), "pairs")
     core = written(pairs.groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("a"), "core")
     to_core = pairs.join(core.select(F.col("a").alias("b")), "b", "left_semi")
     linked = connected_components(to_core.join(core, "a", "left_semi").select("a", "b"))
@@ -41,10 +41,10 @@ def density_clusters(points: DataFrame, eps: float, least: int = 5, keys: list[s
     border = to_core.join(core, "a", "left_anti").groupBy("a").agg(F.min_by("b", "b_idx").alias("b")).join(named.select(F.col("a").alias("b"), "cluster"), "b").select("a", "cluster")
     member = named.unionByName(border)
     # The smallest core place leads its cluster, so cluster names sort by smallest core point_idx within a group.
-    order = named.join(places.select(F.col("place").alias("a"), "g"), "a").select("g", "cluster").distinct()
-    labels = order.select("cluster", (F.row_number().over(Window.partitionBy("g").orderBy("cluster")) - 1).alias("label"))
-    of_place = places.join(member, places.place == member.a, "left").join(labels, "cluster", "left").select("g", "x", "y", F.coalesce("label", F.lit(-1)).alias("label"))
-    return flat.join(of_place, ["g", "x", "y"]).select(*keys, "point_idx", "x", "y", "label")
+    order = named.join(places.select(F.col("place").alias("a"), "_lw_g"), "a").select("_lw_g", "cluster").distinct()
+    labels = order.select("cluster", (F.row_number().over(Window.partitionBy("_lw_g").orderBy("cluster")) - 1).alias("label"))
+    of_place = places.join(member, places.place == member.a, "left").join(labels, "cluster", "left").select("_lw_g", "x", "y", F.coalesce("label", F.lit(-1)).alias("label"))
+    return flat.join(of_place, ["_lw_g", "x", "y"]).select(*keys, "point_idx", "x", "y", "label")
 
 
 def cluster_counts(clusters: DataFrame, keys: list[str] | None = None) -> DataFrame:

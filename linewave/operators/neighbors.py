@@ -8,13 +8,15 @@ that a block holds some multiple of k points.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewave.operators.extrema import MATRIX
 from linewave.storage import written
 
 GROUP = [*MATRIX, "extreme_type"]
+#: A cell holds at most this many times k+1 points at first, unless they share one place.
+CROWD = 16
 _BOX = ["n", "x0", "x1", "y0", "y1"]
 
 
@@ -27,31 +29,47 @@ def nearest(points: DataFrame, k: int = 5, keys: list[str] | None = None) -> Dat
     if k < 0:
         raise ValueError("k must not be negative")
     keys = GROUP if keys is None else keys
-    spark = points.sparkSession
     flat = points.select(*keys, "point_idx", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
-    # One key column stands for the group: equal hashes of unlike groups are told apart by the keys themselves.
-    flat = written(flat.withColumn("g", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})), "points")
+    # One text column stands for the group, nulls included.
+    flat = written(flat.withColumn("_lw_g", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})), "points")
     out = flat.select(*keys, "point_idx", F.lit(1).alias("nbr_rank"), F.col("point_idx").alias("nbr_idx"), F.lit(0.0).alias("distance")).limit(0)
     if k == 0:
         return out
-    boxes = flat.groupBy("g").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).where("n > 1")
+    boxes = flat.groupBy("_lw_g").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).where("n > 1")
     area = (F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1)
     boxes = written(boxes.withColumn("side", F.greatest(F.lit(1), F.ceil(F.sqrt(area * (k + 1) / F.col("n"))).cast("long"))), "boxes")
-    placed = written(flat.select("g", "point_idx", "x", "y").join(boxes, "g"), "placed")
+    placed = _placed(flat, boxes)
+    # Uneven groups start with a smaller side, until no cell is crowded: pairs stay in proportion to points.
+    while True:
+        crowd = placed.groupBy("_lw_g", _cell("x"), _cell("y")).agg(F.count("*").alias("m"), F.first("side").alias("side"))
+        full = written(crowd.where((F.col("m") > CROWD * (k + 1)) & (F.col("side") > 1)).select("_lw_g").distinct(), "crowded")
+        if not full.take(1):
+            break
+        halved = boxes.join(full.withColumn("full", F.lit(True)), "_lw_g", "left").withColumn("side", F.when(F.col("full"), F.ceil(F.col("side") / 2)).otherwise(F.col("side"))).drop("full")
+        boxes = written(halved, "boxes")
+        placed = _placed(flat, boxes)
     waiting, grow, parts = placed, 1, []
     while True:
         found = written(_round(waiting, placed, k, grow), "found")
         done = found.where("final")
-        parts.append(done.select("g", "point_idx", F.posexplode("nn").alias("r", "s")).select("g", "point_idx", (F.col("r") + 1).alias("nbr_rank"), F.col("s.i").alias("nbr_idx"), F.sqrt(F.col("s.d").cast("double")).alias("distance")))
+        parts.append(done.select("_lw_g", "point_idx", F.posexplode("nn").alias("r", "s")).select("_lw_g", "point_idx", (F.col("r") + 1).alias("nbr_rank"), F.col("s.i").alias("nbr_idx"), F.sqrt(F.col("s.d").cast("double")).alias("distance")))
         left = found.where("not final")
         if not left.take(1):
             break
-        waiting, grow = left.select("g", "point_idx", "x", "y", *_BOX, "side"), 2 * grow
+        waiting, grow = left.select("_lw_g", "point_idx", "x", "y", *_BOX, "side"), 2 * grow
     near = parts[0]
     for p in parts[1:]:
         near = near.unionByName(p)
-    names = flat.select("g", *keys).distinct()
-    return near.join(names, "g").select(*keys, "point_idx", "nbr_rank", "nbr_idx", "distance")
+    names = flat.select("_lw_g", *keys).distinct()
+    return near.join(names, "_lw_g").select(*keys, "point_idx", "nbr_rank", "nbr_idx", "distance")
+
+
+def _cell(axis: str) -> Column:
+    return F.floor(F.col(axis) / F.col("side")).cast("long")
+
+
+def _placed(flat: DataFrame, boxes: DataFrame) -> DataFrame:
+    return written(flat.select("_lw_g", "point_idx", "x", "y").join(boxes, "_lw_g"), "placed")
 
 
 def _round(waiting: DataFrame, placed: DataFrame, k: int, grow: int) -> DataFrame:
@@ -60,15 +78,15 @@ def _round(waiting: DataFrame, placed: DataFrame, k: int, grow: int) -> DataFram
     cell = lambda c: F.floor(F.col(c) / side).cast("long")
     offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     seek = waiting.withColumns({"cx": cell("x"), "cy": cell("y")}).withColumn("o", F.explode(offsets))
-    seek = seek.select("g", "point_idx", "x", "y", *_BOX, "side", (F.col("cx") + F.col("o.i")).alias("bx"), (F.col("cy") + F.col("o.j")).alias("by"))
-    there = placed.select("g", cell("x").alias("bx"), cell("y").alias("by"), F.col("point_idx").alias("i"), F.col("x").alias("u"), F.col("y").alias("w"))
+    seek = seek.select("_lw_g", "point_idx", "x", "y", *_BOX, "side", (F.col("cx") + F.col("o.i")).alias("bx"), (F.col("cy") + F.col("o.j")).alias("by"))
+    there = placed.select("_lw_g", cell("x").alias("bx"), cell("y").alias("by"), F.col("point_idx").alias("i"), F.col("x").alias("u"), F.col("y").alias("w"))
     d = (F.col("x") - F.col("u")) * (F.col("x") - F.col("u")) + (F.col("y") - F.col("w")) * (F.col("y") - F.col("w"))
-    pairs = seek.join(there, ["g", "bx", "by"]).where("i != point_idx").withColumn("d", d)
-    best = Window.partitionBy("g", "point_idx").orderBy("d", "i")
+    pairs = seek.join(there, ["_lw_g", "bx", "by"]).where("i != point_idx").withColumn("d", d)
+    best = Window.partitionBy("_lw_g", "point_idx").orderBy("d", "i")
     # row_number <= k is cut down within each map task before the shuffle.
     kept = pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
-    lists = kept.groupBy("g", "point_idx").agg(F.array_sort(F.collect_list(F.struct("d", "i"))).alias("nn"))
-    out = waiting.join(lists, ["g", "point_idx"], "left").withColumn("nn", F.coalesce("nn", F.array().cast("array<struct<d:bigint,i:int>>")))
+    lists = kept.groupBy("_lw_g", "point_idx").agg(F.array_sort(F.collect_list(F.struct("d", "i"))).alias("nn"))
+    out = waiting.join(lists, ["_lw_g", "point_idx"], "left").withColumn("nn", F.coalesce("nn", F.array().cast("array<struct<d:bigint,i:int>>")))
     # Distance to the nearest coordinate beyond the block on each side; none where the group ends before.
     far = F.lit(1 << 30)
     right, left = (cell("x") + 2) * side, (cell("x") - 1) * side - 1

@@ -15,7 +15,8 @@ def watch_images(spark: SparkSession, path: str, out: str, checkpoint: str, opti
     A batch holds at most ``files_per_batch`` new files; its paths alone go to the driver. A batch that is
     run again replaces its own folder, so results are there once.
     """
-    arriving = spark.readStream.format("binaryFile").option("pathGlobFilter", PATTERN).option("maxFilesPerTrigger", files_per_batch).load(path)
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    arriving = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", PATTERN).option("maxFilesPerTrigger", files_per_batch).load(path)
 
     def each(batch: DataFrame, number: int) -> None:
         files = [r.path for r in batch.select("path").collect()]
