@@ -91,4 +91,39 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_media, op4_near_duplicates, op5_language, op6_main_text, op7_personal_data, op8_mixing, op9_quality, op10_token_file)}
 
-SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+
+def _shingles(table: str, key: str, k: int) -> str:
+    """Distinct k-word shingles; a text of fewer words is one."""
+    return f"""SELECT DISTINCT {key}, unnest(CASE WHEN len(w) >= {k} THEN list_transform(range(1, len(w) - {k - 2}), lambda i: w[i:i + {k - 1}]) WHEN len(w) > 0 THEN [w] ELSE [] END) AS s
+  FROM (SELECT {key}, {_WORDS} AS w FROM {table})"""
+
+
+SQL: dict[str, str] = {
+    "op2_decontamination": f"""WITH own AS ({_shingles("documents", "doc_id", 5)}), item AS ({_shingles("benchmark", "item_id", 5)}),
+sized AS (SELECT item_id, count(*) AS n_shingles FROM item GROUP BY 1)
+SELECT doc_id, item_id, n_shingles, count(*) AS n_shared, count(*) / n_shingles AS containment
+FROM own JOIN item USING (s) JOIN sized USING (item_id) GROUP BY doc_id, item_id, n_shingles HAVING 100 * count(*) >= 80 * n_shingles""",
+    "op4_near_duplicates": f"""WITH RECURSIVE own AS ({_shingles("documents", "doc_id", 2)}),
+sized AS (SELECT doc_id, count(s) AS n FROM documents LEFT JOIN own USING (doc_id) GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM own a JOIN own b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN sized x ON a = x.doc_id JOIN sized y ON b = y.doc_id WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(a, b) AS (SELECT doc_id, doc_id FROM sized UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a)
+SELECT doc_id, n AS n_shingles, min(b) AS component_id, doc_id = min(b) AS kept FROM sized JOIN reach ON doc_id = a GROUP BY doc_id, n""",
+    # Sources fill up in the order of size by weight: those before the first that stays below its bound are full.
+    "op8_mixing": r"""WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, coalesce(strlen(text), -1) AS n_bytes FROM documents),
+sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY 1),
+weighed AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM sums),
+filled AS (SELECT *, 1.5 * sum(source_size) OVER () - 2 * coalesce(sum(source_size) OVER w, 0) AS left_over, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS weights
+  FROM weighed WINDOW w AS (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT arg_min(left_over, 2 * source_size / weight) AS left_over, arg_min(weights, 2 * source_size / weight) AS weights FROM filled WHERE 2 * source_size >= left_over * weight / weights),
+aimed AS (SELECT source, source_size, least(CAST(2 * source_size AS DOUBLE), CAST(level.left_over AS DOUBLE) * weight / level.weights) AS target FROM weighed, level),
+ranked AS (SELECT sized.*, source_size, target, row_number() OVER (PARTITION BY sized.source ORDER BY floor(8 * (ln(size + 1) / ln(2))), md5(CAST(doc_id AS VARCHAR)), size, n_bytes) - 1 AS rank,
+  CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS expected,
+  CAST('0x' || md5('7:' || coalesce('s' || sized.source, 'n'))[1:13] AS BIGINT) / 4503599627370496.0::DOUBLE AS shift
+  FROM sized JOIN aimed ON sized.source IS NOT DISTINCT FROM aimed.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies * size AS BIGINT) AS taken, copies
+FROM (SELECT *, CAST(floor((rank + 1) * expected + shift) - floor(rank * expected + shift) AS BIGINT) AS copies FROM ranked)""",
+}
