@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,20 +96,20 @@ def frequent_pretokens(df: DataFrame, text: str, size: int = 20_000, per_task: i
     looked up first, never a result.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
-            for t in batch[text]:
+            for t in batch.column(0).to_pylist():
                 if t:
                     seen.update(t.split(" "))
                 if len(seen) > live:
                     seen = Counter(dict(seen.most_common(live // 2)))
         top = seen.most_common(per_task)
-        yield pd.DataFrame({"word": [w for w, _ in top], "n": [n for _, n in top]})
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
 
     rows = (
         df.select(text)
-        .mapInPandas(count, "word string, n long")
+        .mapInArrow(count, "word string, n long")
         .groupBy("word")
         .agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "word")
