@@ -16,9 +16,9 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from linewave.llm.common import hash_sample, slices
 from linewave.storage import scratch_path, written
 
-#: A space next to other white space belongs to a longer pre-token: such texts go to the library whole.
-_WIDE = re.compile(r"\s \s|  |\s $|^ | $")
+#: Where one of these stands, or a space ends the text, white space may join into one pre-token: such texts go to the library whole.
+_WIDE = tuple(" " + chr(c) for c in range(0x3001) if chr(c).isspace())
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _PACKS = "shard int, place long, before long, sha256 string, n_docs long, n_ids long, doc_ids array<long>, offsets array<long>, counts array<long>, blob binary"
 _encoders: dict[tuple, "TextEncoder"] = {}
 
@@ -38,8 +39,9 @@ class TextEncoder:
     """Whole texts -> id bytes. What stands between single spaces is encoded by the library once and kept.
 
     Byte-level pre-tokens never reach over a space that stands between other characters than white space,
-    so a text's ids are those of its parts. Texts with wider white space or with a special token's string
-    are encoded by the library as they are.
+    so a text's ids are those of its parts; nor do letters join with the signs after them, so a part's ids
+    are those of its stem and its tail. A stem of letters is one pre-token and goes straight to the
+    library's model. Texts with wider white space or with a special token's string are encoded as they are.
     """
 
     def __init__(self, path: str, id_bytes: int, bound: int):
@@ -49,31 +51,55 @@ class TextEncoder:
         self.tokenizer, self.kind, self.bound = Tokenizer.from_file(path), f"<u{id_bytes}", bound
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.parts: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in printable]
+        # The byte alphabet of the model's vocabulary: printable bytes stand for themselves, the others follow 255.
+        self.alphabet = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.direct = self._model_alone()
+
+    def _model_alone(self) -> bool:
+        """Whether a word's ids can come from the model alone: nothing but a byte-level step stands before it."""
+        probe = [" the", " naïve", " Straße", " éèquech"]
+        return self.tokenizer.normalizer is None and [self._word(w) for w in probe] == self.library(probe)
+
+    def _word(self, word: str) -> bytes:
+        ids = [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]
+        return np.array(ids, dtype=self.kind).tobytes()
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: set[str]) -> None:
+        """Put the ids of each word, as it stands after a space, into ``parts``."""
+        whole = []
+        for w in words:
+            stem = w.rstrip(_MARKS)
+            if not (self.direct and stem.isalpha()):
+                whole.append(w)
+                continue
+            ids, tail = self.parts.get(stem), w[len(stem) :]
+            if ids is None:
+                ids = self.parts[stem] = self._word(" " + stem)
+            if tail:
+                if tail not in self.tails:
+                    self.tails[tail] = self.library([tail])[0]
+                self.parts[w] = ids + self.tails[tail]
+        self.parts.update(zip(whole, self.library([" " + w for w in whole])))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [not (_WIDE.search(t) or any(s in t for s in self.special)) for t in texts]
-        split = []
-        for t, p in zip(texts, plain):
-            if p and t:
-                first, *rest = t.split(" ")
-                split.append((first, rest))
-            else:
-                split.append(None)
+        plain = [not (t[-1:] == " " or any(s in t for s in _WIDE) or any(s in t for s in self.special)) for t in texts]
         if len(self.parts) > self.bound:
             self.parts.clear()
-        wanted: set[str] = set()
-        for s in split:
-            if s:
-                wanted.update(s[1])
-        new = [w for w in wanted if w not in self.parts]
-        self.parts.update(zip(new, self.library([" " + w for w in new])))
-        heads = iter(self.library([s[0] for s in split if s]))
+        if len(self.tails) > self.bound:
+            self.tails = {"": b""}
+        split = [t.split(" ") if p and t else None for t, p in zip(texts, plain)]
+        first = [s.pop(0) for s in split if s]
+        self._learn(set(chain.from_iterable(s for s in split if s)) - self.parts.keys())
+        heads = iter(self.library(first))
         wholes = iter(self.library([t for t, p in zip(texts, plain) if not p]))
         look = self.parts.__getitem__
-        return [next(heads) + b"".join(map(look, s[1])) if s else (next(wholes) if not p else b"") for s, p in zip(split, plain)]
+        return [next(wholes) if not p else (b"" if s is None else next(heads) + b"".join(map(look, s))) for s, p in zip(split, plain)]
 
 
 def _encoder(path: str, id_bytes: int, bound: int) -> TextEncoder:
@@ -125,7 +151,7 @@ def write_token_file(
     level: int = 3,
     sample_docs: int = 1_000,
     sample_bytes: int = 32 << 10,
-    cache_size: int = 300_000,
+    cache_size: int = 800_000,
     pack_bytes: int = 2 << 20,
 ) -> None:
     """Encode every text of ``df`` and write the token file to ``path``.
