@@ -293,3 +293,16 @@ def test_text_is_saved_in_order(spark, tmp_path):
     sinks.save_text(sinks.channel_text(lines.row_lines(rows)), str(tmp_path / "out"), ["image_id", "file"])
     (red,) = (tmp_path / "out" / "image_id=1").glob("*Red/part-*.txt")
     assert red.read_text() == "1,2\n3,4\n"
+
+
+def test_scratch_tables_are_cleared(spark):
+    from pathlib import Path
+
+    from linewave.storage import clear_scratch, scratch_path, written
+
+    kept = written(spark.range(3), "numbers")
+    assert kept.count() == 3
+    folder = Path(scratch_path(spark, "x").removeprefix("file:")).parent
+    assert any(p.name.startswith("numbers-") for p in folder.iterdir())
+    clear_scratch(spark)
+    assert not folder.exists()
