@@ -4,6 +4,8 @@ coef[s, j] = 1/sqrt(s) * sum over k in -pad .. n+pad-1 of d[reflect(k)] * 0.75 *
 t = (k-j)/s and pad = int(7 * largest scale) div 2 + 1; reflect mirrors once at either end, repeating the edge. As
 reflection is linear, a line's coefficients are a matrix times the line, and the matrix depends on the
 length and the scales alone: each Python worker builds it once a length.
+
+Borders: ``mirrored`` takes the pad of the largest scale for all, ``mirrored_each`` each scale's own, ``none`` no pad.
 """
 
 from __future__ import annotations
@@ -32,16 +34,23 @@ def reflected(k: Column, n: Column) -> Column:
     return F.when(k < 0, -k - 1).when(k >= n, 2 * n - k - 1).otherwise(k)
 
 
+def paddings(scales: list[float], border: str = "mirrored") -> list[int]:
+    """The pad of each scale."""
+    if border not in ("mirrored", "mirrored_each", "none"):
+        raise ValueError(f"no such border: {border}")
+    return [0 if border == "none" else padding([s] if border == "mirrored_each" else scales) for s in scales]
+
+
 @lru_cache(maxsize=256)
-def kernel_matrix(n: int, scales: tuple[float, ...]) -> np.ndarray:
+def kernel_matrix(n: int, scales: tuple[float, ...], border: str = "mirrored") -> np.ndarray:
     """(scales, n, n) weights: coefficient j of a scale is row j times the line."""
-    pad = padding(list(scales))
-    if pad > n:
-        raise ValueError(f"a line of {n} points is too short for scale {max(scales)}: it must have {pad}")
-    k = np.arange(-pad, n + pad)
-    at = np.where(k < 0, -k - 1, np.where(k >= n, 2 * n - k - 1, k))
+    pads = paddings(list(scales), border)
+    if max(pads) > n:
+        raise ValueError(f"a line of {n} points is too short for scale {max(scales)}: it must have {max(pads)}")
     out = np.zeros((len(scales), n, n))
-    for i, s in enumerate(scales):
+    for i, (s, pad) in enumerate(zip(scales, pads)):
+        k = np.arange(-pad, n + pad)
+        at = np.where(k < 0, -k - 1, np.where(k >= n, 2 * n - k - 1, k))
         t = (k[None, :] - np.arange(n)[:, None]) / s
         wave = 0.75 * np.exp(-t * t / 2) * np.cos(2 * np.pi * t)
         for j in range(n):
@@ -68,13 +77,14 @@ def _checked(scales: list[float]) -> tuple[float, ...]:
     return scales
 
 
-def morlet(lines: DataFrame, scales: list[float]) -> DataFrame:
+def morlet(lines: DataFrame, scales: list[float], border: str = "mirrored") -> DataFrame:
     """(image_id, direction, channel, scale, line, c): the coefficients of every line at every scale.
 
     ``lines`` should be centred. Lines go through as they lie: no shuffle. A line shorter than the padding
     and a scale of 0 or less raise an error; null lines are left out; repeated scales count once.
     """
     scales = tuple(dict.fromkeys(_checked(scales)))
+    paddings(list(scales), border)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,7 +97,7 @@ def morlet(lines: DataFrame, scales: list[float]) -> DataFrame:
                     own = at[lo : lo + 1024]
                     block = flat[starts[own][:, None] + np.arange(n)]
                     some = batch.take(pa.array(own))
-                    for s, matrix in zip(scales, kernel_matrix(int(n), scales)):
+                    for s, matrix in zip(scales, kernel_matrix(int(n), scales, border)):
                         values = pa.ListArray.from_arrays(pa.array(np.arange(0, block.size + 1, n, dtype=np.int32)), pa.array((block @ matrix.T).ravel()))
                         yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("image_id", "direction", "channel")), pa.array(np.full(len(own), s)), some.column("line"), values], names=[*KEYS, "c"])
 

@@ -31,11 +31,14 @@ cells AS (SELECT image_id, 0 AS direction, channel, y AS line, x AS pos, v FROM
 centred AS (SELECT *, v - avg(v) OVER (PARTITION BY image_id, direction, channel, line) AS d FROM cells)"""
 
 
-_KERNEL = """
+def _kernel(taps: str = "range(-15, n + 15)") -> str:
+    return f"""
 lengths AS (SELECT DISTINCT count(*) AS n FROM cells GROUP BY image_id, direction, channel, line),
 taps AS (SELECT n, s AS scale, j, k, CASE WHEN k < 0 THEN -k - 1 WHEN k >= n THEN 2*n - k - 1 ELSE k END AS m, (k - j) / s AS t
-  FROM lengths, (SELECT unnest([1.0::DOUBLE, 2.0, 4.0]) AS s), LATERAL (SELECT unnest(range(0, n)) AS j), LATERAL (SELECT unnest(range(-15, n + 15)) AS k)),
+  FROM lengths, (SELECT unnest([1.0::DOUBLE, 2.0, 4.0]) AS s), LATERAL (SELECT unnest(range(0, n)) AS j), LATERAL (SELECT unnest({taps}) AS k)),
 kernel AS (SELECT n, scale, j, m, sum(0.75 * exp(-t*t/2) * cos(2 * pi() * t)) / sqrt(scale) AS w FROM taps GROUP BY n, scale, j, m)"""
+
+
 _COEFS = f"""
 krow AS (SELECT n, scale, j, list(w ORDER BY m) AS w FROM kernel GROUP BY ALL),
 signal AS (SELECT image_id, direction, channel, line, count(*) AS n, list(d ORDER BY pos) AS d FROM centred GROUP BY ALL),
@@ -45,9 +48,9 @@ _M = "image_id, direction, channel, scale"
 _TYPES = {"max_by_row": (0, 1), "max_by_column": (1, 1), "min_by_row": (0, -1), "min_by_column": (1, -1)}
 
 
-def _base(table: str = "pixels") -> str:
+def _base(table: str = "pixels", taps: str = "range(-15, n + 15)") -> str:
     more = f",{_WIDE},{_BASIS},{_CHANGED}" if table == "changed" else ""
-    return f"{_PIXELS}{more},{_signals(table)},{_KERNEL},{_COEFS}"
+    return f"{_PIXELS}{more},{_signals(table)},{_kernel(taps)},{_COEFS}"
 
 
 def _axes(table: str = "pixels") -> str:
@@ -137,10 +140,12 @@ SQL: dict[str, str] = {
     "center_rows": _with(_LONG, f"SELECT image_id, direction, channel, line, pos, {_round('d', 6)} AS v FROM centred WHERE direction = 0"),
     "center_cols": _with(_LONG, f"SELECT image_id, direction, channel, line, pos, {_round('d', 6)} AS v FROM centred WHERE direction = 1"),
     "reflect_index": _with(_PIXELS, "SELECT image_id, y, CAST(k AS INTEGER) AS k, CAST(CASE WHEN k < 0 THEN -k - 1 WHEN k >= 21 THEN 41 - k ELSE k END AS INTEGER) AS m FROM ranked, (SELECT unnest(range(-15, 36)) AS k)"),
-    "kernel": _with(f"{_PIXELS},{_signals()},{_KERNEL}", f"SELECT CAST(n AS INTEGER) AS n, scale, CAST(j AS INTEGER) AS j, CAST(m AS INTEGER) AS m, {_round('w', 9)} AS w FROM kernel"),
+    "kernel": _with(f"{_PIXELS},{_signals()},{_kernel()}", f"SELECT CAST(n AS INTEGER) AS n, scale, CAST(j AS INTEGER) AS j, CAST(m AS INTEGER) AS m, {_round('w', 9)} AS w FROM kernel"),
     "morlet_rows": _with(_base(), "SELECT * FROM coefs WHERE direction = 0"),
     "morlet_cols": _with(_base(), "SELECT * FROM coefs WHERE direction = 1"),
     "morlet_sql": _with(_base(), "SELECT * FROM coefs WHERE direction = 0"),
+    "morlet_mirrored_each": _with(_base(taps="range(-CAST(7 * s // 2 + 1 AS BIGINT), n + CAST(7 * s // 2 + 1 AS BIGINT))"), "SELECT * FROM coefs WHERE direction = 0"),
+    "morlet_unpadded": _with(_base(taps="range(0, n)"), "SELECT * FROM coefs WHERE direction = 0"),
     "row_max": _raw(0, 1),
     "row_min": _raw(0, -1),
     "col_max": _raw(1, 1),

@@ -179,6 +179,18 @@ def morlet_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transform.cells(transform.rounded(transform.morlet_native(lines.centred(_lines(spark, sf_dir, 0)), SCALES)))
 
 
+@query
+def morlet_mirrored_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients along rows, each scale with its own pad."""
+    return transform.cells(transform.rounded(transform.morlet(lines.centred(_lines(spark, sf_dir, 0)), SCALES, "mirrored_each")))
+
+
+@query
+def morlet_unpadded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients along rows without a pad."""
+    return transform.cells(transform.rounded(transform.morlet(lines.centred(_lines(spark, sf_dir, 0)), SCALES, "none")))
+
+
 # --- extrema -------------------------------------------------------------------------------------
 
 

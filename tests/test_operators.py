@@ -156,6 +156,16 @@ def test_transform_equals_its_definition_for_lines_of_several_lengths(spark):
                 assert np.allclose(got[line, s], brute_transform(d, s, 15), atol=1e-9)
 
 
+def test_borders(spark):
+    d = np.random.RandomState(4).randint(0, 256, 18).astype(float).tolist()
+    df = spark.createDataFrame([(1, 0, 0, 0, d)], images.LINES)
+    for border, pads in (("mirrored_each", {1.0: 4, 4.0: 15}), ("none", {1.0: 0, 4.0: 0})):
+        for r in transform.morlet(df, [1.0, 4.0], border).collect():
+            assert np.allclose(r.c, brute_transform(d, r.scale, pads[r.scale]), atol=1e-9)
+    with pytest.raises(ValueError):
+        transform.morlet(df, [1.0], "open")
+
+
 def test_transform_rejects_what_it_cannot_reflect(spark):
     short = spark.createDataFrame([(1, 0, 0, 0, [1.0] * 14)], images.LINES)
     with pytest.raises(ValueError):
