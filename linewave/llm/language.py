@@ -198,16 +198,19 @@ class LanguageModel:
         return [self.languages[b] if a else "und" for b, a in zip(best, any_word)], np.where(any_word, share, 0.0)
 
 
-def fit_languages(df: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", docs_each: int = 5_000, rounds: int = 2) -> LanguageModel:
+def fit_languages(df: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", docs_each: int = 5_000, rounds: int = 2, most_languages: int = 500) -> LanguageModel:
     """Fit piece probabilities by ``rounds`` of expectation-maximisation.
 
     Learns from rows with a language outside the held-out ids: about ``docs_each`` documents of each
     language, chosen by id hash. Word counts and expected piece counts are summed by Spark; the driver gets
-    languages x pieces numbers. Without such rows the model knows no language.
+    languages x pieces numbers, so more than ``most_languages`` languages are an error. Without such rows
+    the model knows no language.
     """
     spark = df.sparkSession
     usable = df.where(F.col(lang).isNotNull() & ~held_out(F.col(doc_id))).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     languages = sorted(sizes)
     pieces = _pieces(vocabulary)
     if not languages:
