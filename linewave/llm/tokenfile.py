@@ -18,7 +18,6 @@ import hashlib
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +34,28 @@ _PACKS = "shard int, place long, before long, sha256 string, n_docs long, n_ids
 _encoders: dict[tuple, "TextEncoder"] = {}
 
 
+class _Parts(dict):
+    """What stands after a single space -> its id bytes, worked out when first asked for."""
+
+    def __init__(self, encoder: "TextEncoder"):
+        super().__init__()
+        self.encoder, self.tails = encoder, {"": b""}
+
+    def __missing__(self, part: str) -> bytes:
+        stem = part.rstrip(_MARKS)
+        if not (self.encoder.direct and stem.isalpha()):
+            ids = self.encoder.library([" " + part])[0]
+        elif len(stem) == len(part):
+            ids = self.encoder.word(part)
+        else:
+            tail = part[len(stem) :]
+            if tail not in self.tails:
+                self.tails[tail] = self.encoder.library([tail])[0]
+            ids = self[stem] + self.tails[tail]
+        self[part] = ids
+        return ids
+
+
 class TextEncoder:
     """Whole texts -> id bytes. What stands between single spaces is encoded by the library once and kept.
 
@@ -50,53 +71,31 @@ class TextEncoder:
 
         self.tokenizer, self.kind, self.bound = Tokenizer.from_file(path), f"<u{id_bytes}", bound
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.parts: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
+        self.id_bytes = [i.to_bytes(id_bytes, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         # The byte alphabet of the model's vocabulary: printable bytes stand for themselves, the others follow 255.
         self.alphabet = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.direct = self._model_alone()
-
-    def _model_alone(self) -> bool:
-        """Whether a word's ids can come from the model alone: nothing but a byte-level step stands before it."""
-        probe = [" the", " naïve", " Straße", " éèquech"]
-        return self.tokenizer.normalizer is None and [self._word(w) for w in probe] == self.library(probe)
+        self.model = self.tokenizer.model
+        probe = ["the", "naïve", "Straße", "éèquech"]
+        # Whether the model alone is enough for a word: nothing but a byte-level step stands before it.
+        self.direct = self.tokenizer.normalizer is None and [self.word(w) for w in probe] == self.library([" " + w for w in probe])
+        self.parts = _Parts(self)
 
-    def _word(self, word: str) -> bytes:
-        ids = [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]
-        return np.array(ids, dtype=self.kind).tobytes()
+    def word(self, letters: str) -> bytes:
+        """Ids of letters that follow a space."""
+        text = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.alphabet)
+        return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(self.alphabet[32] + text)])
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> None:
-        """Put the ids of each word, as it stands after a space, into ``parts``."""
-        whole = []
-        for w in words:
-            stem = w.rstrip(_MARKS)
-            if not (self.direct and stem.isalpha()):
-                whole.append(w)
-                continue
-            ids, tail = self.parts.get(stem), w[len(stem) :]
-            if ids is None:
-                ids = self.parts[stem] = self._word(" " + stem)
-            if tail:
-                if tail not in self.tails:
-                    self.tails[tail] = self.library([tail])[0]
-                self.parts[w] = ids + self.tails[tail]
-        self.parts.update(zip(whole, self.library([" " + w for w in whole])))
-
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [not (t[-1:] == " " or any(s in t for s in _WIDE) or any(s in t for s in self.special)) for t in texts]
-        if len(self.parts) > self.bound:
-            self.parts.clear()
-        if len(self.tails) > self.bound:
-            self.tails = {"": b""}
+        if len(self.parts) + len(self.parts.tails) > self.bound:
+            self.parts = _Parts(self)
         split = [t.split(" ") if p and t else None for t, p in zip(texts, plain)]
-        first = [s.pop(0) for s in split if s]
-        self._learn(set(chain.from_iterable(s for s in split if s)) - self.parts.keys())
-        heads = iter(self.library(first))
+        heads = iter(self.library([s.pop(0) for s in split if s]))
         wholes = iter(self.library([t for t, p in zip(texts, plain) if not p]))
         look = self.parts.__getitem__
         return [next(wholes) if not p else (b"" if s is None else next(heads) + b"".join(map(look, s))) for s, p in zip(split, plain)]
