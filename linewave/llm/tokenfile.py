@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewave.llm.common import hash_sample, slices
-from linewave.storage import scratch_path, written
+from linewave.storage import scratch_path
 
 #: Where one of these stands, or a space ends the text, white space may join into one pre-token: such texts go to the library whole.
 _WIDE = tuple(" " + chr(c) for c in range(0x3001) if chr(c).isspace())
@@ -156,8 +156,8 @@ def write_token_file(
     """Encode every text of ``df`` and write the token file to ``path``.
 
     ``end_id`` follows each document. Null texts count as empty: their only id is ``end_id``. Documents
-    stand in ascending doc_id order, null ids first; rows that repeat an id all stay, ordered by their ids'
-    bytes. An empty table gives files without packs. The dictionary serves short documents: it is
+    stand in ascending doc_id order, null ids first; rows that repeat an id all stay, ordered by their
+    text. An empty table gives files without packs. The dictionary serves short documents: it is
     trained on the texts of up to ``sample_bytes`` among about ``sample_docs`` documents, chosen by id hash. ``tokenizer`` must be readable on every worker.
     """
     spark = df.sparkSession
@@ -170,43 +170,35 @@ def write_token_file(
     sha = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(dictionary, sha, id_bytes, os.path.basename(tokenizer))], "dictionary binary, sha256 string, id_bytes int, vocabulary string").coalesce(1).write.parquet(f"{path}/dictionary")
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, pack = _encoder(tokenizer, id_bytes, cache_size), _compressor(dictionary, level)
-        for batch in slices(batches, "text"):
-            ids = [b + end for b in tool.encode(batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(b) // id_bytes for b in ids], pa.int64()), pa.array([pack.compress(b) for b in ids], pa.binary())],
-                names=["doc_id", "n", "frame"],
-            )
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        tool, press = _encoder(tokenizer, id_bytes, cache_size), _compressor(dictionary, level)
         shard, place, before, n_ids = TaskContext.get().partitionId(), 0, 0, 0
         doc_ids, offsets, counts, frames = [], [0], [], []
 
         def done() -> pa.RecordBatch:
-            row = [shard, place, before, sha, len(doc_ids), n_ids, list(doc_ids), list(offsets), list(counts), b"".join(frames)]
+            row = [shard, place, before, sha, len(doc_ids), n_ids, doc_ids, offsets, counts, b"".join(frames)]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, _KINDS)], names=_NAMES)
 
-        for batch in batches:
-            for d, n, frame in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "frame"))):
+        for batch in slices(batches, "text"):
+            for d, raw in zip(batch.column("doc_id").to_pylist(), tool.encode(batch.column("text").to_pylist())):
+                frame = press.compress(raw + end)
                 if doc_ids and offsets[-1] + len(frame) > pack_bytes:
                     yield done()
                     place, before, n_ids = place + 1, before + n_ids, 0
                     doc_ids, offsets, counts, frames = [], [0], [], []
                 doc_ids.append(d)
-                counts.append(n)
+                counts.append(len(raw) // id_bytes + 1)
                 frames.append(frame)
                 offsets.append(offsets[-1] + len(frame))
-                n_ids += n
+                n_ids += counts[-1]
         if doc_ids:
             yield done()
 
-    frames = written(docs.mapInArrow(encode, "doc_id long, n long, frame binary"), "frames", compression="none")
-    # Equal ids must share a shard; sampling for the ranges reads the written ids alone, never the texts.
-    ordered = frames.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "frame")
-    ordered.mapInArrow(gather, _PACKS).write.option("compression", "none").parquet(f"{path}/packs")
+    # Equal ids share a shard. Texts are dealt out, not ids: nothing is encoded twice, nor kept twice.
+    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered.mapInArrow(pack, _PACKS).write.option("compression", "none").parquet(f"{path}/packs")
 
 
 _NAMES = [f.split()[0] for f in _PACKS.split(", ")]
