@@ -1,6 +1,7 @@
 """Comparison of a query's rows with its SQL, as the columns' names and values go."""
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -15,5 +16,5 @@ def sql_rows(sf_dir, sql):
 def canonical(frame):
     """Sorted tuples of the values, columns by name; whole floats of null-bearing columns print as whole numbers."""
     frame = frame[sorted(frame.columns)]
-    show = lambda v: "null" if v is None or v != v else (repr(int(v)) if isinstance(v, float) and v.is_integer() else str(v))
+    show = lambda v: "null" if pd.isna(v) else (repr(int(v)) if isinstance(v, float) and v.is_integer() else str(v))
     return list(frame.columns), sorted(tuple(show(v) for v in row) for row in frame.astype(object).itertuples(index=False))
