@@ -52,5 +52,9 @@ def line_means(lines: DataFrame) -> DataFrame:
 
 
 def centred(lines: DataFrame) -> DataFrame:
-    """Lines with their own mean taken off; a map, no window and no shuffle."""
-    return lines.withColumn("m", mean_of(F.col("v"))).withColumn("v", F.transform("v", lambda v: v - F.col("m"))).drop("m")
+    """Lines with their own mean taken off; a map, no window and no shuffle.
+
+    The mean stands beside the lambda, as a repeated value: inside it would be summed again for each point.
+    """
+    means = F.array_repeat(mean_of(F.col("v")), F.size("v"))
+    return lines.withColumn("v", F.zip_with("v", means, lambda v, m: v - m))
