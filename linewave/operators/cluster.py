@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,28 +59,78 @@ def centroids(clusters: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return clusters.where("label >= 0").groupBy(*keys, "label").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n_points"))
 
 
+def _distance(origin: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.sqrt((origin[0] - at[:, 0]) ** 2 + (origin[1] - at[:, 1]) ** 2)
+
+
+def _walk(at: np.ndarray, root: tuple[float, float]) -> np.ndarray:
+    """(n, 4) segments from_x, from_y, to_x, to_y of the tree over the centroids ``at``, given in the order of labels.
+
+    The root takes its 3 nearest centroids; then passes go over 3 leaves, each of which takes up to 2 nearest free ones.
+    Each centroid taken puts the oldest leaf out, so the last 3 of a pass are the leaves of the next. Equal distances
+    go by the distance to the origin before, and so on back to the root, then by label: what sorting the free
+    centroids anew from every origin gives, in one look at them.
+    """
+    at, free = np.asarray(at, dtype=float).reshape(-1, 2), np.arange(len(at))
+    origins: list[np.ndarray] = []
+    out: list[np.ndarray] = []
+
+    def take(origin: np.ndarray, n: int) -> list[np.ndarray]:
+        nonlocal free
+        got, d = [], _distance(origin, at[free])
+        for _ in range(min(n, len(free))):
+            near = np.flatnonzero(d == d.min())
+            for earlier in reversed(origins):
+                if (at[free[near]] == at[free[near[0]]]).all():
+                    break
+                back = _distance(earlier, at[free[near]])
+                near = near[back == back.min()]
+            to = at[free[near[0]]]
+            free, d = np.delete(free, near[0]), np.delete(d, near[0])
+            out.append(np.concatenate([origin, to]))
+            got.append(to)
+        origins.append(origin)
+        return got
+
+    leaves = take(np.asarray(root, dtype=float), 3)
+    while len(free):
+        for leaf in leaves:
+            leaves = [*leaves, *take(leaf, 2)][-3:]
+    return np.array(out).reshape(-1, 4)
+
+
+def greedy_trees(centres: DataFrame, roots: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, step, from_x, from_y, to_x, to_y): a tree over the centroids (keys, label, x, y) of every group.
+
+    ``roots`` has one (x, y) for each value of those of the keys that it has as columns; a group without a root raises an error.
+    Steps depend on one another, so a task holds the centroids of one group, no more than an image has pixels.
+    """
+    keys = GROUP if keys is None else keys
+    on = [k for k in keys if k in roots.columns]
+    ends = roots.select(*(F.col(k).alias(f"_lw_{k}") for k in on), F.col("x").cast("double").alias("root_x"), F.col("y").cast("double").alias("root_y"))
+    same = [F.col(k).eqNullSafe(F.col(f"_lw_{k}")) for k in on]
+    rooted = centres.select(*keys, "label", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).join(ends, same, "left")
+    rooted = rooted.select(*keys, "label", "x", "y", "root_x", "root_y")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("label")
+        root = (table.column("root_x")[0].as_py(), table.column("root_y")[0].as_py())
+        if None in root:
+            raise ValueError(f"no root for the group {[table.column(k)[0].as_py() for k in keys]}")
+        found = _walk(np.column_stack([table.column("x").to_numpy(), table.column("y").to_numpy()]), root)
+        return pa.table([*(table.column(k) for k in keys), pa.array(np.arange(len(found)), pa.int32()), *map(pa.array, found.T)], names=[*keys, "step", "from_x", "from_y", "to_x", "to_y"])
+
+    empty = rooted.select(*keys, F.lit(0).alias("step"), *(F.col("x").alias(c) for c in ("from_x", "from_y", "to_x", "to_y")))
+    return rooted.groupBy(*keys).applyInArrow(run, empty.schema)
+
+
 def greedy_tree(centres: DataFrame, root: tuple[float, float], most: int = 100_000) -> DataFrame:
-    """(step, from_x, from_y, to_x, to_y): a tree that grows from ``root`` over the centroids of one group.
+    """(step, from_x, from_y, to_x, to_y): the tree of :func:`greedy_trees` from ``root`` over the centroids of one group.
 
-    The root takes its 3 nearest centroids; then each leaf in turn takes up to 2 nearest free ones, which become
-    leaves in its place. Ties go to the smaller label. Steps depend on one another, so it runs on the driver, over
-    at most ``most`` centroids; more raise an error.
+    It runs on the driver, over at most ``most`` centroids; more raise an error.
     """
     rows = centres.select("label", "x", "y").orderBy("label").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} centroids")
-    free = {r.label: (float(r.x), float(r.y)) for r in rows}
-    out: list[tuple[int, float, float, float, float]] = []
-
-    def take(origin: tuple[float, float], n: int) -> list[tuple[float, float]]:
-        got = []
-        for label in sorted(free, key=lambda b: (math.dist(origin, free[b]), b))[:n]:
-            at = free.pop(label)
-            out.append((len(out), *origin, *at))
-            got.append(at)
-        return got
-
-    leaves = take((float(root[0]), float(root[1])), 3)
-    while free:
-        leaves = [*leaves[1:], *take(leaves[0], 2)]
+    out = [(i, *map(float, s)) for i, s in enumerate(_walk(np.array([(r.x, r.y) for r in rows]), root))]
     return centres.sparkSession.createDataFrame(out, "step int, from_x double, from_y double, to_x double, to_y double")

@@ -452,9 +452,14 @@ def argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def greedy_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy tree over the points of one line graph, every point taken as a centroid."""
-    points = _points(spark, sf_dir, *ONE_TYPE).where("image_id = 0 and direction = 0 and channel = 0 and scale = 4.0")
-    return cluster.greedy_tree(points.select(F.col("point_idx").alias("label"), "x", "y"), (10.0, 10.0))
+    """Greedy tree over the centroids of every matrix and type, from the place of the matrix's largest coefficient.
+
+    Of several such places the first by (y, x) is the root.
+    """
+    run = analyse(_rows(spark, sf_dir), Options(scales=tuple(SCALES)))
+    largest = extrema.largest_coefficients(transform.rounded(run.coefs))
+    roots = largest.groupBy(*extrema.MATRIX).agg(F.min(F.struct("y", "x")).alias("at")).select(*extrema.MATRIX, "at.x", "at.y")
+    return cluster.greedy_trees(cluster.centroids(cluster.density_clusters(run.points, EPS)), roots)
 
 
 @query
