@@ -100,6 +100,9 @@ label AS (SELECT g, head, row_number() OVER (PARTITION BY g ORDER BY head) - 1 A
 clusters AS (SELECT {_G}, o.point_idx, x, y, CAST(coalesce(label, -1) AS INTEGER) AS label FROM own o
   LEFT JOIN (SELECT * FROM named UNION ALL SELECT * FROM border) m ON o.g = m.g AND o.point_idx = m.a LEFT JOIN label l ON m.g = l.g AND m.head = l.head)"""
 
+#: The same over all four types of points.
+_ALL_CLUSTERS = _CLUSTERS.replace(" WHERE extreme_type = 'max_by_row'", "")
+
 
 def _with(parts: str, select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{parts.strip()}\n{select}"
@@ -184,6 +187,9 @@ UNION ALL SELECT * FROM body""",
     "dbscan": _with(_peaks() + _CLUSTERS, "SELECT * FROM clusters", recursive=True),
     "cluster_counts": _with(_peaks() + _CLUSTERS, f"SELECT {_G}, CAST(max(label) + 1 AS INTEGER) AS n_clusters FROM clusters GROUP BY ALL", recursive=True),
     "centroids": _with(_peaks() + _CLUSTERS, f"SELECT {_G}, label, {_round('avg(x)', 6)} AS x, {_round('avg(y)', 6)} AS y, count(*) AS n_points FROM clusters WHERE label >= 0 GROUP BY {_G}, label", recursive=True),
+    "dbscan_all_types": _with(_peaks() + _ALL_CLUSTERS, "SELECT * FROM clusters", recursive=True),
+    "cluster_counts_all_types": _with(_peaks() + _ALL_CLUSTERS, f"SELECT {_G}, CAST(max(label) + 1 AS INTEGER) AS n_clusters FROM clusters GROUP BY ALL", recursive=True),
+    "centroids_all_types": _with(_peaks() + _ALL_CLUSTERS, f"SELECT {_G}, label, {_round('avg(x)', 6)} AS x, {_round('avg(y)', 6)} AS y, count(*) AS n_points FROM clusters WHERE label >= 0 GROUP BY {_G}, label", recursive=True),
     "argmax": _with(_base(), f"SELECT * FROM coefs QUALIFY c = max(c) OVER (PARTITION BY {_M})"),
     "pipeline_points": _with(_peaks("changed"), "SELECT * FROM points"),
 }

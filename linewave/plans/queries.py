@@ -421,27 +421,48 @@ def scale_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- clusters ----------------------------------------------------------------------------------------
 
 
-def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.density_clusters(_points(spark, sf_dir, *ONE_TYPE), EPS)
+def _clusters(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
+    return cluster.density_clusters(_points(spark, sf_dir, *types), EPS)
+
+
+def _rounded_centroids(clusters: DataFrame) -> DataFrame:
+    return cluster.centroids(clusters).withColumns({c: round_half_even(F.col(c), 6) for c in ("x", "y")})
 
 
 @query
 def dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density clusters of the row maxima's peaks."""
+    return _clusters(spark, sf_dir, *ONE_TYPE)
+
+
+@query
+def dbscan_all_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density clusters of the peaks of all four types."""
     return _clusters(spark, sf_dir)
 
 
 @query
 def cluster_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number of clusters of each matrix."""
+    """Number of clusters of the row maxima's peaks in each matrix."""
+    return cluster.cluster_counts(_clusters(spark, sf_dir, *ONE_TYPE))
+
+
+@query
+def cluster_counts_all_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of clusters of each matrix and type."""
     return cluster.cluster_counts(_clusters(spark, sf_dir))
 
 
 @query
 def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Centroids of the clusters."""
-    found = cluster.centroids(_clusters(spark, sf_dir))
-    return found.withColumns({c: round_half_even(F.col(c), 6) for c in ("x", "y")})
+    """Centroids of the clusters of the row maxima's peaks."""
+    return _rounded_centroids(_clusters(spark, sf_dir, *ONE_TYPE))
+
+
+@query
+def centroids_all_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centroids of the clusters of all four types."""
+    return _rounded_centroids(_clusters(spark, sf_dir))
 
 
 @query
