@@ -3,8 +3,8 @@
 A page is cut into blocks of text; each block has a root-to-leaf path of block-level tags. For every path
 three figures are gathered: characters a block, punctuation marks a block, share of link text. They are
 fused into one score, smoothed over neighbouring blocks whose paths agree below the body, and paths
-whose score reaches a threshold are the content. What the markup itself declares (an article or main
-element; navigation, forms, advert and comment classes) enters as a weight of the path.
+whose score reaches a threshold are the content. What the markup itself declares enters as a weight of the
+path: 0 in navigation, forms, advert and comment classes; outside an article or main element, by the text there and within.
 """
 
 from __future__ import annotations
@@ -41,8 +41,13 @@ PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 # Possessive throughout: no input makes them go back.
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^'">]++|"[^"]*+"|'[^']*+')*+)>""")
 _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
-#: Paths are told apart down to this many levels; optional end tags are looked for as far up.
+#: Levels of a path that are spelled out, those between them and the last stand as one hash; optional end tags are looked for as far up.
 DEPTH = 32
+REGIONS = ("article", "main")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ITEMS = frozenset("ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption".split())
+#: path, set aside, text, characters of link text, whether within each of REGIONS
+Block = tuple[tuple[str, ...], bool, str, int, tuple[bool, ...]]
 _ATTRIBUTE = re.compile(r"""(?i)(?<![\w-])(class|id|role|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -62,13 +67,13 @@ def _marks(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
     return name, aside
 
 
-def blocks_of(html: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
-    """(path, set aside, text, characters of link text) of each block of text in page order.
+def blocks_of(html: str) -> list[Block]:
+    """The blocks of text in page order.
 
     Text runs on through inline elements; white space becomes one space; character references are decoded.
     Comments, raw-text elements and a tag cut off by the end of the page give no text.
     """
-    out, stack, text, links = [], [], [], 0  # stack: (tag, path name, set aside)
+    out, stack, text, links = [], [], [], 0  # stack: (tag, path name, set aside, hash of the path)
     open_, set_aside = Counter(), 0
     in_link, at, n = 0, 0, len(html)
 
@@ -77,7 +82,10 @@ def blocks_of(html: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
         if text:
             words = " ".join(unescape("".join(text)).split())
             if words:
-                out.append((tuple(s[1] for s in stack[:DEPTH]), set_aside > 0, words, min(links, len(words))))
+                path = tuple(s[1] for s in stack[:DEPTH])
+                if len(stack) > DEPTH:
+                    path += (f"#{stack[-2][3]}", stack[-1][1])
+                out.append((path, set_aside > 0, words, min(links, len(words)), tuple(open_[r] > 0 for r in REGIONS)))
             text.clear()
         links = 0
 
@@ -85,7 +93,7 @@ def blocks_of(html: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
         """End elements until ``levels`` are open."""
         nonlocal set_aside
         while len(stack) > levels:
-            tag, _, aside = stack.pop()
+            tag, _, aside, _ = stack.pop()
             open_[tag] -= 1
             set_aside -= aside
 
@@ -161,7 +169,7 @@ def blocks_of(html: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
                 if stack[i][0] in SCOPES:
                     break
         name, aside = _marks(tag, m[3], bool(open_["article"] or open_["main"]))
-        stack.append((tag, name, aside))
+        stack.append((tag, name, aside, hash((stack[-1][3] if stack else 0, name))))
         open_[tag] += 1
         set_aside += aside
     flush()
@@ -183,51 +191,70 @@ def _likeness(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     return (same + (not a and not b)) / max(len(a), len(b), 1)
 
 
-def content(blocks: list[tuple[tuple[str, ...], bool, str, int]], share: float = 0.25, declared_share: float = 0.1, reach: int = 3) -> list[int]:
+def _kind(name: str) -> str:
+    return name.split(".")[0]
+
+
+def content(blocks: list[Block], share: float = 0.25, declared_share: float = 0.1, reach: int = 3) -> list[int]:
     """Indices of the content blocks.
 
-    A path's threshold is ``share`` of the text-weighted mean score. Where a page has an article or main
-    element with text, nothing outside it is content; inside it ratios count by their logarithm, against
-    ``declared_share`` of the mean, since short headings and list items there are text too.
+    A path's threshold is ``share`` of the text-weighted mean score. An article or main element takes weight from the
+    paths outside it, the square of the text outside over that within, links left out; one with less text than there is outside takes none.
+    Where such an element holds most of the text, ratios count by their logarithm, against ``declared_share`` of
+    the mean, since short headings and list items there are text too. Headings of chosen blocks and lists
+    that go on from them are content as well.
     """
     open_ = [i for i, b in enumerate(blocks) if not b[1]]
-    kinds = {i: {s.split(".")[0] for s in blocks[i][0]} for i in open_}
-    scale = float
-    for region in ("article", "main"):
-        inside = [i for i in open_ if region in kinds[i]]
-        if any(len(blocks[i][2]) > blocks[i][3] for i in inside):
-            open_, share, scale = inside, declared_share, log1p
-            break
     if not open_:
         return []
-    sums: dict[tuple[str, ...], list[int]] = {}
+    plain = {i: len(blocks[i][2]) - blocks[i][3] for i in open_}
+    total, weight = sum(plain.values()), dict.fromkeys(open_, 1.0)
+    scale = float
+    for r in range(len(REGIONS)):
+        inside = sum(plain[i] for i in open_ if blocks[i][4][r])
+        if inside and 2 * inside >= total:
+            share, scale = declared_share, log1p
+            for i in open_:
+                if not blocks[i][4][r]:
+                    weight[i] *= ((total - inside) / inside) ** 2
+    sums: dict[tuple[str, ...], list[float]] = {}
     for i in open_:
-        path, _, text, links = blocks[i]
-        own = sums.setdefault(path, [0, 0, 0, 0])
-        for k, v in enumerate((1, len(text), len(PUNCTUATION.findall(text)), links)):
+        path, _, text, links, _ = blocks[i]
+        own = sums.setdefault(path, [0, 0, 0, 0, 0.0])
+        for k, v in enumerate((1, len(text), len(PUNCTUATION.findall(text)), links, weight[i])):
             own[k] += v
-    ratio = {p: scale(chars / n * (1 + marks / n)) for p, (n, chars, marks, _) in sums.items()}
+    ratio = {p: declared / n * scale(chars / n * (1 + marks / n)) for p, (n, chars, marks, _, declared) in sums.items()}
     smooth: dict[tuple[str, ...], float] = {}
     for at, i in enumerate(open_):
         path = blocks[i][0]
-        total = weight = 0.0
+        near = over = 0.0
         for k in range(max(0, at - reach), min(len(open_), at + reach + 1)):
             other = blocks[open_[k]][0]
             w = exp(-((k - at) ** 2) / 2) * (1.0 if other == path else _likeness(path, other))
-            total, weight = total + w * ratio[other], weight + w
-        smooth[path] = smooth.get(path, 0.0) + total / weight
+            near, over = near + w * ratio[other], over + w
+        smooth[path] = smooth.get(path, 0.0) + near / over
     # Fusion with the share of link text: a path of nothing but links stays at 0.
-    score = {p: smooth[p] / n * (1 - links / chars) ** 2 for p, (n, chars, _, links) in sums.items()}
-    bound = share * sum(score[p] * chars for p, (_, chars, _, _) in sums.items()) / sum(own[1] for own in sums.values())
+    score = {p: smooth[p] / n * (1 - links / chars) ** 2 for p, (n, chars, _, links, _) in sums.items()}
+    bound = share * sum(score[p] * own[1] for p, own in sums.items()) / sum(own[1] for own in sums.values())
     chosen = {p for p in sums if score[p] >= bound and score[p] > 0}
-    # The element that holds all chosen paths holds the article: its other paths belong to it, link lists aside.
-    below = [_below_body(p) for p in chosen]
-    shared = 0
-    while below and all(len(p) > shared and p[shared] == below[0][shared] for p in below):
-        shared += 1
-    if shared:
-        chosen |= {p for p, (_, chars, _, links) in sums.items() if _below_body(p)[:shared] == below[0][:shared] and 2 * links < chars}
-    return [i for i in open_ if blocks[i][0] in chosen]
+    kept = {i for i in open_ if blocks[i][0] in chosen}
+    last = None  # path of the last chosen block, as long as nothing else has come between
+    for i in open_:
+        path = blocks[i][0]
+        if path in chosen:
+            last = path
+        elif last and path[: len(last) - 1] == last[:-1] and all(_kind(s) in ITEMS for s in path[len(last) - 1 :]) and 2 * blocks[i][3] < len(blocks[i][2]):
+            kept.add(i)
+        else:
+            last = None
+    # A heading stands over the block that follows, or over one soon after it in the same element.
+    for at in range(len(open_) - 1, -1, -1):
+        i, path = open_[at], blocks[open_[at]][0]
+        if path and _kind(path[-1]) in HEADINGS:
+            after = open_[at + 1 : at + 1 + reach]
+            if any(j in kept and (j == after[0] or blocks[j][0][: len(path) - 1] == path[:-1]) for j in after):
+                kept.add(i)
+    return [i for i in open_ if i in kept]
 
 
 def main_text(html: str | None) -> str:
