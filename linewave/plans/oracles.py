@@ -149,6 +149,12 @@ SQL: dict[str, str] = {
     "morlet_sql": _with(_base(), "SELECT * FROM coefs WHERE direction = 0"),
     "morlet_mirrored_each": _with(_base(taps="range(-CAST(7 * s // 2 + 1 AS BIGINT), n + CAST(7 * s // 2 + 1 AS BIGINT))"), "SELECT * FROM coefs WHERE direction = 0"),
     "morlet_unpadded": _with(_base(taps="range(0, n)"), "SELECT * FROM coefs WHERE direction = 0"),
+    "reflect_index_both": _with(_LONG, "SELECT image_id, direction, channel, line, CAST(unnest(range(-15, n + 15)) AS INTEGER) AS k, CAST(unnest(list_transform(range(-15, n + 15), lambda k: CASE WHEN k < 0 THEN -k - 1 WHEN k >= n THEN 2*n - k - 1 ELSE k END)) AS INTEGER) AS m FROM (SELECT image_id, direction, channel, line, count(*) AS n FROM cells GROUP BY ALL)"),
+    "morlet_sql_both": _with(_base(), "SELECT * FROM coefs"),
+    "morlet_mirrored_each_both": _with(_base(taps="range(-CAST(7 * s // 2 + 1 AS BIGINT), n + CAST(7 * s // 2 + 1 AS BIGINT))"), "SELECT * FROM coefs"),
+    "morlet_unpadded_both": _with(_base(taps="range(0, n)"), "SELECT * FROM coefs"),
+    "means_text_rows": _with(_LONG, "SELECT image_id, 'mean_to_' || CASE direction WHEN 0 THEN 'rows' ELSE 'cols' END || '_by_channel_' || channel AS file, line, CAST(avg(v) AS VARCHAR) AS text FROM cells GROUP BY image_id, direction, channel, line"),
+    "coef_text_both": _with(_base(), f"SELECT {_M}, CAST(CASE direction WHEN 0 THEN line ELSE pos END AS INTEGER) AS line, string_agg(printf('%.3f', raw), ',' ORDER BY CASE direction WHEN 0 THEN pos ELSE line END) AS text FROM plain GROUP BY {_M}, CASE direction WHEN 0 THEN line ELSE pos END"),
     "row_max": _raw(0, 1),
     "row_min": _raw(0, -1),
     "col_max": _raw(1, 1),

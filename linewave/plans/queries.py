@@ -38,6 +38,10 @@ def _lines(spark: SparkSession, sf_dir: str, direction: int) -> DataFrame:
     return lines.column_lines(rows) if direction else lines.row_lines(rows)
 
 
+def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir, 0).unionByName(_lines(spark, sf_dir, 1))
+
+
 def _coefs(spark: SparkSession, sf_dir: str, *directions: int) -> DataFrame:
     parts = [transform.rounded(transform.morlet(lines.centred(_lines(spark, sf_dir, d)), SCALES)) for d in directions]
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -154,6 +158,15 @@ def reflect_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sized.withColumn("k", k).select("image_id", "y", "k", transform.reflected(F.col("k"), F.col("n")).alias("m"))
 
 
+@query
+def reflect_index_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mirrored index of every point of every padded line of both directions."""
+    pad = transform.padding(SCALES)
+    sized = _both(spark, sf_dir).select("image_id", "direction", "channel", "line", F.size("v").alias("n"))
+    k = F.explode(F.sequence(F.lit(-pad), F.col("n") + pad - 1))
+    return sized.withColumn("k", k).select("image_id", "direction", "channel", "line", "k", transform.reflected(F.col("k"), F.col("n")).alias("m"))
+
+
 @query
 def kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kernel weights for every line length."""
@@ -191,6 +204,24 @@ def morlet_unpadded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transform.cells(transform.rounded(transform.morlet(lines.centred(_lines(spark, sf_dir, 0)), SCALES, "none")))
 
 
+@query
+def morlet_sql_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients of both directions by SQL functions alone."""
+    return transform.cells(transform.rounded(transform.morlet_native(lines.centred(_both(spark, sf_dir)), SCALES)))
+
+
+@query
+def morlet_mirrored_each_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients of both directions, each scale with its own pad."""
+    return transform.cells(transform.rounded(transform.morlet(lines.centred(_both(spark, sf_dir)), SCALES, "mirrored_each")))
+
+
+@query
+def morlet_unpadded_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients of both directions without a pad."""
+    return transform.cells(transform.rounded(transform.morlet(lines.centred(_both(spark, sf_dir)), SCALES, "none")))
+
+
 # --- extrema -------------------------------------------------------------------------------------
 
 
@@ -337,12 +368,24 @@ def means_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.groupBy("image_id", "file").agg(F.count("*").alias("n_lines"), F.max("line").alias("last_line"))
 
 
+@query
+def means_text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of both directions as text."""
+    return sinks.means_text(lines.line_means(_both(spark, sf_dir)))
+
+
 @query
 def coef_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coefficients along rows as text with three decimals."""
     return sinks.coefficient_text(transform.morlet(lines.centred(_lines(spark, sf_dir, 0)), SCALES))
 
 
+@query
+def coef_text_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients of both directions as text with three decimals, a matrix row a line."""
+    return sinks.coefficient_text(extrema.matrix_lines(transform.morlet(lines.centred(_both(spark, sf_dir)), SCALES), 0))
+
+
 @query
 def points_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points as text."""
