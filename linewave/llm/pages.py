@@ -1,19 +1,23 @@
 """Main text of web pages by tag-path ratios (operator 6).
 
 A page is cut into blocks of text; each block has a root-to-leaf path of block-level tags. For every path
-three figures are gathered: characters a block, punctuation marks a block, share of link text. They are
-fused into one score, smoothed over neighbouring blocks whose paths agree below the body, and paths
-whose score reaches a threshold are the content. What the markup itself declares enters as a weight of the
-path: 0 in navigation, forms, advert and comment classes; outside an article or main element, by the text there and within.
+four figures are gathered over its blocks: characters a block, punctuation marks a block, the spread of the blocks'
+lengths, and the share of link text. Their logarithms are added up to the path's ratio; ratios are smoothed over
+neighbouring blocks as far as their paths agree, and fused with what the markup itself declares: a path that is set
+aside by its names loses a fixed amount, one in an article or main element gains one. Paths whose score
+comes near the page's mean are the content.
+
+Nothing in the markup but ``hidden`` decides by itself: without any class names and with ``div`` for all elements
+that tell something, the ratios find the same text on most pages.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from html import unescape
-from math import exp, log1p
+from math import exp, log, log1p, sqrt
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,13 +25,14 @@ from pyspark.sql import functions as F
 
 from linewave.llm.common import slices
 
-# Element kinds of HTML and the names by which pages mark what is not their text.
+# Element kinds of HTML, as its standard has them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes noscript xmp svg math template object canvas".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "optgroup": ("option", "optgroup"), "tbody": ("thead", "tbody", "tfoot", "tr", "td", "th"), "thead": ("tbody",), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPES = frozenset("ul ol dl table menu select body html article section div".split())
+# A choice of tags, names and roles by which pages commonly mark what is not their text; they lower a score.
 ASIDE_TAGS = frozenset("nav footer aside form button select dialog menu head fieldset search audio video".split())
 ASIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising aside banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer discussion disqus footer "
@@ -41,20 +46,47 @@ PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 # Possessive throughout: no input makes them go back.
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^'">]++|"[^"]*+"|'[^']*+')*+)>""")
 _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
-#: Levels of a path that are spelled out, those between them and the last stand as one hash; optional end tags are looked for as far up.
-DEPTH = 32
 REGIONS = ("article", "main")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ITEMS = frozenset("ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption".split())
-#: path, set aside, text, characters of link text, whether within each of REGIONS
-Block = tuple[tuple[str, ...], bool, str, int, tuple[bool, ...]]
+#: What a path's score, a sum of logarithms, loses where the markup sets it aside, and gains in an article or main element.
+ASIDE_LOSS, REGION_GAIN = 3.5, 1.0
+#: How far below the page's mean score the content goes, as a logarithm.
+NEAR_MEAN = 0.5
 _ATTRIBUTE = re.compile(r"""(?i)(?<![\w-])(class|id|role|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def _marks(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
-    """Path name of an element, and whether the markup sets it aside from the text."""
-    aside = tag in ASIDE_TAGS or (tag == "header" and not in_article)
+class Block(NamedTuple):
+    """A block of text and what its path says; levels count from the root."""
+
+    path: int  # number of its path among the page's distinct paths of names
+    depth: int  # levels of its path
+    base: int  # levels of them that are html or body
+    shared: int  # levels that its path has in common with that of the block before
+    outer: int  # levels above the run of list and table elements that ends its path
+    heading: int  # levels from a heading up to the element that it is the heading of; 0: no heading
+    aside: bool
+    text: str
+    links: int  # characters of link text
+    regions: tuple[bool, ...]  # whether within each of REGIONS
+
+
+class _Open(NamedTuple):
+    """An open element."""
+
+    tag: str
+    name: str
+    aside: bool
+    hidden: bool
+    path: int
+    base: int
+    outer: int
+
+
+def _marks(tag: str, attributes: str, in_article: bool) -> tuple[str, bool, bool]:
+    """Path name of an element, whether its names set it aside from the text, and whether it is hidden."""
+    aside, hidden = tag in ASIDE_TAGS or (tag == "header" and not in_article), False
     name = tag
     if attributes.strip(" /"):
         found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
@@ -63,45 +95,64 @@ def _marks(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
         if tag not in ("html", "body", "main"):
             words = {w.lower() for w in _NAME.findall(f"{found.get('class', '')} {found.get('id', '')}")}
             aside = aside or bool(words & ASIDE_NAMES and not words & WHOLE_NAMES) or ("header" in words and not in_article and not words & {"article", "entry", "post"})
-            aside = aside or found.get("role", "").lower() in ASIDE_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
-    return name, aside
+            aside = aside or found.get("role", "").lower() in ASIDE_ROLES
+            hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true"
+    return name, aside, hidden
 
 
 def blocks_of(html: str) -> list[Block]:
     """The blocks of text in page order.
 
     Text runs on through inline elements; white space becomes one space; character references are decoded.
-    Comments, raw-text elements and a tag cut off by the end of the page give no text.
+    Comments, raw-text and hidden elements and a tag cut off by the end of the page give no text. Paths of any depth
+    are told apart: a path is a number, made of its parent's and its last name.
     """
-    out, stack, text, links = [], [], [], 0  # stack: (tag, path name, set aside, hash of the path)
-    open_, set_aside = Counter(), 0
-    in_link, at, n = 0, 0, len(html)
+    out: list[Block] = []
+    stack: list[_Open] = []
+    paths: dict[tuple[int, str], int] = {}
+    where: dict[str, list[int]] = {}  # places of the open elements of each tag
+    scopes: list[int] = []  # and of those that optional end tags do not reach beyond
+    text: list[str] = []
+    links = in_link = set_aside = hidden = 0
+    before: list[str] = []  # names of the last block's path
+    least = 0  # levels that have stayed open since
+    at, n = 0, len(html)
 
     def flush() -> None:
-        nonlocal links
+        nonlocal links, least
         if text:
             words = " ".join(unescape("".join(text)).split())
-            if words:
-                path = tuple(s[1] for s in stack[:DEPTH])
-                if len(stack) > DEPTH:
-                    path += (f"#{stack[-2][3]}", stack[-1][1])
-                out.append((path, set_aside > 0, words, min(links, len(words)), tuple(open_[r] > 0 for r in REGIONS)))
+            if words and not hidden:
+                same = min(least, len(before))
+                while same < min(len(stack), len(before)) and stack[same].name == before[same]:
+                    same += 1
+                before[same:] = [s.name for s in stack[same:]]
+                least = len(stack)
+                top = stack[-1] if stack else _Open("", "", False, False, 0, 0, 0)
+                heading = 0 if top.tag not in HEADINGS else 2 if len(stack) > 1 and stack[-2].tag in ("header", "hgroup") else 1
+                out.append(Block(top.path, len(stack), top.base, same, top.outer, heading, set_aside > 0, words, min(links, len(words)), tuple(bool(where.get(r)) for r in REGIONS)))
             text.clear()
         links = 0
 
     def close(levels: int) -> None:
         """End elements until ``levels`` are open."""
-        nonlocal set_aside
+        nonlocal set_aside, hidden, least
         while len(stack) > levels:
-            tag, _, aside, _ = stack.pop()
-            open_[tag] -= 1
-            set_aside -= aside
-
-    def close_to(tag: str) -> None:
-        """End the innermost open element of this kind and all within it."""
-        while stack[-1][0] != tag:
-            close(len(stack) - 1)
-        close(len(stack) - 1)
+            gone = stack.pop()
+            where[gone.tag].pop()
+            if gone.tag in SCOPES:
+                scopes.pop()
+            set_aside -= gone.aside
+            hidden -= gone.hidden
+        least = min(least, levels)
+
+    def end_siblings(tags: tuple[str, ...]) -> None:
+        """End the run of such elements that is open within the innermost scope."""
+        last = max((where[t][-1] for t in tags if where.get(t)), default=-1)
+        if last >= 0 and last > (scopes[-1] if scopes else -1):
+            while last and stack[last - 1].tag in tags:
+                last -= 1
+            close(last)
 
     while at < n:
         cut = html.find("<", at)
@@ -134,9 +185,9 @@ def blocks_of(html: str) -> list[Block]:
         if m[1]:
             if tag in INLINE:
                 in_link -= tag == "a" and in_link > 0
-            elif open_[tag]:
+            elif where.get(tag):
                 flush()
-                close_to(tag)
+                close(where[tag][-1])
                 in_link = 0
             elif tag == "p" or tag == "br":
                 flush() if tag == "p" else text.append(" ")
@@ -157,104 +208,102 @@ def blocks_of(html: str) -> list[Block]:
             continue
         flush()
         in_link = 0
-        if tag in CLOSES_P and open_["p"]:
-            close_to("p")
-        if tag in SIBLINGS and any(open_[t] for t in SIBLINGS[tag]):
-            for i in range(len(stack) - 1, max(-1, len(stack) - 1 - DEPTH), -1):
-                if stack[i][0] in SIBLINGS[tag]:
-                    while i and stack[i - 1][0] in SIBLINGS[tag]:
-                        i -= 1
-                    close(i)
-                    break
-                if stack[i][0] in SCOPES:
-                    break
-        name, aside = _marks(tag, m[3], bool(open_["article"] or open_["main"]))
-        stack.append((tag, name, aside, hash((stack[-1][3] if stack else 0, name))))
-        open_[tag] += 1
+        if tag in CLOSES_P and where.get("p"):
+            close(where["p"][-1])
+        if tag in SIBLINGS:
+            end_siblings(SIBLINGS[tag])
+        name, aside, unseen = _marks(tag, m[3], bool(where.get("article") or where.get("main")))
+        above = stack[-1] if stack else None
+        path = paths.setdefault((above.path if above else 0, name), len(paths) + 1)
+        base = len(stack) + 1 if tag in ("html", "body") else above.base if above else 0
+        outer = (above.outer if above else 0) if tag in ITEMS else len(stack) + 1
+        where.setdefault(tag, []).append(len(stack))
+        if tag in SCOPES:
+            scopes.append(len(stack))
+        stack.append(_Open(tag, name, aside, unseen, path, base, outer))
         set_aside += aside
+        hidden += unseen
     flush()
     return out
 
 
-def _below_body(path: tuple[str, ...]) -> tuple[str, ...]:
-    return tuple(s for s in path if s.split(".")[0] not in ("html", "body"))
-
+class _Sums:
+    """Figures of one path, added up over its blocks."""
 
-def _likeness(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-    """Share of two paths, below the body, that they have in common from the root."""
-    a, b = _below_body(a), _below_body(b)
-    same = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        same += 1
-    return (same + (not a and not b)) / max(len(a), len(b), 1)
+    def __init__(self) -> None:
+        self.blocks = self.chars = self.squares = self.marks = self.links = 0
+        self.declared = self.smooth = 0.0
 
 
-def _kind(name: str) -> str:
-    return name.split(".")[0]
+def path_ratio(sums: _Sums) -> float:
+    """A path's ratio: logarithms of length, punctuation and spread a block, and of the share that is no link."""
+    plain = (sums.chars - sums.links) / sums.blocks
+    spread = sqrt(max(0.0, sums.squares / sums.blocks - (sums.chars / sums.blocks) ** 2))
+    return log1p(plain) + log1p(sums.marks / sums.blocks) + 0.25 * log1p(spread) + 2 * log(1.01 - sums.links / sums.chars)
 
 
-def content(blocks: list[Block], share: float = 0.25, declared_share: float = 0.1, reach: int = 3) -> list[int]:
-    """Indices of the content blocks.
+def content(blocks: list[Block], near_mean: float = NEAR_MEAN, reach: int = 3) -> list[int]:
+    """Indices of the content blocks: those of paths with a score of ``near_mean`` below the page's mean at the least.
 
-    A path's threshold is ``share`` of the text-weighted mean score. An article or main element takes weight from the
-    paths outside it, the square of the text outside over that within, links left out; one with less text than there is outside takes none.
-    Where such an element holds most of the text, ratios count by their logarithm, against ``declared_share`` of
-    the mean, since short headings and list items there are text too. Headings of chosen blocks and lists
-    that go on from them are content as well.
+    The mean weighs paths by their text without links and by what the markup declares. A path of nothing but links is
+    no content. Headings of chosen blocks, and lists that go on from them, are content as well.
     """
-    open_ = [i for i, b in enumerate(blocks) if not b[1]]
-    if not open_:
+    if not blocks:
+        return []
+    sums: dict[int, _Sums] = {}
+    for b in blocks:
+        own = sums.setdefault(b.path, _Sums())
+        own.blocks += 1
+        own.chars += len(b.text)
+        own.squares += len(b.text) ** 2
+        own.marks += len(PUNCTUATION.findall(b.text))
+        own.links += b.links
+        own.declared += REGION_GAIN * any(b.regions) - ASIDE_LOSS * b.aside
+    ratio = {p: path_ratio(own) for p, own in sums.items()}
+    for at, b in enumerate(blocks):
+        near, over = ratio[b.path], 1.0
+        for step in (-1, 1):
+            agree, k = b.depth, at
+            while 0 <= k + step < len(blocks) and abs(k + step - at) <= reach:
+                agree = min(agree, blocks[max(k, k + step)].shared)
+                k += step
+                other = blocks[k]
+                levels = max(b.depth - b.base, other.depth - other.base, 1)
+                likeness = 1.0 if other.path == b.path else max(0, agree - b.base) / levels
+                w = exp(-((k - at) ** 2) / 2) * likeness
+                near, over = near + w * ratio[other.path], over + w
+        sums[b.path].smooth += near / over
+    score, weight = {}, {}
+    for p, own in sums.items():
+        declared = own.declared / own.blocks
+        score[p] = own.smooth / own.blocks + declared
+        weight[p] = (own.chars - own.links) * exp(declared)
+    if not any(weight.values()):
         return []
-    plain = {i: len(blocks[i][2]) - blocks[i][3] for i in open_}
-    total, weight = sum(plain.values()), dict.fromkeys(open_, 1.0)
-    scale = float
-    for r in range(len(REGIONS)):
-        inside = sum(plain[i] for i in open_ if blocks[i][4][r])
-        if inside and 2 * inside >= total:
-            share, scale = declared_share, log1p
-            for i in open_:
-                if not blocks[i][4][r]:
-                    weight[i] *= ((total - inside) / inside) ** 2
-    sums: dict[tuple[str, ...], list[float]] = {}
-    for i in open_:
-        path, _, text, links, _ = blocks[i]
-        own = sums.setdefault(path, [0, 0, 0, 0, 0.0])
-        for k, v in enumerate((1, len(text), len(PUNCTUATION.findall(text)), links, weight[i])):
-            own[k] += v
-    ratio = {p: declared / n * scale(chars / n * (1 + marks / n)) for p, (n, chars, marks, _, declared) in sums.items()}
-    smooth: dict[tuple[str, ...], float] = {}
-    for at, i in enumerate(open_):
-        path = blocks[i][0]
-        near = over = 0.0
-        for k in range(max(0, at - reach), min(len(open_), at + reach + 1)):
-            other = blocks[open_[k]][0]
-            w = exp(-((k - at) ** 2) / 2) * (1.0 if other == path else _likeness(path, other))
-            near, over = near + w * ratio[other], over + w
-        smooth[path] = smooth.get(path, 0.0) + near / over
-    # Fusion with the share of link text: a path of nothing but links stays at 0.
-    score = {p: smooth[p] / n * (1 - links / chars) ** 2 for p, (n, chars, _, links, _) in sums.items()}
-    bound = share * sum(score[p] * own[1] for p, own in sums.items()) / sum(own[1] for own in sums.values())
-    chosen = {p for p in sums if score[p] >= bound and score[p] > 0}
-    kept = {i for i in open_ if blocks[i][0] in chosen}
-    last = None  # path of the last chosen block, as long as nothing else has come between
-    for i in open_:
-        path = blocks[i][0]
-        if path in chosen:
-            last = path
-        elif last and path[: len(last) - 1] == last[:-1] and all(_kind(s) in ITEMS for s in path[len(last) - 1 :]) and 2 * blocks[i][3] < len(blocks[i][2]):
+    bound = sum(score[p] * weight[p] for p in sums) / sum(weight.values()) - near_mean
+    chosen = {p for p, own in sums.items() if score[p] >= bound and own.links < own.chars}
+    kept = {i for i, b in enumerate(blocks) if b.path in chosen}
+    # Lists, tables and quotations that go on from the text, at its level or below.
+    level, agree, aside = None, 0, False
+    for i, b in enumerate(blocks):
+        agree = min(agree, b.shared)
+        if b.path in chosen:
+            level, agree, aside = b.depth - 1, b.depth, b.aside
+        elif level is not None and b.aside <= aside and b.depth > level >= b.outer and agree >= level and 2 * b.links < len(b.text):
             kept.add(i)
         else:
-            last = None
-    # A heading stands over the block that follows, or over one soon after it in the same element.
-    for at in range(len(open_) - 1, -1, -1):
-        i, path = open_[at], blocks[open_[at]][0]
-        if path and _kind(path[-1]) in HEADINGS:
-            after = open_[at + 1 : at + 1 + reach]
-            if any(j in kept and (j == after[0] or blocks[j][0][: len(path) - 1] == path[:-1]) for j in after):
-                kept.add(i)
-    return [i for i in open_ if i in kept]
+            level = None
+    # A heading stands over the block that follows, or over one soon after it in the same element or that around its header.
+    for i in range(len(blocks) - 1, -1, -1):
+        b = blocks[i]
+        if b.heading:
+            agree = b.depth
+            for j in range(i + 1, min(i + 1 + reach, len(blocks))):
+                agree = min(agree, blocks[j].shared)
+                if j in kept and b.aside <= blocks[j].aside and (j == i + 1 or agree >= b.depth - b.heading):
+                    kept.add(i)
+                    break
+    return sorted(kept)
 
 
 def main_text(html: str | None) -> str:
@@ -262,7 +311,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     blocks = blocks_of(html)
-    return "\n\n".join(blocks[i][2] for i in content(blocks))
+    return "\n\n".join(blocks[i].text for i in content(blocks))
 
 
 def extract_text(df: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
