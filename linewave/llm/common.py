@@ -88,9 +88,9 @@ def _hash_piece(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: bytes, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash and start offset of every word of ``data``, worked in pieces that end at white space."""
+    """64-bit hash and start offset of every word of ``data``, A-Z lower-cased, worked in pieces that end at white space."""
     if len(data) <= piece:
-        return _hash_piece(data)
+        return _hash_piece(data.lower())
     hashes, starts, lo = [], [], 0
     while lo < len(data):
         hi = min(lo + piece, len(data))
@@ -100,11 +100,13 @@ def word_hashes(data: bytes, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarr
                 later = [x for c in SPACES if (x := data.find(bytes([c]), hi)) >= 0]
                 cut = min(later, default=len(data) - 1)
             hi = cut + 1
-        h, s = _hash_piece(data[lo:hi])
+        h, s = _hash_piece(data[lo:hi].lower())
         hashes.append(h)
         starts.append(s + lo)
         lo = hi
-    return np.concatenate(hashes), np.concatenate(starts)
+    every = np.concatenate(hashes)
+    hashes.clear()
+    return every, np.concatenate(starts)
 
 
 def _combine(parts: list[np.ndarray], n: int) -> np.ndarray:
@@ -120,21 +122,26 @@ def shingle_sequences(texts: list[str | None], k: int) -> tuple[np.ndarray, np.n
     Words are runs of anything but white space, with A-Z lower-cased. A text of fewer than ``k`` words
     has its whole word sequence as one shingle; a text without words (or null) has none.
     """
-    data = [b"" if t is None else t.encode("utf-8", "surrogatepass").lower() for t in texts]
-    words, starts = word_hashes(b"\n".join(data))
+    data = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
     first = np.zeros(len(data) + 1, dtype=np.int64)
     np.cumsum([len(d) + 1 for d in data], out=first[1:])
+    data = data[0] if len(data) == 1 else b"\n".join(data)
+    words, starts = word_hashes(data)
+    del data
     bound = np.searchsorted(starts, first)
+    del starts
     n_words = np.diff(bound)
     counts = np.where(n_words >= k, n_words - k + 1, (n_words > 0).astype(np.int64))
-    bounds = np.zeros(len(data) + 1, dtype=np.int64)
+    bounds = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum(counts, out=bounds[1:])
     out = np.empty(bounds[-1], dtype=np.uint64)
     if len(words) >= k:
-        every = _combine([words[j : len(words) - k + 1 + j] for j in range(k)], k)
-        usual = np.repeat(n_words >= k, counts)
-        at = np.repeat(bound[:-1] - bounds[:-1], counts) + np.arange(bounds[-1])
-        out[usual] = every[at[usual]]
+        every = np.empty(len(words) - k + 1, dtype=np.uint64)
+        for lo in range(0, len(every), 1 << 18):  # in parts, for the sake of what lies between the steps
+            hi = min(lo + (1 << 18), len(every))
+            every[lo:hi] = _combine([words[lo + j : hi + j] for j in range(k)], k)
+        for i in np.flatnonzero(n_words >= k):
+            out[bounds[i] : bounds[i + 1]] = every[bound[i] : bound[i] + counts[i]]
     for i in np.flatnonzero((n_words > 0) & (n_words < k)):
         own = words[bound[i] : bound[i + 1]]
         out[bounds[i]] = _combine([own[j : j + 1] for j in range(len(own))], len(own))[0]

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from linewave.llm.common import shingle_sequences, shingle_sets, slices
 
 BANDS = 64
+#: Shingles of a text whose windows are laid out at a time, and the size of the blocks that are kept of them for larger classes.
+STRETCH, KEPT = 1 << 15, 1 << 12
 _rng = np.random.RandomState(20240608)
 _MULTIPLY = _rng.randint(0, 1 << 62, BANDS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.randint(0, 1 << 62, BANDS).astype(np.uint64)
@@ -67,18 +69,43 @@ class ItemIndex:
         return cls(ids, sets, classes)
 
     def candidates(self, flat: np.ndarray, bounds: np.ndarray) -> dict[int, set[int]]:
-        """Text -> items that share a band with one of its windows."""
+        """Text -> items that share a band with one of its windows.
+
+        Texts are worked in stretches of whole blocks, each with the block that follows. Of a stretch no more is kept than its
+        minima for the classes of the larger items, so memory grows neither with the text nor with small items.
+        """
         found: dict[int, set[int]] = {}
-        if not self.classes or not len(flat):
-            return found
-        size = min(self.classes)
-        counts = -(-np.diff(bounds) // size)
-        owner = np.repeat(np.arange(len(counts)), counts)
-        first = np.concatenate([[0], np.cumsum(counts)])
-        at = bounds[:-1][owner] + (np.arange(first[-1]) - first[:-1][owner]) * size
-        blocks = _minima(flat, at)
+        small = [g for g in self.classes if g <= KEPT]
+        large = [g for g in self.classes if g > KEPT]
+        size = min(small, default=KEPT)
+        parts = [(i, lo, min(lo + STRETCH + KEPT, hi)) for i, (first, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())) for lo in range(first, hi, STRETCH)]
+        kept: dict[int, list[np.ndarray]] = {}
+        while parts:
+            total, n = 0, 0
+            while n < len(parts) and (not n or total + parts[n][2] - parts[n][1] <= STRETCH + KEPT):
+                total, n = total + parts[n][2] - parts[n][1], n + 1
+            now, parts = parts[:n], parts[n:]
+            owner, at, ends = [], [], []
+            for j, (_, lo, hi) in enumerate(now):
+                starts = np.arange(lo, hi, size)
+                owner.append(np.full(len(starts), j))
+                at.append(starts - lo + sum(ends))
+                ends.append(hi - lo)
+            minima = _minima(np.concatenate([flat[lo:hi] for _, lo, hi in now]), np.concatenate(at))
+            texts = np.array([i for i, _, _ in now])
+            blocks, owner = self._climb(minima, np.concatenate(owner), size, small, KEPT if large else 0, texts, found)
+            if large:
+                for j, i in enumerate(texts.tolist()):
+                    kept.setdefault(i, []).append(blocks[owner == j][: STRETCH // KEPT])
+        if large and kept:
+            each = [np.concatenate(kept[i]) for i in kept]
+            self._climb(np.concatenate(each), np.repeat(np.arange(len(each)), [len(e) for e in each]), KEPT, large, 0, np.array(list(kept)), found)
+        return found
+
+    def _climb(self, blocks: np.ndarray, owner: np.ndarray, size: int, sizes: list[int], up_to: int, texts: np.ndarray, found: dict[int, set[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Look windows up in the classes of ``sizes``, from blocks of ``size`` on; the blocks of the last size, or of ``up_to``."""
         while True:
-            if size in self.classes:
+            if size in sizes:
                 filters, bands = self.classes[size]
                 windows = blocks.copy()
                 inner = np.flatnonzero(owner[1:] == owner[:-1])
@@ -90,22 +117,22 @@ class ItemIndex:
                         values, members = bands[p]
                         lo, hi = np.searchsorted(values, own[hit]), np.searchsorted(values, own[hit], side="right")
                         for w, a, b in zip(hit[hi > lo], lo[hi > lo], hi[hi > lo]):
-                            found.setdefault(int(owner[w]), set()).update(members[a:b].tolist())
-            if size >= max(self.classes):
-                return found
+                            found.setdefault(int(texts[owner[w]]), set()).update(members[a:b].tolist())
+            if size >= max([*sizes, up_to]):
+                return blocks, owner
             # Blocks of twice the size: within each text, 0 with 1, 2 with 3, ...
+            first = np.searchsorted(owner, np.arange(len(texts) + 1))
             place = np.arange(len(owner)) - first[:-1][owner]
             even = np.flatnonzero(place % 2 == 0)
             paired = even[(even + 1 < len(owner)) & (owner[np.minimum(even + 1, len(owner) - 1)] == owner[even])]
             blocks[paired] = np.minimum(blocks[paired], blocks[paired + 1])
             blocks, owner, size = blocks[even], owner[even], 2 * size
-            first = np.searchsorted(owner, np.arange(len(counts) + 1))
 
     def search(self, texts: list[str | None], k: int, percent: int) -> Iterator[tuple[int, int, int]]:
         """(text, item, shared shingles) of each pair with 100 * shared >= percent * the item's shingles."""
         flat, bounds = shingle_sequences(texts, k)
         for i, items in sorted(self.candidates(flat, bounds).items()):
-            own = np.unique(flat[bounds[i] : bounds[i + 1]])
+            own = np.sort(flat[bounds[i] : bounds[i + 1]])
             for j in sorted(items):
                 item = self.sets[j]
                 at = np.minimum(np.searchsorted(own, item), len(own) - 1)
@@ -114,10 +141,12 @@ class ItemIndex:
                     yield i, j, shared
 
 
-def _indexes(benchmark: DataFrame, item_id: str, item_text: str, k: int, block_items: int) -> Iterator[ItemIndex]:
-    """The test items in blocks of about ``block_items``; one block is on the driver at a time."""
+def _indexes(benchmark: DataFrame, item_id: str, item_text: str, k: int, block_items: int, block_bytes: int = 64 << 20) -> Iterator[ItemIndex]:
+    """The test items in blocks of about ``block_items`` and an index of ``block_bytes`` at most; one block is on the driver at a time."""
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
-    blocks = max(1, -(-items.count() // block_items))
+    # An item takes 12 bytes a band and 8 a shingle; a shingle is two characters at least.
+    size = items.agg(F.count("*").alias("n"), F.sum(12 * BANDS + 4 * F.coalesce(F.length("t"), F.lit(0))).alias("most")).first()
+    blocks = max(1, -(-size.n // block_items), -(-(size.most or 0) // block_bytes))
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b) if blocks > 1 else items
         yield ItemIndex.of([(r.i, r.t) for r in own.collect()], k)
@@ -132,14 +161,14 @@ def leaks(
     item_text: str = "text",
     k: int = 5,
     percent: int = 80,
-    block_items: int = 10_000,
+    block_items: int = 50_000,
 ) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared, containment) of each document and test item found in it.
 
     Shingles are k words, A-Z lower-cased; a text of fewer words is one shingle, so a shorter item matches
     only documents of just its words. Null and empty texts on either side match nothing; null ids are
     reported as null; every row counts, repeated ones too. Extra columns are left out. An empty table on
-    either side gives an empty result. Items are broadcast in blocks of about ``block_items``: the documents
+    either side gives an empty result. Items are broadcast in blocks of about ``block_items`` or 64 MB: the documents
     are scanned once a block and never shuffled.
     """
     spark = df.sparkSession
@@ -161,7 +190,7 @@ def leaks(
     return out.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
-def decontaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", k: int = 5, percent: int = 80, block_items: int = 10_000) -> DataFrame:
+def decontaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", k: int = 5, percent: int = 80, block_items: int = 50_000) -> DataFrame:
     """The rows of ``df`` whose text holds no test item, with all their columns; one scan, no shuffle."""
     names, schema = df.columns, df.schema
     inner = [f"c{i}" for i in range(len(names))]  # names may repeat or clash
