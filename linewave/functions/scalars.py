@@ -50,10 +50,19 @@ def task_status(has_image: Column, n_scales: Column, colours: Column) -> Column:
 
 
 def cropped_name(path: Column) -> Column:
-    """Name of a cropped copy: ``_cropped`` before the extension, once."""
-    base = F.regexp_extract(path, r"([^/\\]*)$", 1)
-    stem, suffix = F.regexp_extract(base, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(base, r"(\.[^.]*)$", 1)
-    return F.when(F.lower(base).contains("cropped"), base).otherwise(F.concat(stem, F.lit("_cropped"), suffix))
+    """Path of a cropped copy, in the same folder: ``_cropped`` before the extension, unless the name has it already.
+
+    An extension follows the last dot of the name, leading dots left out; it is not searched for the word.
+    """
+    suffix = F.regexp_extract(path, r"[^/\\.][^/\\]*(\.[^./\\]*)$", 1)
+    stem = F.substring(path, F.lit(1), F.length(path) - F.length(suffix))
+    named = F.lower(F.regexp_extract(stem, r"([^/\\]*)$", 1)).contains("cropped")
+    return F.when(named, path).otherwise(F.concat(stem, F.lit("_cropped"), suffix))
+
+
+def is_image_name(path: Column) -> Column:
+    """Whether a path ends like an image that is read, in upper or lower case."""
+    return path.rlike(r"(?i)\.(png|jpe?g|bmp)$")
 
 
 def scale_label(scale: Column, whole: bool) -> Column:

@@ -1,9 +1,11 @@
 """Multi-scale Morlet transform of lines.
 
 coef[s, j] = 1/sqrt(s) * sum over k in -pad .. n+pad-1 of d[reflect(k)] * 0.75 * exp(-t*t/2) * cos(2*pi*t), with
-t = (k-j)/s and pad = int(7 * largest scale) div 2 + 1; reflect mirrors once at either end, repeating the edge. As
-reflection is linear, a line's coefficients are a matrix times the line, and the matrix depends on the
-length and the scales alone: each Python worker builds it once a length.
+t = (k-j)/s and pad = int(7 * largest scale) div 2 + 1; reflect mirrors once at either end, repeating the edge.
+
+Terms with |t| > 8.3 are below 1.1e-15 of the largest one, so a coefficient takes only the points within 8.3 scales of its place.
+Lines are cut into runs of places; a run with its surroundings, times one banded matrix a scale, gives the run's
+coefficients. The matrix depends on the scale alone, so memory is the same for lines of any length.
 
 Borders: ``mirrored`` takes the pad of the largest scale for all, ``mirrored_each`` each scale's own, ``none`` no pad.
 """
@@ -21,6 +23,9 @@ from pyspark.sql import functions as F
 from linewave.functions.scalars import round_half_even
 
 KEYS = ["image_id", "direction", "channel", "scale", "line"]
+#: Scales on either side of a place that count, and values of lines worked at a time.
+REACH = 8.3
+VALUES = 1 << 19
 COEFS = "image_id long, direction int, channel int, scale double, line int, c array<double>"
 
 
@@ -41,23 +46,46 @@ def paddings(scales: list[float], border: str = "mirrored") -> list[int]:
     return [0 if border == "none" else padding([s] if border == "mirrored_each" else scales) for s in scales]
 
 
-@lru_cache(maxsize=256)
-def kernel_matrix(n: int, scales: tuple[float, ...], border: str = "mirrored") -> np.ndarray:
-    """(scales, n, n) weights: coefficient j of a scale is row j times the line."""
-    pads = paddings(list(scales), border)
-    if max(pads) > n:
-        raise ValueError(f"a line of {n} points is too short for scale {max(scales)}: it must have {max(pads)}")
-    out = np.zeros((len(scales), n, n))
-    for i, (s, pad) in enumerate(zip(scales, pads)):
-        k = np.arange(-pad, n + pad)
-        at = np.where(k < 0, -k - 1, np.where(k >= n, 2 * n - k - 1, k))
-        t = (k[None, :] - np.arange(n)[:, None]) / s
-        wave = 0.75 * np.exp(-t * t / 2) * np.cos(2 * np.pi * t)
-        for j in range(n):
-            out[i, j] = np.bincount(at, weights=wave[j], minlength=n) / np.sqrt(s)
+def taps(scale: float) -> np.ndarray:
+    """Weights of the points from -r to r around a place, r the last within :data:`REACH` scales."""
+    t = np.arange(-int(REACH * scale), int(REACH * scale) + 1) / scale
+    return 0.75 * np.exp(-t * t / 2) * np.cos(2 * np.pi * t) / np.sqrt(scale)
+
+
+@lru_cache(maxsize=64)
+def band(scale: float) -> np.ndarray:
+    """(run + 2r, run) matrix from a run of places and the r points on either side to the run's coefficients."""
+    own = taps(scale)
+    r = len(own) // 2
+    run = min(512, max(64, r))
+    out = np.zeros((run + 2 * r, run))
+    for j in range(run):
+        out[j : j + 2 * r + 1, j] = own
     return out
 
 
+def coefficients(flat: np.ndarray, sizes: np.ndarray, scale: float, pad: int, most_bytes: int = 8 << 20) -> np.ndarray:
+    """The coefficients of lines that lie one behind the other in ``flat``, in the same layout."""
+    matrix = band(scale)
+    width, run = matrix.shape
+    r = (width - run) // 2
+    runs = -(-sizes // run)
+    line = np.repeat(np.arange(len(sizes)), runs)
+    first = (np.arange(len(line)) - np.repeat(np.cumsum(runs) - runs, runs)) * run
+    starts = np.cumsum(sizes) - sizes
+    out, each = [np.zeros(0)], max(1, most_bytes // (8 * width))
+    for lo in range(0, len(line), each):
+        own = line[lo : lo + each]
+        n = sizes[own][:, None]
+        k = first[lo : lo + each, None] + np.arange(-r, run + r)
+        inside = (k >= -pad) & (k < n + pad)
+        at = np.where(k < 0, -k - 1, np.where(k >= n, 2 * n - k - 1, k))
+        around = np.where(inside, flat[starts[own][:, None] + np.where(inside, at, 0)], 0.0)
+        here = first[lo : lo + each, None] + np.arange(run) < n
+        out.append((around @ matrix)[here])
+    return np.concatenate(out)
+
+
 def kernel_frame(spark: SparkSession, lengths: DataFrame, scales: list[float]) -> DataFrame:
     """(n, scale, j, m, w) weights for each of ``lengths`` (n), by SQL functions alone."""
     pad = padding(scales)
@@ -84,37 +112,60 @@ def morlet(lines: DataFrame, scales: list[float], border: str = "mirrored") -> D
     and a scale of 0 or less raise an error; null lines are left out; repeated scales count once.
     """
     scales = tuple(dict.fromkeys(_checked(scales)))
-    paddings(list(scales), border)
+    pads = paddings(list(scales), border)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = batch.column("v")
-            sizes, flat = np.diff(v.offsets.to_numpy()), v.flatten().to_numpy()
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-            for n in np.unique(sizes):
-                at = np.flatnonzero(sizes == n)
-                for lo in range(0, len(at), 1024):
-                    own = at[lo : lo + 1024]
-                    block = flat[starts[own][:, None] + np.arange(n)]
-                    some = batch.take(pa.array(own))
-                    for s, matrix in zip(scales, kernel_matrix(int(n), scales, border)):
-                        values = pa.ListArray.from_arrays(pa.array(np.arange(0, block.size + 1, n, dtype=np.int32)), pa.array((block @ matrix.T).ravel()))
-                        yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("image_id", "direction", "channel")), pa.array(np.full(len(own), s)), some.column("line"), values], names=[*KEYS, "c"])
+            every = np.diff(batch.column("v").offsets.to_numpy()).astype(np.int64)
+            if len(every) and every.min() < max(pads):
+                raise ValueError(f"a line of {every.min()} points is too short for scale {max(scales)}: it must have {max(pads)}")
+            part = np.cumsum(every) // VALUES
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(every)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                some, sizes = batch.slice(lo, hi - lo), every[lo:hi]
+                flat = some.column("v").flatten().to_numpy()
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                for s, pad in zip(scales, pads):
+                    values = pa.ListArray.from_arrays(ends, pa.array(coefficients(flat, sizes, s, pad)))
+                    yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("image_id", "direction", "channel")), pa.array(np.full(len(sizes), s)), some.column("line"), values], names=[*KEYS, "c"])
 
     return lines.where("v is not null and size(v) > 0").select("image_id", "direction", "channel", "line", "v").mapInArrow(run, COEFS)
 
 
-def morlet_native(lines: DataFrame, scales: list[float]) -> DataFrame:
-    """:func:`morlet` by SQL functions alone: a broadcast table of kernel rows and a dot product each."""
+def _sum(terms: list[Column]) -> Column:
+    """The terms added up in pairs, so that the expression stays shallow."""
+    while len(terms) > 1:
+        terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) & ~1 :]
+    return terms[0]
+
+
+def morlet_native(lines: DataFrame, scales: list[float], check: bool = True) -> DataFrame:
+    """:func:`morlet` by SQL functions alone: at every place, a sum of the points around it times constant weights.
+
+    A map without shuffle or broadcast; the plan depends on the scales alone. ``check`` looks at the lines' lengths
+    before anything else; without it, a line that is too short raises the error when its turn comes.
+    """
     scales = list(dict.fromkeys(_checked(scales)))
-    sized = lines.where("v is not null and size(v) > 0").withColumn("n", F.size("v"))
-    short = F.max(F.when(F.col("n") < padding(scales), F.col("n"))).alias("n")
-    if (found := sized.agg(short).first().n) is not None:
-        raise ValueError(f"a line of {found} points is too short for scale {max(scales)}")
-    kernel = kernel_frame(lines.sparkSession, sized, scales).groupBy("n", "scale", "j").agg(F.array_sort(F.collect_list(F.struct("m", "w"))).alias("w"))
-    kernel = kernel.groupBy("n", "scale").agg(F.array_sort(F.collect_list(F.struct("j", F.transform("w", lambda p: p["w"]).alias("w")))).alias("rows"))
-    dot = lambda row: F.aggregate(F.zip_with("v", row["w"], lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return sized.join(F.broadcast(kernel), "n").select("image_id", "direction", "channel", "scale", "line", F.transform("rows", dot).alias("c"))
+    pad = padding(scales)
+    lines = lines.where("v is not null and size(v) > 0")
+    v, n = F.col("v"), F.size("v")
+    message = f"a line of %d points is too short for scale {max(scales)}: it must have {pad}"
+    if check and (found := lines.agg(F.max(F.when(n < pad, n)).alias("n")).first().n) is not None:
+        raise ValueError(message % found)
+    own = [taps(s) for s in scales]
+    edge = max(0, max(len(w) // 2 for w in own) - pad)  # zeros beyond the mirrored points
+    zeros = F.array_repeat(F.lit(0.0), edge)
+    wide = F.concat(zeros, F.reverse(F.slice(v, 1, pad)), v, F.reverse(F.slice(v, n - pad + 1, F.lit(pad))), zeros)
+    short = F.raise_error(F.format_string(message, n)).cast("array<double>")
+    ready = lines.select("image_id", "direction", "channel", "line", n.alias("n"), F.when(n < pad, short).otherwise(wide).alias("e"))
+
+    def all_places(weights: np.ndarray) -> Column:
+        first = edge + pad - len(weights) // 2
+        at = lambda j: _sum([F.get("e", j + (first + i)) * float(w) for i, w in enumerate(weights)])
+        return F.transform(F.sequence(F.lit(0), F.col("n") - 1), at)
+
+    each = [F.struct(F.lit(s).alias("scale"), all_places(w).alias("c")) for s, w in zip(scales, own)]
+    return ready.select("image_id", "direction", "channel", "line", F.explode(F.array(*each)).alias("s")).select("image_id", "direction", "channel", "s.scale", "line", "s.c")
 
 
 def rounded(coefs: DataFrame, digits: int = 3) -> DataFrame:

@@ -121,7 +121,18 @@ def _raw(axis: int, sign: int) -> str:
 
 
 def _env(axis: int, sign: int) -> str:
-    return _with(_peaks(), f"SELECT {_M}, line, pos, {_round('sign * env', 6)} AS env FROM enveloped WHERE axis = {axis} AND sign = {sign}")
+    """Envelopes of one axis and sign; a line's knots are a list, so that nothing is joined but lines."""
+    line, pos = ("y", "x") if axis == 0 else ("x", "y")
+    key, right = f"{_M}, line", "CAST(greatest(1, least(earlier, len(k) - 1)) AS BIGINT)"
+    return _with(
+        f"""{_base()},
+own AS (SELECT {_M}, {line} AS line, {pos} AS pos, {sign} * c AS c FROM coefs),
+near AS (SELECT *, coalesce(c > lag(c) OVER w AND c > lead(c) OVER w, false) AS knot FROM own WINDOW w AS (PARTITION BY {key} ORDER BY pos)),
+counted AS (SELECT *, count(*) FILTER (knot) OVER (PARTITION BY {key} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM near),
+knots AS (SELECT {key}, coalesce(list({{'p': pos, 'c': c}} ORDER BY pos) FILTER (knot), []) AS k FROM near GROUP BY {key}),
+placed AS (SELECT {key}, pos, c, len(k) AS n, k[{right}] AS a, k[{right} + 1] AS b FROM counted JOIN knots USING ({key}))""",
+        f"""SELECT {key}, pos, {_round(f"{sign} * CASE WHEN n = 0 THEN c WHEN n < 4 THEN 0.0 ELSE (b.c - a.c) / CAST(b.p - a.p AS DOUBLE) * CAST(pos - a.p AS DOUBLE) + a.c END", 6)} AS env FROM placed""",
+    )
 
 
 _LONG = f"{_PIXELS},{_signals()}"
@@ -186,7 +197,14 @@ UNION ALL SELECT * FROM body""",
     "output_codes": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 10 END + CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS code FROM orders",
     "duration_fmt": "SELECT o_orderkey, printf('%d ч %02d м %02d с', s // 3600, s % 3600 // 60, s % 60) AS duration FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS s FROM orders)",
     "clamp_values": "SELECT o_orderkey, greatest(50000.0::DOUBLE, least(150000.0::DOUBLE, o_totalprice)) AS v FROM orders",
-    "cropped_names": r"SELECT page_id, CASE WHEN lower(base) LIKE '%cropped%' THEN base ELSE regexp_extract(base, '^(.*?)(\.[^.]*)?$', 1) || '_cropped' || regexp_extract(base, '(\.[^.]*)$', 1) END AS name FROM (SELECT page_id, regexp_extract(url, '([^/\\]*)$', 1) AS base FROM pages)",
+    "cropped_names": r"""SELECT page_id, CASE WHEN lower(regexp_extract(stem, '([^/\\]*)$', 1)) LIKE '%cropped%' THEN url ELSE stem || '_cropped' || suffix END AS name
+FROM (SELECT *, url[:len(url) - len(suffix)] AS stem FROM (SELECT page_id, url, regexp_extract(url, '[^/\\.][^/\\]*(\.[^./\\]*)$', 1) AS suffix FROM pages))""",
+    "image_scan": _with(_PIXELS, "SELECT * FROM pixels WHERE image_id % 4 <> 3"),
+    "channel_choice": _with(_LONG, f"SELECT image_id, direction, channel, line, pos, {_round('v', 6)} AS v FROM cells WHERE channel IN (0, 2)"),
+    "result_folders": f"""WITH {_TASKS} SELECT task_id, CAST(s AS DOUBLE) AS scale, 'ВП_' || stamp || '/Задача ' || task_id || ' ' || stamp || '/Scale_' || s AS folder
+FROM (SELECT task_id, unnest(range(1, n + 1)) AS s, strftime(o_orderdate, '%d_%m_%Y_%H_%M') AS stamp FROM tasks JOIN orders ON task_id = o_orderkey WHERE n IS NOT NULL)""",
+    "scale_summary_unsorted": f"""WITH {_TASKS} SELECT task_id, n AS n_scales, CASE WHEN n <= 5 THEN array_to_string(s, ', ') ELSE list_min(s) || '..' || list_max(s) END AS summary
+FROM (SELECT task_id, n, list_transform(range(1, n + 1), lambda i: i * 5 % 8) AS s FROM tasks WHERE n IS NOT NULL)""",
     "task_states": f"WITH {_TASKS} SELECT task_id, colours, CASE WHEN NOT has_image THEN 'waiting image' WHEN n IS NULL THEN 'waiting scales' WHEN colours THEN 'ready to compute' ELSE 'ready to configure' END AS status FROM tasks",
     "ready_tasks": f"WITH {_TASKS} SELECT count(*) AS n_tasks, count(*) FILTER (has_image AND n IS NOT NULL) AS n_ready, bool_and(has_image AND n IS NOT NULL) AS all_ready FROM tasks",
     "scale_summary": f"WITH {_TASKS} SELECT task_id, n AS n_scales, CASE WHEN n <= 5 THEN array_to_string(range(1, n + 1), ', ') ELSE '1..' || n END AS summary FROM tasks WHERE n IS NOT NULL",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewave.functions.scalars import clamp, colours_selected, cropped_name, duration_text, hex_colour, output_code, round_half_even, task_status
+from linewave.functions.scalars import clamp, colours_selected, cropped_name, duration_text, hex_colour, is_image_name, output_code, round_half_even, scale_label, task_status
 from linewave.operators import cluster, color, extrema, geometry, lines, neighbors, transform
 from linewave.plans.pipeline import Options, analyse
 from linewave.sources import images, scales, sinks
@@ -61,6 +61,22 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.pixels(_rows(spark, sf_dir))
 
 
+@query
+def image_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels decoded from BGR bytes of all files that are named like images; every fourth image is not."""
+    bytes_of = F.array_join(F.transform(F.arrays_zip("b", "g", "r"), lambda p: F.concat(*(F.lpad(F.hex(p[c].cast("int")), 2, "0") for c in ("b", "g", "r")))), "")
+    packed = _rows(spark, sf_dir).groupBy("image_id").agg(F.count("*").cast("int").alias("height"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", bytes_of.alias("h")))), lambda s: s["h"]), "").alias("h"))
+    ends = F.element_at(F.array(*map(F.lit, (".Png", ".JPG", ".jpeg", ".txt"))), (F.col("image_id") % 4 + 1).cast("int"))
+    files = packed.select("image_id", F.concat(F.lit("/images/"), "image_id", ends).alias("origin"), "height", F.lit(21).alias("width"), F.lit(3).alias("n_channels"), F.unhex("h").alias("data"))
+    return images.pixels(images.image_rows(files.where(is_image_name(F.col("origin")))))
+
+
+@query
+def channel_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the first and third channel in both directions, a row a pixel."""
+    return _long(lines.select_channels(_both(spark, sf_dir), [0, 2]), "v", 6)
+
+
 @query
 def pixel_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colours at the diagonal places of each image, some of them outside."""
@@ -189,7 +205,7 @@ def morlet_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def morlet_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coefficients along rows by SQL functions alone."""
-    return transform.cells(transform.rounded(transform.morlet_native(lines.centred(_lines(spark, sf_dir, 0)), SCALES)))
+    return transform.cells(transform.rounded(transform.morlet_native(lines.centred(_lines(spark, sf_dir, 0)), SCALES, check=False)))
 
 
 @query
@@ -207,7 +223,7 @@ def morlet_unpadded(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def morlet_sql_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coefficients of both directions by SQL functions alone."""
-    return transform.cells(transform.rounded(transform.morlet_native(lines.centred(_both(spark, sf_dir)), SCALES)))
+    return transform.cells(transform.rounded(transform.morlet_native(lines.centred(_both(spark, sf_dir)), SCALES, check=False)))
 
 
 @query
@@ -448,6 +464,15 @@ def task_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tasks(spark, sf_dir).select("task_id", chosen.alias("colours"), task_status(F.col("image_path").isNotNull(), F.size("scales"), chosen).alias("status"))
 
 
+@query
+def result_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folder of each task's results at each of its scales; a task began when its order was placed."""
+    began = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("task_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("began"))
+    each = _tasks(spark, sf_dir).select("task_id", F.explode("scales").alias("scale")).join(began, "task_id")
+    folder = sinks.result_folder(F.concat(F.lit("Задача "), "task_id"), F.col("began"), scale_label(F.col("scale"), True))
+    return each.select("task_id", "scale", folder.alias("folder"))
+
+
 @query
 def ready_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many tasks are ready."""
@@ -461,6 +486,13 @@ def scale_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scales.scale_summary(each.withColumn("scale_label", F.col("scale").cast("long").cast("string")), "task_id")
 
 
+@query
+def scale_summary_unsorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary of each task's scales where they come in no order."""
+    each = _tasks(spark, sf_dir).select("task_id", F.posexplode(F.transform("scales", lambda s: s * 5 % 8)).alias("scale_idx", "scale"))
+    return scales.scale_summary(each.withColumn("scale_label", scale_label(F.col("scale"), True)), "task_id")
+
+
 # --- clusters ----------------------------------------------------------------------------------------
 
 

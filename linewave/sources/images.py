@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 CHANNELS = ("r", "g", "b")
 ROWS = "image_id long, y int, r array<double>, g array<double>, b array<double>"
 LINES = "image_id long, direction int, channel int, line int, v array<double>"
-#: Image kinds that are read; extensions in upper case too.
-PATTERN = "*.{png,jpg,jpeg,bmp,PNG,JPG,JPEG,BMP}"
+#: Image kinds that are read, whatever the case of their extensions.
+PATTERN = "*.{[pP][nN][gG],[jJ][pP][gG],[jJ][pP][eE][gG],[bB][mM][pP]}"
 
 
 def read_images(spark: SparkSession, path: str | list[str], pattern: str = PATTERN) -> DataFrame:

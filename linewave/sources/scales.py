@@ -38,10 +38,10 @@ def scales_from_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scale_summary(scales: DataFrame, *keys: str) -> DataFrame:
-    """For each key: number of scales and, up to five, their list, else the smallest and the largest."""
-    own = scales.groupBy(*keys).agg(F.count("*").alias("n_scales"), F.min("scale").alias("least"), F.max("scale").alias("most"), F.array_sort(F.collect_list(F.struct("scale_idx", "scale_label"))).alias("s"))
+    """For each key: number of scales and, up to five, their list as given, else the smallest and the largest."""
+    own = scales.groupBy(*keys).agg(F.count("*").alias("n_scales"), F.min_by("scale_label", "scale").alias("least"), F.max_by("scale_label", "scale").alias("most"), F.array_sort(F.collect_list(F.struct("scale_idx", "scale_label"))).alias("s"))
     listed = F.array_join(F.transform("s", lambda s: s["scale_label"]), ", ")
-    span = F.concat(F.element_at("s", 1)["scale_label"], F.lit(".."), F.element_at("s", -1)["scale_label"])
+    span = F.concat("least", F.lit(".."), "most")
     return own.select(*keys, "n_scales", F.when(F.col("n_scales") <= 5, listed).otherwise(span).alias("summary"))
 
 

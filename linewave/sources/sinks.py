@@ -16,6 +16,7 @@ from linewave.operators.neighbors import GROUP
 # Names and captions of the text outputs.
 COLOURS = ("Red", "Green", "Blue")
 DIRECTIONS = ("Str", "Tr")
+ROOT_FOLDER, SCALE_FOLDER = "ВП_", "Scale_"
 CHANNEL_FILE = "Исходный_цветовой_канал_"
 KNN_HEAD = ("Масштаб: ", "Канал: ", "Тип экстремумов: ", "Количество соседей (k): ", "Всего точек: ")
 KNN_CAPTION = "Индекс точки, X координата, Y координата, Индексы соседей, Расстояния до соседей"
@@ -62,6 +63,12 @@ def neighbour_text(neighbours: DataFrame, points: DataFrame, k: int, label: Colu
     return sizes.select(*GROUP, F.posexplode(head).alias("line", "text")).unionByName(body)
 
 
+def result_folder(task: Column, began: Column, label: Column) -> Column:
+    """Folder of a task's results at one scale: the day's root, the task with its time, the scale."""
+    at = F.date_format(began, "dd_MM_yyyy_HH_mm")
+    return F.concat(F.lit(ROOT_FOLDER), at, F.lit("/"), task, F.lit(" "), at, F.lit("/" + SCALE_FOLDER), label)
+
+
 def save_text(text: DataFrame, path: str, folders: list[str]) -> None:
     """Write text rows below ``path``, a folder for each value of ``folders``, lines in order within a file.
 
