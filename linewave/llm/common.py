@@ -87,10 +87,10 @@ def _hash_piece(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix64(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts
 
 
-def word_hashes(data: bytes, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash and start offset of every word of ``data``, A-Z lower-cased, worked in pieces that end at white space."""
+def word_hashes(data: bytes, piece: int = 1 << 20, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash and start offset of every word of ``data``, with A-Z lower-cased if asked for, worked in pieces that end at white space."""
     if len(data) <= piece:
-        return _hash_piece(data.lower())
+        return _hash_piece(data.lower() if lower else data)
     hashes, starts, lo = [], [], 0
     while lo < len(data):
         hi = min(lo + piece, len(data))
@@ -100,7 +100,7 @@ def word_hashes(data: bytes, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarr
                 later = [x for c in SPACES if (x := data.find(bytes([c]), hi)) >= 0]
                 cut = min(later, default=len(data) - 1)
             hi = cut + 1
-        h, s = _hash_piece(data[lo:hi].lower())
+        h, s = _hash_piece(data[lo:hi].lower() if lower else data[lo:hi])
         hashes.append(h)
         starts.append(s + lo)
         lo = hi
@@ -126,7 +126,7 @@ def shingle_sequences(texts: list[str | None], k: int) -> tuple[np.ndarray, np.n
     first = np.zeros(len(data) + 1, dtype=np.int64)
     np.cumsum([len(d) + 1 for d in data], out=first[1:])
     data = data[0] if len(data) == 1 else b"\n".join(data)
-    words, starts = word_hashes(data)
+    words, starts = word_hashes(data, lower=True)
     del data
     bound = np.searchsorted(starts, first)
     del starts

@@ -9,7 +9,8 @@ A media value is one physical Ogg bitstream of two multiplexed logical streams:
 
 Reading walks the pages: the capture pattern, the version, the page checksum and the sequence numbers
 are verified, packets are put together from the lacing values (also across pages), streams are told apart by
-their serial number, and times follow from the granule positions. Any damage raises ``OggError``.
+their serial number, and times follow from the granule positions. Any damage raises ``OggError``, and so does a sound
+bitstream whose streams are none of these two.
 """
 
 from __future__ import annotations
@@ -154,22 +155,27 @@ def read_ogg(media: bytes) -> tuple[bytes, int, list[tuple[int, float]]]:
     """(payload, n_bytes, timeline) of a media value; timeline: samples and seconds after each audio page."""
     audio = text = None
     for packets in demultiplex(media).values():
-        if packets[0][0][:8] == b"PCM     ":
+        if packets and packets[0][0][:8] == b"PCM     ":
             audio = packets
-        elif packets[0][0] == b"text    ":
+        elif packets and packets[0][0] == b"text    ":
             text = packets
     if audio is None or text is None:
         raise OggError("the audio or the text stream is missing")
+    if len(audio[0][0]) != _PCM.size:
+        raise OggError(f"an audio header of {len(audio[0][0])} bytes")
     _, _, _, rate, bits, channels, _ = _PCM.unpack(audio[0][0])
-    if bits != 8 or channels != 1:
-        raise OggError(f"{bits} bits, {channels} channels")
+    if bits != 8 or channels != 1 or not rate:
+        raise OggError(f"{bits} bits, {channels} channels, {rate} samples a second")
     payload = b"".join(p for p, _, _ in audio[1:])
     pages = dict((number, granule) for _, granule, number in audio[1:])
     times = [(g, g / rate) for _, g in sorted(pages.items()) if g >= 0]
-    if [g for g, _ in times] != sorted({g for g, _ in times}) or times[-1][0] != len(payload):
+    if [g for g, _ in times] != sorted({g for g, _ in times}) or not times or times[-1][0] != len(payload) or not payload:
         raise OggError("granule positions do not fit the samples")
-    comments = dict(p.decode().split("=", 1) for p, _, _ in text[1:])
-    return payload, int(comments["n_bytes"]), times
+    comments = dict(p.split(b"=", 1) for p, _, _ in text[1:] if b"=" in p)
+    length = comments.get(b"n_bytes", b"")
+    if not (length.isdigit() and int(length) <= len(payload)):
+        raise OggError("the comments name no length of the payload")
+    return payload, int(length), times
 
 
 def features(payload: bytes, times: list[tuple[int, float]]) -> str:

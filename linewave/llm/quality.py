@@ -136,10 +136,11 @@ def fit_quality(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     """Fit on about ``sample`` (``most`` at most) labelled rows outside the held-out ids, chosen by id hash.
 
     Statistics of the sample are worked out in tasks; the driver gets ``sample`` rows of numbers. Null
-    labels and labels of absent documents are ignored; repeated labels of a document all count.
+    labels and labels of absent documents are ignored; repeated labels of a document all count. Where repeats lead beyond
+    ``most``, those of the smallest id hashes are taken, so reruns agree.
     """
     usable = labels.where(F.col(label).isNotNull() & F.col(label_id).isNotNull() & ~held_out(F.col(label_id))).select(F.col(label_id).cast("long").alias("i"), F.col(label).cast("int").alias("y"))
-    usable = hash_sample(usable, "i", sample).limit(most)
+    usable = hash_sample(usable, "i", sample).orderBy(F.xxhash64("i"), "i", "y").limit(most)
     rows = df.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("text")).join(F.broadcast(usable), "i").select("i", "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +148,7 @@ def fit_quality(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
             x = statistics(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["i", "y", "x"])
 
-    got = rows.mapInArrow(run, "i long, y int, x array<double>").limit(most).toArrow().sort_by([("i", "ascending"), ("y", "ascending")])
+    got = rows.mapInArrow(run, "i long, y int, x array<double>").orderBy(F.xxhash64("i"), "i", "y", "x").limit(most).toArrow().sort_by([("i", "ascending"), ("y", "ascending")])
     x = got["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES)) if got.num_rows else np.zeros((0, len(NAMES)))
     return fit_trees(x, got["y"].to_numpy().astype(float), **how)
 

@@ -34,12 +34,16 @@ _PACKS = "shard int, place long, before long, sha256 string, n_docs long, n_ids
 _encoders: dict[tuple, "TextEncoder"] = {}
 
 
+#: Bytes of a worker's cache of parts, and what an entry takes besides its text and ids.
+CACHE_BYTES, ENTRY_BYTES = 160 << 20, 180
+
+
 class _Parts(dict):
     """What stands after a single space -> its id bytes, worked out when first asked for."""
 
     def __init__(self, encoder: "TextEncoder"):
         super().__init__()
-        self.encoder, self.tails = encoder, {"": b""}
+        self.encoder, self.tails, self.held = encoder, {"": b""}, 0
 
     def __missing__(self, part: str) -> bytes:
         stem = part.rstrip(_MARKS)
@@ -51,8 +55,10 @@ class _Parts(dict):
             tail = part[len(stem) :]
             if tail not in self.tails:
                 self.tails[tail] = self.encoder.library([tail])[0]
+                self.held += len(tail) + len(self.tails[tail]) + ENTRY_BYTES
             ids = self[stem] + self.tails[tail]
         self[part] = ids
+        self.held += 2 * len(part) + len(ids) + ENTRY_BYTES
         return ids
 
 
@@ -92,7 +98,7 @@ class TextEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [not (t[-1:] == " " or any(s in t for s in _WIDE) or any(s in t for s in self.special)) for t in texts]
-        if len(self.parts) + len(self.parts.tails) > self.bound:
+        if len(self.parts) + len(self.parts.tails) > self.bound or self.parts.held > CACHE_BYTES:
             self.parts = _Parts(self)
         split = [t.split(" ") if p and t else None for t, p in zip(texts, plain)]
         heads = iter(self.library([s.pop(0) for s in split if s]))
@@ -156,8 +162,8 @@ def write_token_file(
     """Encode every text of ``df`` and write the token file to ``path``.
 
     ``end_id`` follows each document. Null texts count as empty: their only id is ``end_id``. Documents
-    stand in ascending doc_id order, null ids first; rows that repeat an id all stay, ordered by their
-    text. An empty table gives files without packs. The dictionary serves short documents: it is
+    stand in ascending doc_id order, null ids first; rows that repeat an id (or have none) all stay, ordered by their
+    text, in one shard. An empty table gives files without packs. The dictionary serves short documents: it is
     trained on the texts of up to ``sample_bytes`` among about ``sample_docs`` documents, chosen by id hash. ``tokenizer`` must be readable on every worker.
     """
     spark = df.sparkSession

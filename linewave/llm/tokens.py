@@ -13,6 +13,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from sys import getsizeof
 
 import pandas as pd
 import pyarrow as pa
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: The mark that stands for a space in pieces.
 MARK = "▁"
+#: Bytes of a worker's cache for each of its two tables, and what an entry takes besides its text.
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 130
 _RUN = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 _models: dict[str, object] = {}
@@ -39,20 +42,25 @@ def load_piece_model(path: str):
 class PieceLengths(dict):
     """Pre-token -> number of pieces. Keys are what stands between single spaces of one line.
 
-    A miss is encoded by the library and kept, at most ``bound`` entries beside the frequent ones.
+    A miss is encoded by the library and kept, at most ``bound`` entries and :data:`CACHE_BYTES` beside the frequent ones.
     """
 
     def __init__(self, path: str, frequent: dict[str, int], bound: int, leading: bool):
         super().__init__(frequent)
         self.model, self.frequent, self.bound, self.leading = load_piece_model(path), frequent, bound, leading
+        self.held = 0
 
     def __missing__(self, word: str) -> int:
         # The library puts one mark before a text; a word that follows a space has exactly that mark.
         n = (len(self.model.encode(word)) if word else 1) if self.leading else count_unmarked(self.model, word)
-        if len(self) >= self.bound + len(self.frequent):
+        size = getsizeof(word) + ENTRY_BYTES
+        if len(self) >= self.bound + len(self.frequent) or self.held + size > CACHE_BYTES:
             self.clear()
             self.update(self.frequent)
-        self[word] = n
+            self.held = 0
+        if size <= CACHE_BYTES:
+            self[word] = n
+            self.held += size
         return n
 
 

@@ -4,7 +4,7 @@ import random
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 #: Extra columns whose names the operators use inside.
-CLASH = "component_id long, family long, rep long, key string, size long, copies long, label int"
+CLASH = "component_id long, family long, rep long, key string, size long, copies long, label int, n_bytes long, n_tokens long, lang_pred string, score double, spans string, start long"
 
 
 def prose(seed, n):
