@@ -4,17 +4,19 @@ Base spans follow fixed patterns and always count. Beyond them, broad patterns p
 further kinds), and labelers vote on each: the strict pattern, a check of structure, a gazetteer, words
 before the span, and signs of something else. Expectation-maximisation over the counts of all vote patterns
 estimates every labeler's reliability per kind without any labels; its posteriors train the final span
-classifier, a logistic regression over votes, kind and length. Candidates it accepts join the base spans.
+classifier, for each kind a logistic regression over the votes and over features that no labeler sees: what the span is
+made of, what stands on either side of it, how long it is, and how mixed its characters are. So it can turn down a span
+whose votes look right, and take one that no labeler knows. Candidates it accepts join the base spans.
 
 Texts are scanned once. What the driver gets is a count for each vote pattern, of which there is a fixed
-number at most.
+number at most, and the most frequent patterns of votes and features, of which ``most_patterns`` are fitted on.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "person", "secret", "social")
 LABELERS = ("pattern", "structure", "gazetteer", "context", "contrary", "edges")
 
-# Names, countries and words that the gazetteer and context labelers know.
+# A choice of names, countries and words for the gazetteer and context labelers; lengths of IBANs are fixed by their registry.
 TOP_DOMAINS = frozenset("com org net edu gov info io de fr es uk it nl ch at be eu pl pt se us ca au jp cn br mx".split())
 COUNTRY_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 52 54 55 60 61 62 63 65 66 81 82 86 90 91".split())
 IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
@@ -54,10 +56,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _PROPOSALS = {
-    "email": re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63} ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]{1,63}(?:(?: ?[\[({] ?dot ?[\])}] ?|\.)[A-Za-z0-9-]{1,63}){1,6}", re.IGNORECASE),
-    "phone": re.compile(r"(?<![\w+.(-])(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ ./-])[0-9]{3,4}[ .-][0-9]{3,5}(?![\w-])"),
+    "email": re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*+ ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]++(?:(?: ?[\[({] ?dot ?[\])}] ?|\.)[A-Za-z0-9-]++)++", re.IGNORECASE),
+    "phone": re.compile(r"(?<![\w+.(-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ ./-])[0-9]{3,4}[ .-][0-9]{3,5}(?![\w-])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)"),
-    "person": re.compile(r"(?<!\w)(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.? )?[A-Z][a-zà-öø-ÿ]{1,20} [A-Z][a-zà-öø-ÿ]{1,20}(?!\w)"),
+    "person": re.compile(r"(?<!\w)(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.? )?[A-Z][a-zà-öø-ÿ]++ [A-Z][a-zà-öø-ÿ]++(?!\w)"),
     "secret": re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+"),
     "social": re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
 }
@@ -108,7 +110,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def proposals(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Further candidates (kind, start, end), none of which overlaps a base span."""
+    """Further candidates (kind, start, end), none of which overlaps a base span; of two that overlap, the longer stays."""
     taken = sorted((a, b) for _, a, b in base)
     starts = np.asarray([a for a, _ in taken], dtype=np.int64)
     ends = np.maximum.accumulate(np.asarray([b for _, b in taken], dtype=np.int64)) if taken else starts
@@ -118,7 +120,15 @@ def proposals(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, in
             i = int(np.searchsorted(starts, m.end()))
             if i == 0 or ends[i - 1] <= m.start():
                 out.append((kind, *m.span()))
-    return out
+    if len(out) < 2:
+        return out
+    kept: list[tuple[str, int, int]] = []
+    for s in sorted(out, key=lambda s: (s[1], s[1] - s[2])):
+        while kept and s[1] < kept[-1][2] and s[2] - s[1] > kept[-1][2] - kept[-1][1]:
+            kept.pop()
+        if not kept or s[1] >= kept[-1][2]:
+            kept.append(s)
+    return sorted(kept, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
 def _structure(kind: str, span: str) -> int:
@@ -154,14 +164,18 @@ def _gazetteer(kind: str, span: str) -> int:
     return -1
 
 
-def votes(text: str, kind: str, start: int, end: int, is_base: bool) -> str:
+def _gazetted(names: frozenset[str]):
+    return lambda kind, span: _gazetteer(kind, span) if kind != "person" else int(any(w in names for w in span.split()[:3]))
+
+
+def votes(text: str, kind: str, start: int, end: int, is_base: bool, names: frozenset[str] = FIRST_NAMES) -> str:
     """The labelers' votes on a span, one character each: 1 personal, 0 not, - none; then its length class."""
     span, before = text[start:end], text[max(0, start - 40) : start]
     title = kind == "person" and _TITLE.match(span)
     got = (
         1 if is_base else (1 if title else -1),
         _structure(kind, span),
-        _gazetteer(kind, span),
+        _gazetted(names)(kind, span),
         1 if CONTEXT[kind].search(before) else (0 if kind in ("secret", "person") and not title else -1),
         0 if CONTRARY.search(before) else -1,
         0 if (text[start - 1 : start].isalnum() or text[end : end + 1].isalnum()) and start else -1,
@@ -169,74 +183,133 @@ def votes(text: str, kind: str, start: int, end: int, is_base: bool) -> str:
     return "".join("-01"[v + 1] for v in got) + str(min(9, (end - start).bit_length()))
 
 
+def features(text: str, start: int, end: int) -> str:
+    """What no labeler sees of a span, a character each: the sign before it, the sign after it, what it is made of, its variety.
+
+    Signs: n none or line break, s space, q quote or bracket, c colon or equals, p other punctuation, w word character.
+    Made of: d digits, h hexadecimal digits, l letters, m letters and digits, x these and other signs, y digits and other signs.
+    Variety: different characters by length, in tenths below 10.
+    """
+    before, after = text[start - 1 : start] if start else "", text[end : end + 1]
+    if before == " ":
+        before = text[max(0, start - 2) : start - 1].strip() and text[start - 2] in ":=" and text[start - 2] or " "
+    span = text[start:end]
+    digits, letters = sum(map(str.isdigit, span)), sum(map(str.isalpha, span))
+    if digits == len(span):
+        made = "d"
+    elif digits + letters == len(span):
+        made = "l" if not digits else ("h" if set(span.lower()) <= _HEX and len({*filter(str.isalpha, span)} & {*filter(str.isupper, span)}) in (0, len({*filter(str.isalpha, span)})) else "m")
+    else:
+        made = "x" if letters else "y"
+    return _sign(before) + _sign(after) + made + str(min(9, 10 * len(set(span)) // max(1, len(span))))
+
+
+_HEX = frozenset("0123456789abcdef")
+SIGNS, MADE = "nsqcpw", "dhlmxy"
+
+
+def _sign(c: str) -> str:
+    if not c or c in "\r\n":
+        return "n"
+    if c.isspace():
+        return "s"
+    if c in "\"'`()[]{}<>«»“”„":
+        return "q"
+    if c in ":=":
+        return "c"
+    return "w" if c.isalnum() else "p"
+
+
 def reliabilities(patterns: list[tuple[str, str]], counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of each (kind, votes) pattern and (kinds, labelers, 2) estimated chances of vote 1 by class.
+    """Posterior of each (kind, votes) pattern and (kinds, labelers, 2) estimated chances by class that a vote cast is 1.
 
-    Each kind has a mixture of two classes in which labelers vote independently; a missing vote says
-    nothing. Pseudo-counts of 8 right and 2 wrong votes a class keep the classes' meaning.
+    Each kind has a mixture of two classes in which labelers vote 1, 0 or not at all, independently; that a labeler has
+    nothing to say can tell the classes apart too. Pseudo-counts of 8 right and 2 wrong votes and 10 missing ones a class,
+    beside 1,000 spans of each kind or more (fewer weigh as many), keep the classes' meaning.
     """
     kind = np.asarray([KINDS.index(k) for k, _ in patterns], dtype=np.int64)
-    vote = np.asarray([["-01".index(c) - 1 for c in v[: len(LABELERS)]] for _, v in patterns]).reshape(-1, len(LABELERS))
-    chance = np.tile(np.asarray([0.2, 0.8]), (len(KINDS), len(LABELERS), 1))
+    counts = counts * np.maximum(1, 1000 / np.maximum(np.bincount(kind, counts, len(KINDS)), 1e-9))[kind]
+    vote = np.asarray(["-01".index(c) for _, v in patterns for c in v[: len(LABELERS)]]).reshape(-1, len(LABELERS))
+    start = np.asarray([[10.0, 8, 2], [10, 2, 8]])  # of class 0 and 1: none, 0, 1
+    chance = np.tile(start / start.sum(axis=1, keepdims=True), (len(KINDS), len(LABELERS), 1, 1))
     prior, post = np.full(len(KINDS), 0.5), np.full(len(patterns), 0.5)
+    each = np.arange(len(LABELERS))
     for _ in range(rounds):
-        p = chance[kind]
-        by_class = np.where(vote[..., None] == 1, np.log(p), np.where(vote[..., None] == 0, np.log(1 - p), 0)).sum(axis=1)
+        by_class = np.log(chance[kind[:, None], each, :, vote]).sum(axis=1)
         odds = by_class[:, 1] - by_class[:, 0] + np.log(prior[kind] / (1 - prior[kind]))
         post = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
         for c, w in enumerate(((1 - post) * counts, post * counts)):
-            ones = np.zeros((len(KINDS), len(LABELERS)))
-            cast = np.zeros_like(ones)
-            np.add.at(ones, kind, w[:, None] * (vote == 1))
-            np.add.at(cast, kind, w[:, None] * (vote >= 0))
-            chance[:, :, c] = (ones + (2, 8)[c]) / (cast + 10)
+            seen = np.tile(start[c], (len(KINDS), len(LABELERS), 1))
+            np.add.at(seen, (kind[:, None], each, vote), w[:, None])
+            chance[:, :, c] = seen / seen.sum(axis=2, keepdims=True)
         total = np.bincount(kind, counts, len(KINDS))
         prior = (np.bincount(kind, post * counts, len(KINDS)) + 1) / (total + 2)
-    return post, chance
+    return post, chance[..., 2] / (chance[..., 1] + chance[..., 2])
+
+
+#: Columns of a design row: 1, two a labeler, lengths, signs before and after, what it is made of, variety.
+_WIDTHS = (1, 2 * len(LABELERS), 10, len(SIGNS), len(SIGNS), len(MADE), 10)
+_AT = np.cumsum((0, *_WIDTHS))
 
 
 def _design(patterns: list[tuple[str, str]]) -> np.ndarray:
-    x = np.zeros((len(patterns), 1 + len(KINDS) + 2 * len(LABELERS) + 10))
-    for i, (k, v) in enumerate(patterns):
-        x[i, 0] = x[i, 1 + KINDS.index(k)] = 1
+    """A row for each (kind, votes and length[, features])."""
+    x = np.zeros((len(patterns), int(_AT[-1])))
+    for i, (_, v) in enumerate(patterns):
+        x[i, 0] = 1
         for j, c in enumerate(v[: len(LABELERS)]):
             if c != "-":
-                x[i, 1 + len(KINDS) + 2 * j + int(c)] = 1
-        x[i, 1 + len(KINDS) + 2 * len(LABELERS) + int(v[-1])] = 1
+                x[i, _AT[1] + 2 * j + int(c)] = 1
+        x[i, _AT[2] + int(v[len(LABELERS)])] = 1
+        if more := v[len(LABELERS) + 1 :]:
+            for at, place in zip(_AT[3:], (SIGNS.index(more[0]), SIGNS.index(more[1]), MADE.index(more[2]), int(more[3]))):
+                x[i, at + place] = 1
     return x
 
 
 def span_classifier(patterns: list[tuple[str, str]], counts: np.ndarray, post: np.ndarray, steps: int = 30, ridge: float = 1.0, kind_weight: float = 1000.0) -> np.ndarray:
-    """Weights of a logistic regression fitted to the posteriors by Newton steps.
+    """(kinds, columns) weights of logistic regressions, one a kind, fitted to the posteriors by Newton steps.
 
     A pattern weighs by its share of its kind's spans, ``kind_weight`` for a whole kind, so a larger table of the
     same make gives the same weights.
     """
-    x = _design(patterns)
-    w = np.zeros(x.shape[1])
+    every, kind = _design(patterns), np.asarray([KINDS.index(k) for k, _ in patterns], dtype=np.int64)
+    out = np.zeros((len(KINDS), every.shape[1]))
+    for k in np.unique(kind):
+        own = kind == k
+        x, goal, w = every[own], post[own], out[k]
+        weight = kind_weight * counts[own] / counts[own].sum()
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+            grad = x.T @ (weight * (p - goal)) + ridge * w
+            w -= np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + ridge * np.eye(len(w)), grad)
+    return out
+
+
+def span_scores(patterns: list[tuple[str, str]], weights: np.ndarray) -> np.ndarray:
+    """Probability that a span of each (kind, votes, length and features) is personal data."""
+    if not patterns:
+        return np.zeros(0)
     kind = np.asarray([KINDS.index(k) for k, _ in patterns], dtype=np.int64)
-    weight = kind_weight * counts / np.bincount(kind, counts, len(KINDS))[kind]
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        grad = x.T @ (weight * (p - post)) + ridge * w
-        w -= np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + ridge * np.eye(len(w)), grad)
-    return w
+    return 1 / (1 + np.exp(-np.clip((_design(patterns) * weights[kind]).sum(axis=1), -50, 50)))
 
 
-def pattern_scores(patterns: list[tuple[str, str]], counts: np.ndarray) -> dict[tuple[str, str], float]:
-    """Probability that a span of each (kind, votes) pattern is personal data."""
+def fit_spans(patterns: list[tuple[str, str]], counts: np.ndarray) -> np.ndarray:
+    """Weights of the span classifier from the counts of (kind, votes, length and features) patterns."""
     if not patterns:
-        return {}
-    post, _ = reliabilities(patterns, counts)
-    w = span_classifier(patterns, counts, post)
-    return dict(zip(patterns, 1 / (1 + np.exp(-np.clip(_design(patterns) @ w, -50, 50)))))
+        return np.zeros((len(KINDS), int(_AT[-1])))
+    short = sorted({(k, v[: len(LABELERS)]) for k, v in patterns})
+    place = {p: i for i, p in enumerate(short)}
+    at = np.asarray([place[k, v[: len(LABELERS)]] for k, v in patterns])
+    post, _ = reliabilities(short, np.bincount(at, counts, len(short)))
+    return span_classifier(patterns, counts, post[at])
 
 
 def _digest(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1])))
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], names: frozenset[str] = FIRST_NAMES) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         counts, base_text, kinds, starts, ends, seen = [], [], [], [], [], []
         for t in batch.column("text").to_pylist():
@@ -248,7 +321,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kinds.append([k for k, _, _ in base + more])
             starts.append([a for _, a, _ in base + more])
             ends.append([b for _, _, b in base + more])
-            seen.append([votes(t, k, a, b, i < len(base)) for i, (k, a, b) in enumerate(base + more)])
+            seen.append([votes(t, k, a, b, i < len(base), names) + features(t, a, b) for i, (k, a, b) in enumerate(base + more)])
         each = zip(*counts)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in each), pa.array(base_text, pa.string()), pa.array(kinds, pa.list_(pa.string())), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(seen, pa.list_(pa.string()))],
@@ -259,28 +332,34 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _COUNTS = ", ".join(f"n_{k} long" for k in BASE)
 
 
-def find_personal_data(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
+def find_personal_data(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.5, names: Iterable[str] = FIRST_NAMES, most_patterns: int = 20_000) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row of ``df``.
 
     The counts and the hash are of the base spans; ``spans`` lists these and the candidates whose
-    probability is ``least`` or more, as kind:start:end in code points, by kind, then start. Null and empty
-    texts have none. Repeated rows, null ids and extra columns are allowed; an empty table gives an empty
+    probability is ``least`` or more, as kind:start:end in code points, by kind, then start. ``names`` is the gazetteer of
+    given names. The classifier is fitted on the ``most_patterns`` most frequent patterns. Null and empty texts have none. Repeated rows, null ids and extra columns are allowed; an empty table gives an empty
     result.
     """
     spark = df.sparkSession
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = written(rows.mapInArrow(_scan, f"doc_id long, {_COUNTS}, base string, kinds array<string>, starts array<long>, ends array<long>, votes array<string>"), "spans")
-    tally = found.select(F.explode(F.arrays_zip("kinds", "votes")).alias("s")).groupBy("s.kinds", "s.votes").agg(F.count("*").alias("n")).orderBy("kinds", "votes").collect()
-    scores = pattern_scores([(r.kinds, r.votes) for r in tally], np.asarray([r.n for r in tally], dtype=float))
-    accepted = spark.sparkContext.broadcast({p for p, s in scores.items() if s >= least})
+    given = frozenset(names)
+    schema = f"doc_id long, {_COUNTS}, base string, kinds array<string>, starts array<long>, ends array<long>, votes array<string>"
+    found = written(rows.mapInArrow(lambda batches: _scan(batches, given), schema), "spans")
+    tally = found.select(F.explode(F.arrays_zip("kinds", "votes")).alias("s")).groupBy("s.kinds", "s.votes").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kinds", "votes").limit(most_patterns).collect()
+    weights = spark.sparkContext.broadcast(fit_spans([(r.kinds, r.votes) for r in tally], np.asarray([r.n for r in tally], dtype=float)))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[str, str], bool] = {}
         for batch in batches:
+            every = {(k, v) for ks, vs in zip(batch.column("kinds").to_pylist(), batch.column("votes").to_pylist()) for k, v in zip(ks, vs)}
+            new = sorted(every - known.keys())
+            known = {p: known[p] for p in every & known.keys()} if len(known) > 100_000 else known
+            known.update(zip(new, (span_scores(new, weights.value) >= least).tolist()))
             sha, spans = [], []
             for base, *own in zip(*(batch.column(c).to_pylist() for c in ("base", "kinds", "starts", "ends", "votes"))):
                 sha.append(hashlib.sha256(base.encode()).hexdigest())
                 n = base.count(",") + 1 if base else 0
-                more = [(k, a, b) for k, a, b, v in list(zip(*own))[n:] if (k, v) in accepted.value]
+                more = [(k, a, b) for k, a, b, v in list(zip(*own))[n:] if known[k, v]]
                 spans.append(_digest([*list(zip(*own[:3]))[:n], *more]) if more else base)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *(f"n_{k}" for k in BASE))), pa.array(sha, pa.string()), pa.array(spans, pa.string())], names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
 
