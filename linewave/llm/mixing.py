@@ -12,6 +12,8 @@ slot. Only slots, of bounded size, are sorted in one task.
 
 from __future__ import annotations
 
+from math import ceil, sqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,7 +65,8 @@ def mix_counts(
 
     Null texts have size 0; a null source is a source of its own; rows that repeat an id are rows like any
     other; a null id is allowed. Extra columns are left out. An empty table gives an empty result. The
-    offset of a source depends on ``seed`` and its name alone, so reruns agree. Per-source sums, at most
+    offset of a source depends on ``seed`` and its name alone, so reruns agree. Rows are ranked within slots by a hash of
+    the id, so rows of a source and about a size that repeat one id, or have none, share a slot. Per-source sums, at most
     ``most_sources`` of them, are worked out on the driver; more raise an error.
     """
     spark = df.sparkSession
@@ -89,8 +92,10 @@ def mix_counts(
         "name string, source_size long, target double, expected double",
     )
 
-    # Slots follow the tag, so that class, slot, tag and size give one order within a source.
-    slots = max(1, -(-sum(r.n for r in sums) // slot_rows))
+    # Slots follow the tag, so that class, slot, tag and size give one order within a source. They grow with the root of
+    # the rows, as do the rows of one, until ``slot_rows`` bounds the latter.
+    n_rows = sum(r.n for r in sums)
+    slots = max(1, ceil(sqrt(n_rows) / 8), -(-n_rows // slot_rows))
     head = F.conv(F.substring("tag", 1, 8), 16, 10).cast("long")
     placed = rows.withColumn("class", F.floor(8 * F.log2(F.col("size") + 1)).cast("int")).withColumn("slot", F.floor(head * F.lit(slots) / F.lit(1 << 32)).cast("long"))
     in_slot = placed.groupBy("name", "class", "slot").agg(F.count("*").alias("n"))
