@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewave.operators.components import connected_components
@@ -12,38 +12,77 @@ from linewave.operators.neighbors import GROUP
 from linewave.storage import written
 
 
+#: Cells around a cell, itself left out, of which one of each opposite two.
+_AHEAD = [(i, 0) for i in (1, 2)] + [(i, j) for j in (1, 2) for i in range(-2, 3)]
+
+
+def _offsets(pairs: list[tuple[int, int]]) -> Column:
+    return F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs)))
+
+
+def _cell_links(core: DataFrame, eps: float) -> DataFrame:
+    """(a, b): cells with core places within ``eps`` of each other.
+
+    A cell shows its neighbours no more than the ends of its columns, or of its rows to those beside it: of all places of a
+    column, the end is nearest to anything above. So pairs stay in proportion to the places of a cell, not to their square.
+    """
+    cell = ["_lw_g", "cx", "cy"]
+    out = None
+    for line, across, offsets in (("x", "y", [o for o in _AHEAD if o[1]]), ("y", "x", [o for o in _AHEAD if not o[1]])):
+        ends = core.groupBy(*cell, "node", F.col(line).alias("at")).agg(F.min(across).alias("low"), F.max(across).alias("high"))
+        seek = ends.select("_lw_g", "cx", "cy", F.col("node").alias("a"), F.col("at").alias("u"), F.col("high").alias("w"), _offsets(offsets).alias("o"))
+        seek = seek.select("_lw_g", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), "a", "u", "w")
+        near = (F.col("at") - F.col("u")) ** 2 + (F.col("low") - F.col("w")) ** 2 <= float(eps) ** 2
+        part = seek.join(ends, cell).where(near).select("a", F.col("node").alias("b"))
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
 def density_clusters(points: DataFrame, eps: float, least: int = 5, keys: list[str] | None = None) -> DataFrame:
     """(keys, point_idx, x, y, label) for points (keys, point_idx, x, y); label -1 is noise.
 
     A core point has ``least`` points within ``eps``, itself counted. Core points within eps share a cluster;
     another point within eps of a core point joins the cluster of the one with the smallest point_idx.
-    Labels count from 0 in the order of the clusters' smallest core point_idx. Pairs are made between places, not points:
-    points at one place are counted first, so repeated places cost nothing.
+    Labels count from 0 in the order of the clusters' smallest core point_idx.
+
+    Cells have the diagonal ``eps``: the points of one are within eps of each other, so a cell of ``least`` points is core as a
+    whole, and clusters are components of cells. Only places in cells of fewer points look for their neighbours one by one.
     """
     if eps <= 0 or least < 1:
         raise ValueError("eps must be positive and least at least 1")
     keys = GROUP if keys is None else keys
     flat = points.select(*keys, "point_idx", "x", "y").withColumn("_lw_g", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
     flat = written(flat, "points")
-    cell = lambda c: F.floor(F.col(c) / F.lit(float(eps))).cast("long")
-    places = flat.groupBy("_lw_g", "x", "y").agg(F.count("*").alias("n"), F.min("point_idx").alias("least_idx"))
-    # A place is named by group and coordinates; a number would need an order over all of them.
-    places = written(places.withColumns({"cx": cell("x"), "cy": cell("y"), "place": F.concat_ws("|", F.format_string("%012d", "least_idx"), "_lw_g")}), "places")
-    offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    seek = places.select("_lw_g", F.col("place").alias("a"), "x", "y", F.explode(offsets).alias("o"), "cx", "cy").select("_lw_g", "a", "x", "y", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
-    there = places.select("_lw_g", "cx", "cy", F.col("place").alias("b"), F.col("x").alias("u"), F.col("y").alias("w"), "n", F.col("least_idx").alias("b_idx"))
-    d = (F.col("x") - F.col("u")) ** 2 + (F.col("y") - F.col("w")) ** 2
-    pairs = written(seek.join(there, ["_lw_g", "cx", "cy"]).where(d <= float(eps) ** 2).select("a", "b", "n", "b_idx"), "pairs")
-    core = written(pairs.groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("a"), "core")
-    to_core = pairs.join(core.select(F.col("a").alias("b")), "b", "left_semi")
-    linked = connected_components(to_core.join(core, "a", "left_semi").select("a", "b"))
-    named = core.join(linked, core.a == linked.node, "left").select("a", F.coalesce("component", "a").alias("cluster"))
-    border = to_core.join(core, "a", "left_anti").groupBy("a").agg(F.min_by("b", "b_idx").alias("b")).join(named.select(F.col("a").alias("b"), "cluster"), "b").select("a", "cluster")
-    member = named.unionByName(border)
-    # The smallest core place leads its cluster, so cluster names sort by smallest core point_idx within a group.
-    order = named.join(places.select(F.col("place").alias("a"), "_lw_g"), "a").select("_lw_g", "cluster").distinct()
-    labels = order.select("cluster", (F.row_number().over(Window.partitionBy("_lw_g").orderBy("cluster")) - 1).alias("label"))
-    of_place = places.join(member, places.place == member.a, "left").join(labels, "cluster", "left").select("_lw_g", "x", "y", F.coalesce("label", F.lit(-1)).alias("label"))
+    side = float(eps) / 2**0.5 * (1 - 1e-9)
+    cell = lambda c: F.floor(F.col(c) / F.lit(side)).cast("long")
+    places = flat.groupBy("_lw_g", "x", "y").agg(F.count("*").alias("n"), F.min("point_idx").alias("idx"))
+    places = places.withColumns({"cx": cell("x"), "cy": cell("y")})
+    places = written(places.withColumn("dense", F.sum("n").over(Window.partitionBy("_lw_g", "cx", "cy")) >= least), "places")
+
+    # Neighbours of the places in thin cells.
+    seek = places.where("not dense").select("_lw_g", F.col("idx").alias("a"), "x", "y", "cx", "cy", _offsets([(i, j) for i in range(-2, 3) for j in range(-2, 3)]).alias("o"))
+    seek = seek.select("_lw_g", "a", "x", "y", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+    there = places.select("_lw_g", "cx", "cy", F.col("x").alias("u"), F.col("y").alias("w"), "n", F.col("idx").alias("b"), "dense")
+    near = (F.col("x") - F.col("u")) ** 2 + (F.col("y") - F.col("w")) ** 2 <= float(eps) ** 2
+    pairs = written(seek.join(there, ["_lw_g", "cx", "cy"]).where(near).select("_lw_g", "a", "b", "n", "dense", "cx", "cy"), "pairs")
+    thin = pairs.groupBy("_lw_g", F.col("a").alias("idx")).agg(F.sum("n").alias("near")).where(F.col("near") >= least).drop("near")
+    core = places.where("dense").select("_lw_g", "idx", "x", "y", "cx", "cy")
+    core = core.unionByName(places.where("not dense").select("_lw_g", "idx", "x", "y", "cx", "cy").join(thin, ["_lw_g", "idx"]))
+    # A cell is named by its smallest core point, so that names sort as those do within a group.
+    name = F.format_string("%012d|%s", F.min("idx").over(Window.partitionBy("_lw_g", "cx", "cy")), F.col("_lw_g"))
+    core = written(core.withColumn("node", name), "core")
+
+    linked = connected_components(_cell_links(core, eps))
+    cells = core.select("_lw_g", "cx", "cy", "node").distinct().join(linked, "node", "left").select("_lw_g", "cx", "cy", F.coalesce("component", "node").alias("cluster"))
+    labels = cells.select("_lw_g", "cluster").distinct().withColumn("label", F.row_number().over(Window.partitionBy("_lw_g").orderBy("cluster")) - 1)
+    of_cell = cells.join(labels, ["_lw_g", "cluster"]).select("_lw_g", "cx", "cy", "label")
+    # Places that are no core take the cell of the smallest core point near them, if there is one.
+    sparse = core.select("_lw_g", "idx")
+    to_core = pairs.join(sparse.withColumnRenamed("idx", "a"), ["_lw_g", "a"], "left_anti")
+    to_core = to_core.where("dense").unionByName(to_core.where("not dense").join(sparse.withColumnRenamed("idx", "b"), ["_lw_g", "b"], "left_semi"))
+    border = to_core.groupBy("_lw_g", F.col("a").alias("idx")).agg(F.min_by(F.struct("cx", "cy"), "b").alias("c")).select("_lw_g", "idx", "c.cx", "c.cy")
+    member = core.select("_lw_g", "idx", "cx", "cy").unionByName(border).join(of_cell, ["_lw_g", "cx", "cy"]).select("_lw_g", "idx", "label")
+    of_place = places.join(member, ["_lw_g", "idx"], "left").select("_lw_g", "x", "y", F.coalesce("label", F.lit(-1)).alias("label"))
     return flat.join(of_place, ["_lw_g", "x", "y"]).select(*keys, "point_idx", "x", "y", "label")
 
 

@@ -108,3 +108,18 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         storage.scratch_path(Session(), "x")
+
+
+@pytest.mark.parametrize("eps, least, width", [(2.0, 5, 30), (1.0, 3, 14), (7.5, 5, 60), (40.0, 5, 60), (3.0, 1, 40), (9.0, 40, 60)])
+def test_clusters_by_cells_equal_brute_force(spark, eps, least, width):
+    from linewave.operators import cluster
+    from tests.test_operators import POINTS, brute_clusters
+
+    rng = np.random.RandomState(int(10 * eps) + least)
+    lumps = np.concatenate([rng.randint(0, width, (80, 2)), rng.randint(0, 6, (60, 2)), rng.randint(0, 6, (40, 2)) + [width // 2, -9]])
+    own = {g: {i: (int(x), int(y)) for i, (x, y) in enumerate(rng.permutation(lumps))} for g in ("a", None)}
+    df = spark.createDataFrame([(g, i, x, y) for g, ps in own.items() for i, (x, y) in ps.items()], POINTS)
+    got = {}
+    for r in cluster.density_clusters(df, eps, least, ["g"]).collect():
+        got.setdefault(r.g, {})[r.point_idx] = r.label
+    assert got == {g: brute_clusters(ps, eps, least) for g, ps in own.items()}
