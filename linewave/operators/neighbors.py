@@ -1,9 +1,10 @@
 """Exact k nearest neighbours within groups of points, by a grid that widens where it must.
 
-A point's candidates are those of the 3 x 3 cells around it, an equi-join on (group, cell): no pairs of a whole
-group are made. The answer is final if the k-th distance stays below that to anything outside the block;
-the other points try again with cells of twice the side. The first side follows each group's density, so
-that a block holds some multiple of k points.
+A point's candidates are those of the 3 x 3 cells around it. Cells follow each group's density and are small enough
+that none is crowded, so in the first round every cell gets the list of its block, and a point looks through its
+cell's list: no pair is ever a row. The answer is final if the k-th distance stays below that to anything outside the
+block; the few other points try again, by an equi-join on cells of twice the side. Of points at one place only the
+k+1 with the smallest indices can be neighbours of any point, so no more are listed.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from linewave.operators.extrema import MATRIX
 from linewave.storage import written
 
 GROUP = [*MATRIX, "extreme_type"]
-#: A cell holds at most this many times k+1 points at first, unless they share one place.
-CROWD = 16
+#: A cell holds about this share of k+1 points at first, and at most this many times k+1, unless it is one place.
+SHARE, CROWD = 0.5, 8
 _BOX = ["n", "x0", "x1", "y0", "y1"]
+_NEAR = "array<struct<d:bigint,i:int>>"
 
 
 def nearest(points: DataFrame, k: int = 5, keys: list[str] | None = None) -> DataFrame:
@@ -29,68 +31,60 @@ def nearest(points: DataFrame, k: int = 5, keys: list[str] | None = None) -> Dat
     if k < 0:
         raise ValueError("k must not be negative")
     keys = GROUP if keys is None else keys
-    flat = points.select(*keys, "point_idx", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
-    # One text column stands for the group, nulls included.
-    flat = written(flat.withColumn("_lw_g", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})), "points")
-    out = flat.select(*keys, "point_idx", F.lit(1).alias("nbr_rank"), F.col("point_idx").alias("nbr_idx"), F.lit(0.0).alias("distance")).limit(0)
-    if k == 0:
-        return out
-    boxes = flat.groupBy("_lw_g").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).where("n > 1")
+    named = points.select(*keys, "point_idx", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+    # One text column names the group, nulls included; a number written with it stands for it in all joins.
+    named = named.withColumn("_lw_name", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    groups = named.groupBy("_lw_name").agg(*(F.first(c).alias(c) for c in keys), F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     area = (F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1)
-    boxes = written(boxes.withColumn("side", F.greatest(F.lit(1), F.ceil(F.sqrt(area * (k + 1) / F.col("n"))).cast("long"))), "boxes")
-    placed = _placed(flat, boxes)
-    # Uneven groups start with a smaller side, until no cell is crowded: pairs stay in proportion to points.
+    side = F.greatest(F.lit(1), F.ceil(F.sqrt(area * SHARE * (k + 1) / F.col("n"))).cast("long"))
+    groups = written(groups.withColumns({"side": side, "_lw_g": F.monotonically_increasing_id()}), "groups")
+    if k == 0:
+        return named.select(*keys, "point_idx", F.lit(1).alias("nbr_rank"), F.col("point_idx").alias("nbr_idx"), F.lit(0.0).alias("distance")).limit(0)
+    rank = F.row_number().over(Window.partitionBy("_lw_g", "x", "y").orderBy("point_idx"))
+    flat = named.join(groups.where("n > 1").select("_lw_name", "_lw_g"), "_lw_name").select("_lw_g", "point_idx", "x", "y")
+    flat = written(flat.withColumn("listed", rank <= k + 1), "points")
+    boxes = groups.where("n > 1").select("_lw_g", *_BOX, "side")
+    # Uneven groups start with a smaller side, until no cell is crowded; only groups that still are get looked at again.
+    waiting = boxes
     while True:
-        crowd = placed.groupBy("_lw_g", _cell("x"), _cell("y")).agg(F.count("*").alias("m"), F.first("side").alias("side"))
-        full = written(crowd.where((F.col("m") > CROWD * (k + 1)) & (F.col("side") > 1)).select("_lw_g").distinct(), "crowded")
+        sides = waiting.select("_lw_g", "side")
+        crowd = flat.where("listed").join(sides, "_lw_g").groupBy("_lw_g", "side", _cell("x"), _cell("y")).agg(F.count("*").alias("m"))
+        full = written(crowd.where((F.col("m") > CROWD * (k + 1)) & (F.col("side") > 1)).select("_lw_g", F.ceil(F.col("side") / 2).alias("less")).distinct(), "crowded")
         if not full.take(1):
             break
-        halved = boxes.join(full.withColumn("full", F.lit(True)), "_lw_g", "left").withColumn("side", F.when(F.col("full"), F.ceil(F.col("side") / 2)).otherwise(F.col("side"))).drop("full")
-        boxes = written(halved, "boxes")
-        placed = _placed(flat, boxes)
-    waiting, grow, parts = placed, 1, []
+        boxes = written(boxes.join(full, "_lw_g", "left").withColumn("side", F.coalesce("less", "side")).drop("less"), "boxes")
+        waiting = boxes.join(full.select("_lw_g"), "_lw_g", "left_semi")
+    placed = written(flat.join(boxes, "_lw_g"), "placed")
+    found = written(_first_round(placed, k), "found")
+    grow, parts = 1, []
     while True:
-        found = written(_round(waiting, placed, k, grow), "found")
-        done = found.where("final")
-        parts.append(done.select("_lw_g", "point_idx", F.posexplode("nn").alias("r", "s")).select("_lw_g", "point_idx", (F.col("r") + 1).alias("nbr_rank"), F.col("s.i").alias("nbr_idx"), F.sqrt(F.col("s.d").cast("double")).alias("distance")))
+        parts.append(found.where("final").select("_lw_g", "point_idx", "nn"))
         left = found.where("not final")
         if not left.take(1):
             break
-        waiting, grow = left.select("_lw_g", "point_idx", "x", "y", *_BOX, "side"), 2 * grow
+        grow *= 2
+        found = written(_round(left.select("_lw_g", "point_idx", "x", "y", *_BOX, "side"), placed.where("listed"), k, grow), "found")
     near = parts[0]
     for p in parts[1:]:
         near = near.unionByName(p)
-    names = flat.select("_lw_g", *keys).distinct()
-    return near.join(names, "_lw_g").select(*keys, "point_idx", "nbr_rank", "nbr_idx", "distance")
+    near = near.select("_lw_g", "point_idx", F.posexplode("nn").alias("r", "s")).join(groups.select("_lw_g", *keys), "_lw_g")
+    return near.select(*keys, "point_idx", (F.col("r") + 1).alias("nbr_rank"), F.col("s.i").alias("nbr_idx"), F.sqrt(F.col("s.d").cast("double")).alias("distance"))
 
 
-def _cell(axis: str) -> Column:
-    return F.floor(F.col(axis) / F.col("side")).cast("long")
+def _cell(axis: str, grow: int = 1) -> Column:
+    return F.floor(F.col(axis) / (F.col("side") * grow)).cast("long")
 
 
-def _placed(flat: DataFrame, boxes: DataFrame) -> DataFrame:
-    return written(flat.select("_lw_g", "point_idx", "x", "y").join(boxes, "_lw_g"), "placed")
+def _around() -> Column:
+    return F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
 
 
-def _round(waiting: DataFrame, placed: DataFrame, k: int, grow: int) -> DataFrame:
-    """One try with cells of ``grow`` times each group's side: (waiting's columns, nn, final)."""
-    side = F.col("side") * grow
-    cell = lambda c: F.floor(F.col(c) / side).cast("long")
-    offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    seek = waiting.withColumns({"cx": cell("x"), "cy": cell("y")}).withColumn("o", F.explode(offsets))
-    seek = seek.select("_lw_g", "point_idx", "x", "y", *_BOX, "side", (F.col("cx") + F.col("o.i")).alias("bx"), (F.col("cy") + F.col("o.j")).alias("by"))
-    there = placed.select("_lw_g", cell("x").alias("bx"), cell("y").alias("by"), F.col("point_idx").alias("i"), F.col("x").alias("u"), F.col("y").alias("w"))
-    d = (F.col("x") - F.col("u")) * (F.col("x") - F.col("u")) + (F.col("y") - F.col("w")) * (F.col("y") - F.col("w"))
-    pairs = seek.join(there, ["_lw_g", "bx", "by"]).where("i != point_idx").withColumn("d", d)
-    best = Window.partitionBy("_lw_g", "point_idx").orderBy("d", "i")
-    # row_number <= k is cut down within each map task before the shuffle.
-    kept = pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
-    lists = kept.groupBy("_lw_g", "point_idx").agg(F.array_sort(F.collect_list(F.struct("d", "i"))).alias("nn"))
-    out = waiting.join(lists, ["_lw_g", "point_idx"], "left").withColumn("nn", F.coalesce("nn", F.array().cast("array<struct<d:bigint,i:int>>")))
+def _final(found: DataFrame, k: int, grow: int) -> DataFrame:
+    """``found`` with ``final``: whether nothing outside the block of 3 x 3 cells can be nearer than what ``nn`` holds."""
     # Distance to the nearest coordinate beyond the block on each side; none where the group ends before.
-    far = F.lit(1 << 30)
-    right, left = (cell("x") + 2) * side, (cell("x") - 1) * side - 1
-    below, above = (cell("y") + 2) * side, (cell("y") - 1) * side - 1
+    side, far = F.col("side") * grow, F.lit(1 << 30)
+    right, left = (_cell("x", grow) + 2) * side, (_cell("x", grow) - 1) * side - 1
+    below, above = (_cell("y", grow) + 2) * side, (_cell("y", grow) - 1) * side - 1
     gap = F.least(
         F.when(right <= F.col("x1"), right - F.col("x")).otherwise(far),
         F.when(left >= F.col("x0"), F.col("x") - left).otherwise(far),
@@ -98,7 +92,34 @@ def _round(waiting: DataFrame, placed: DataFrame, k: int, grow: int) -> DataFram
         F.when(above >= F.col("y0"), F.col("y") - above).otherwise(far),
     )
     enough = F.size("nn") == F.least(F.lit(k), F.col("n") - 1)
-    return out.withColumn("final", (gap == far) | (enough & (F.coalesce(F.element_at("nn", -1)["d"], F.lit(0)) < gap * gap)))
+    last = F.coalesce(F.get("nn", F.size("nn") - 1)["d"], F.lit(0))
+    return found.withColumn("final", (gap == far) | (enough & (last < gap * gap)))
+
+
+def _first_round(placed: DataFrame, k: int) -> DataFrame:
+    """Each point against the list of its block: (placed's columns, nn, final). Lists are bounded, since no cell is crowded."""
+    own = placed.withColumns({"cx": _cell("x"), "cy": _cell("y")})
+    lists = own.where("listed").groupBy("_lw_g", "cx", "cy").agg(F.collect_list(F.struct("x", "y", F.col("point_idx").alias("i"))).alias("l"))
+    dealt = lists.select("_lw_g", "cx", "cy", "l", _around().alias("o")).select("_lw_g", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), "l")
+    blocks = dealt.groupBy("_lw_g", "cx", "cy").agg(F.flatten(F.collect_list("l")).alias("block"))
+    square = lambda p, c: (p[c] - F.col(c)) * (p[c] - F.col(c))
+    others = F.filter("block", lambda p: p["i"] != F.col("point_idx"))
+    nn = F.slice(F.sort_array(F.transform(others, lambda p: F.struct((square(p, "x") + square(p, "y")).alias("d"), p["i"].alias("i")))), 1, k)
+    return _final(own.join(blocks, ["_lw_g", "cx", "cy"]).withColumn("nn", nn.cast(_NEAR)).select(*placed.columns, "nn"), k, 1)
+
+
+def _round(waiting: DataFrame, listed: DataFrame, k: int, grow: int) -> DataFrame:
+    """One more try with cells of ``grow`` times each group's side: (waiting's columns, nn, final)."""
+    seek = waiting.withColumns({"cx": _cell("x", grow), "cy": _cell("y", grow)}).withColumn("o", _around())
+    seek = seek.select("_lw_g", "point_idx", "x", "y", (F.col("cx") + F.col("o.i")).alias("bx"), (F.col("cy") + F.col("o.j")).alias("by"))
+    there = listed.select("_lw_g", _cell("x", grow).alias("bx"), _cell("y", grow).alias("by"), F.col("point_idx").alias("i"), F.col("x").alias("u"), F.col("y").alias("w"))
+    d = (F.col("x") - F.col("u")) * (F.col("x") - F.col("u")) + (F.col("y") - F.col("w")) * (F.col("y") - F.col("w"))
+    pairs = seek.join(there, ["_lw_g", "bx", "by"]).where("i != point_idx").withColumn("d", d)
+    best = Window.partitionBy("_lw_g", "point_idx").orderBy("d", "i")
+    # row_number <= k is cut down within each map task before the shuffle.
+    kept = pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+    lists = kept.groupBy("_lw_g", "point_idx").agg(F.sort_array(F.collect_list(F.struct("d", "i"))).alias("nn"))
+    return _final(waiting.join(lists, ["_lw_g", "point_idx"], "left").withColumn("nn", F.coalesce("nn", F.array().cast(_NEAR))), k, grow)
 
 
 def edges(neighbours: DataFrame, points: DataFrame, keys: list[str] | None = None) -> DataFrame:

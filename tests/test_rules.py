@@ -123,3 +123,23 @@ def test_clusters_by_cells_equal_brute_force(spark, eps, least, width):
     for r in cluster.density_clusters(df, eps, least, ["g"]).collect():
         got.setdefault(r.g, {})[r.point_idx] = r.label
     assert got == {g: brute_clusters(ps, eps, least) for g, ps in own.items()}
+
+
+@pytest.mark.parametrize("few", [0, 40, 100_000])
+def test_components_by_rounds_or_in_one_task(spark, few):
+    from linewave.operators.components import connected_components
+
+    edges = [(i, i + 1) for i in range(90)] + [(1000, 1000 + i) for i in range(1, 60)] + [(5000, 5000), (7, None), (2, 1), (1, 2)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
+    assert got == {i: 0 for i in range(91)} | {1000 + i: 1000 for i in range(60)}
+    words = {r.node: r.component for r in connected_components(spark.createDataFrame([("b", "a"), ("c", "é"), ("é", "日")], "a string, b string"), few=few).collect()}
+    assert words == {"a": "a", "b": "a", "c": "c", "é": "c", "日": "c"}
+
+
+def test_nearest_with_many_points_at_one_place(spark):
+    from linewave.operators import neighbors
+    from tests.test_operators import POINTS, brute_nearest
+
+    points = [("a", i, 5, 5) for i in range(40)] + [("a", 40 + i, 5 + i, 5) for i in range(1, 9)] + [("a", 60, 300, 300), ("a", 61, 300, 301)]
+    got = neighbors.nearest(spark.createDataFrame(points, POINTS), 3, ["g"])
+    assert sorted(((r.g, r.point_idx, r.nbr_rank, r.nbr_idx, r.distance) for r in got.collect()), key=str) == brute_nearest(points, 3)
