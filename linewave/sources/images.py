@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHANNELS = ("r", "g", "b")
@@ -90,13 +90,16 @@ def pixel_lookup(rows: DataFrame, places: DataFrame) -> DataFrame:
     return hit.select("image_id", "y", "x", *(F.get(c, F.col("x")).cast("smallint").alias(c) for c in CHANNELS))
 
 
-def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def embedding_rows(spark: SparkSession, sf_dir: str, slot: int = 1 << 16) -> DataFrame:
     """``rows`` of ten images made of the embeddings: label = image, vector = line, 3 x 21 of its 64 numbers.
 
-    A line's place is its rank by vec_id within the label.
+    A line's place is its rank by vec_id within the label: its rank among the vectors of its slot, ids of a common
+    ``vec_id div slot``, and the number of those in earlier slots. So a label is ranked by as many tasks as it has slots.
     """
-    from pyspark.sql import Window
-
     scaled = lambda e: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor(F.lit(128.0) + F.lit(256.0) * e.cast("double")).cast("double")))
-    ranked = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").cast("long").alias("image_id"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("y"), "embedding")
-    return ranked.select("image_id", "y", *(F.transform(F.slice("embedding", 1 + 21 * i, 21), scaled).alias(c) for i, c in enumerate(CHANNELS)))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").cast("long").alias("image_id"), "vec_id", F.floor(F.col("vec_id") / slot).alias("slot"), "embedding")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("image_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slots = vectors.groupBy("image_id", "slot").agg(F.count("*").alias("n")).select("image_id", "slot", before.alias("before"))
+    own = F.row_number().over(Window.partitionBy("image_id", "slot").orderBy("vec_id")) - 1
+    ranked = vectors.withColumn("own", own).join(slots, ["image_id", "slot"])
+    return ranked.select("image_id", (F.col("own") + F.col("before")).cast("int").alias("y"), *(F.transform(F.slice("embedding", 1 + 21 * i, 21), scaled).alias(c) for i, c in enumerate(CHANNELS)))
