@@ -30,7 +30,7 @@ SHORT = 24
 #: Positions of a long word that are looked up at a time, and steps between two scalings.
 STRETCH, EVERY = 1 << 14, 8
 #: Bytes of forward rows held at a time, and of a scorer's cache.
-ROWS_BYTES, CACHE_BYTES = 32 << 20, 64 << 20
+ROWS_BYTES, CACHE_BYTES = 16 << 20, 48 << 20
 #: Probability of a letter that is no piece, the same in every language.
 UNKNOWN = 1e-7
 _LETTERS = regex.compile(r"\p{L}+")
@@ -412,7 +412,7 @@ def identify(df: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text:
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             names, scores = shared.value.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -432,7 +432,7 @@ def in_known_language(df: DataFrame, model: LanguageModel, text: str = "text", o
     at, shared = inner[names.index(text)], df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, at):
+        for batch in slices(batches, at, 1 << 20):
             yield batch.filter(pa.array(shared.value.known(batch.column(at).to_pylist(), odds), pa.bool_()))
 
     renamed = df.toDF(*inner)
