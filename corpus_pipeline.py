@@ -1,7 +1,12 @@
 """From raw documents to a token file: language, near duplicates, benchmark leaks, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All stages but the last
-return the columns of ``documents``; between stages the rows are written as Parquet and read again.
+return the columns of ``documents``; between stages the rows are written as Parquet and read again. What a stage and its
+predecessor wrote to the shared folder is deleted as soon as the stage's rows are written.
+
+Null, empty and letterless texts go in the first stage. Rows with a null doc_id are never near duplicates; rows that
+repeat a kept doc_id all stay. A null source is a source of its own. Further columns of ``documents`` are kept up to the
+last stage, which returns doc_id, start, n_tokens and ids_crc32. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from linewave.storage import written
+from linewave.storage import Scratch, written
 from linewave.llm.decontam import decontaminated
 from linewave.llm.language import fit_languages, in_known_language
 from linewave.llm.mixing import mixed
@@ -57,6 +62,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with Scratch(spark) as inner:
+            kept = stage(spark, docs, sf_dir)
+        with Scratch(spark) as outer:
+            docs = written(kept, name)
+        inner.clear()
+        if before:
+            before.clear()
+        before = outer
     return STAGES[-1][1](spark, docs, sf_dir)
