@@ -7,7 +7,9 @@
    only deeper prefixes stand next to each other, so the depth adapts to the region.
 3. Neighbours whose labels agree widely are joined into families (loose components).
 4. Inside a family the full sets decide: a prefix-filtered inverted index compares every pair that could
-   reach the threshold, in bounded blocks, and skips only pairs that are already connected.
+   reach the threshold, and skips only pairs that are already connected. A large family is dealt out in salts and first
+   compared with a few of its members, the pivots; what they connect, mostly all copies of a text, need not be compared
+   again. The rest, in blocks, meets every salt of the family.
 5. The components of the confirmed links are the groups; the smallest id of each is kept.
 """
 
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewave.llm.common import mix64, shingle_sets, slices
@@ -116,16 +118,32 @@ def _neighbours(min_depth: int, window: int, agree: int):
     return run
 
 
-def confirmed_links(members: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
-    """Links (id, smallest id of its group) within (id, block, sorted set) members.
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < percent * len(b):
+        return False
+    shared = int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
+def confirmed_links(members: list[tuple[int, int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links (id, id) that connect what is linked within (id, block, component, sorted set) members.
 
     Pairs are compared when their sets share one of each other's rarest members (a set of n has
     n - ceil(percent*n/100) + 1 of them, so no pair that reaches the threshold is missed). A pair
-    already in one group is skipped. Where members come from two blocks, only pairs across them count.
+    already connected, by ``component`` from the start, is skipped. Between blocks 0 and 1 only pairs across them count,
+    within any other block all pairs.
     """
-    two = len({b for _, b, _ in members}) > 1
-    members = sorted(members, key=lambda m: (len(m[2]), m[0]))
-    parent = list(range(len(members)))
+    blocks = {b for _, b, _, _ in members}
+    if blocks < {0, 1}:
+        return []
+    two = len(blocks) > 1
+    members = sorted(members, key=lambda m: (len(m[3]), m[0]))
+    first: dict[int, int] = {}
+    parent = [first.setdefault(c, i) for i, (_, _, c, _) in enumerate(members)]
+    links: list[tuple[int, int]] = []
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -133,7 +151,7 @@ def confirmed_links(members: list[tuple[int, int, np.ndarray]], percent: int) ->
             i = parent[i]
         return i
 
-    flat = np.concatenate([m[2] for m in members])
+    flat = np.concatenate([m[3] for m in members])
     values, rank, count = np.unique(flat, return_inverse=True, return_counts=True)
     order = np.empty(len(values), dtype=np.int64)
     order[np.lexsort((values, count))] = np.arange(len(values))  # rarest first
@@ -141,7 +159,7 @@ def confirmed_links(members: list[tuple[int, int, np.ndarray]], percent: int) ->
     postings: dict[int, list[int]] = defaultdict(list)
     sets: list[frozenset] = []
     at = 0
-    for i, (_, block, own) in enumerate(members):
+    for i, (_, block, _, own) in enumerate(members):
         n = len(own)
         mine = np.sort(ranked[at : at + n])
         at += n
@@ -162,13 +180,39 @@ def confirmed_links(members: list[tuple[int, int, np.ndarray]], percent: int) ->
                 shared = len(sets[i] & other)
                 if 100 * shared >= percent * (n + len(other) - shared):
                     parent[max(ri, rj)] = min(ri, rj)
+                    links.append((members[i][0], members[j][0]))
         for value in head:
             postings[value].append(i)
-    least: dict[int, int] = {}
-    for i, m in enumerate(members):
-        r = root(i)
-        least[r] = min(least.get(r, m[0]), m[0])
-    return [(m[0], least[r]) for i, m in enumerate(members) if (r := root(i)) is not None and m[0] != least[r]]
+    return links
+
+
+def _pivot_links(percent: int):
+    """Rows sorted by (family, salt, role), pivots (role 0) first -> links of members and pivots with pivots.
+
+    Pivots that are linked form a class; one link with a class is enough. A salt's pivots are held, its members pass by.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, classes = None, []  # a class: its pivots (rep, set)
+        for batch in batches:
+            a, b = [], []
+            for family, salt, role, rep, own in zip(*(batch.column(c).to_pylist() for c in ("family", "salt", "role", "rep", "members"))):
+                if (family, salt) != now:
+                    now, classes = (family, salt), []
+                own = np.frombuffer(own, dtype=np.uint64)
+                met = []
+                for c in classes:
+                    for pivot, other in c:
+                        if similar(own, other, percent):
+                            met.append(c)
+                            a.append(rep)
+                            b.append(pivot)
+                            break
+                if role == 0:
+                    classes = [c for c in classes if not any(c is m for m in met)] + [[p for c in met for p in c] + [(rep, own)]]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
 
 
 def _family_rows(k: int):
@@ -178,7 +222,7 @@ def _family_rows(k: int):
         for batch in slices(batches, "text", 1 << 20):
             flat, bounds = shingle_sets(batch.column("text").to_pylist(), k)
             sets = [flat[lo:hi].tobytes() for lo, hi in zip(bounds, bounds[1:])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("family", "rep", "blocks")), pa.array(sets, pa.binary())], names=["family", "rep", "blocks", "members"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("family", "rep", "salts")), pa.array(sets, pa.binary())], names=["family", "rep", "salts", "members"])
 
     return run
 
@@ -191,17 +235,17 @@ def _confirm(percent: int):
 
         def flush() -> None:
             if len(group) > 1:
-                for x, y in confirmed_links([(rep, block, s) for (rep, block, _), s in group.items()], percent):
+                for x, y in confirmed_links([(rep, block, c, s) for (rep, block, _), (c, s) in group.items()], percent):
                     a.append(x)
                     b.append(y)
             group.clear()
 
         for batch in batches:
-            for family, one, two, rep, block, own in zip(*(batch.column(c).to_pylist() for c in ("family", "one", "two", "rep", "block", "members"))):
+            for family, one, two, rep, block, known, own in zip(*(batch.column(c).to_pylist() for c in ("family", "one", "two", "rep", "block", "known", "members"))):
                 if (family, one, two) != now:
                     flush()
                     now = (family, one, two)
-                group[rep, block, own] = np.frombuffer(own, dtype=np.uint64)
+                group[rep, block, own] = (known, np.frombuffer(own, dtype=np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
             a.clear()
             b.clear()
@@ -211,6 +255,48 @@ def _confirm(percent: int):
     return run
 
 
+def _links(dealt: DataFrame, percent: int) -> DataFrame:
+    """Links within each (family, one, two)."""
+    return dealt.repartition("family", "one", "two").sortWithinPartitions("family", "one", "two").mapInArrow(_confirm(percent), "a long, b long")
+
+
+def _parts(block_shingles: int, block_rows: int) -> Column:
+    """Into how many parts rows of ``n`` shingles are dealt out."""
+    return F.greatest(F.ceil(F.sum("n") / block_shingles), F.ceil(F.count("*") / block_rows)).cast("int")
+
+
+def _large_family_links(sets: DataFrame, percent: int, block_shingles: int, block_rows: int, pivots: int) -> DataFrame:
+    """Links of families of more than one salt, given as (family, rep, salts, members).
+
+    All members meet the first pivots, and those that these leave outside the family's largest component meet four times
+    as many others. Copies of a text are then done; what is still left meets every member.
+    """
+    own = sets.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
+    placed = sets.select("family", "rep").distinct().withColumn("place", F.row_number().over(Window.partitionBy("family").orderBy(F.xxhash64("rep", F.lit(1)), "rep"))).where(F.col("place") <= 5 * pivots)
+    placed = written(placed.select("rep", "place"), "pivots")
+    columns = ["family", "salt", "role", "rep", "members"]
+    seeking, met, rest = own, None, None
+    for low, high in ((0, pivots), (pivots, 5 * pivots)):
+        chosen = placed.where((F.col("place") > low) & (F.col("place") <= high)).select("rep")
+        first = sets.join(chosen, "rep").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        both = seeking.withColumn("role", F.lit(1)).select(*columns).unionByName(first.withColumn("role", F.lit(0)).select(*columns))
+        found = both.repartition("family", "salt").sortWithinPartitions("family", "salt", "role", "rep").mapInArrow(_pivot_links(percent), "a long, b long")
+        found = found.where("a <> b").distinct()
+        met = written(found if met is None else met.unionByName(found).distinct(), "pivot_links")
+        known = connected_components(met)
+        sized = sets.select("family", "rep", (F.length("members") / 8).alias("n")).join(known, sets.rep == known.node, "left").select("family", "rep", "n", F.coalesce("component", "rep").alias("known"))
+        sized = written(sized, "known")
+        largest = sized.groupBy("family", "known").agg(F.sum("n").alias("n")).groupBy("family").agg(F.max_by("known", F.struct("n", "known")).alias("largest"))
+        rest = written(sized.join(largest, "family").where("known <> largest").select("family", "rep", "n"), "rest")
+        seeking = own.join(rest.select("rep").distinct(), "rep", "left_semi")
+    blocks = rest.groupBy("family").agg(_parts(block_shingles, block_rows).alias("blocks"))
+    more = own.join(blocks, "family").join(sized.select("rep", "known").distinct(), "rep")
+    every = more.withColumn("two", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("family", F.col("salt").alias("one"), "two", "rep", F.lit(0).alias("block"), "known", "members")
+    left = more.join(rest.select("rep").distinct(), "rep", "left_semi").withColumn("two", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks")).cast("int"))
+    left = left.withColumn("one", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("family", "one", "two", "rep", F.lit(1).alias("block"), "known", "members")
+    return met.unionByName(_links(every.unionByName(left), percent))
+
+
 def near_duplicates(
     df: DataFrame,
     doc_id: str = "doc_id",
@@ -220,7 +306,9 @@ def near_duplicates(
     min_depth: int = 3,
     window: int = 4,
     agree: int = 4,
-    block_shingles: int = 2_000_000,
+    block_shingles: int = 30_000,
+    block_rows: int = 200,
+    pivots: int = 16,
     broadcast_members: int = 2_000_000,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``df``.
@@ -248,21 +336,18 @@ def near_duplicates(
     )
     families = connected_components(pairs).select(F.col("node").alias("rep"), F.col("component").alias("family"))
     members = written(families.join(classes.select("rep", "n"), "rep"), "families")
-    sizes = members.groupBy("family").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
-    members = members.join(sizes, "family").select("rep", "family", "blocks").distinct()
+    salts = members.groupBy("family").agg(_parts(block_shingles, block_rows).alias("salts"))
+    members = members.join(salts, "family").select("rep", "family", "salts").distinct()
     if members.count() <= broadcast_members:
         members = F.broadcast(members)
-    sets = docs.join(members, docs.doc_id == members.rep).select("family", "rep", "blocks", "text").mapInArrow(_family_rows(k), "family long, rep long, blocks int, members binary")
-    dealt = (
-        sets.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("family", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "rep", "block", "members")
-    )
-    links = (
-        dealt.repartition("family", "one", "two").sortWithinPartitions("family", "one", "two").mapInArrow(_confirm(percent), "a long, b long")
-    )
-    # Classes that hold one doc_id twice (repeated ids with unlike texts) meet in that node.
+    sets = docs.join(members, docs.doc_id == members.rep).select("family", "rep", "salts", "text").mapInArrow(_family_rows(k), "family long, rep long, salts int, members binary")
+    sets = written(sets, "family_sets")
+    whole = ["family", F.lit(0).alias("one"), F.lit(0).alias("two"), "rep", F.lit(2).alias("block"), F.col("rep").alias("known"), "members"]
+    links = _links(sets.where("salts = 1").select(*whole), percent)
+    if sets.where("salts > 1").take(1):
+        links = links.unionByName(_large_family_links(sets.where("salts > 1"), percent, block_shingles, block_rows, pivots))
     groups = connected_components(links)
+    # Classes that hold one doc_id twice (repeated ids with unlike texts) meet in that node.
     named = classes.select("key", "rep").join(groups, classes.rep == groups.node, "left").select("key", F.coalesce("component", "rep").alias("least"))
     return (
         rows.select("doc_id", "n_shingles", "key")
