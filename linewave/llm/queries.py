@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -89,7 +90,15 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_tokens(_documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_media, op4_near_duplicates, op5_language, op6_main_text, op7_personal_data, op8_mixing, op9_quality, op10_token_file)}
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that lie in a string of 100 bytes which starts earlier too, removed."""
+    from linewave.llm.repeats import without_repeats
+
+    found = without_repeats(_documents(spark, sf_dir, "doc_id", "text"), least=100)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_media, op4_near_duplicates, op5_language, op6_main_text, op7_personal_data, op8_mixing, op9_quality, op10_token_file, op13_repeats)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
@@ -126,4 +135,15 @@ ranked AS (SELECT sized.*, source_size, target, row_number() OVER (PARTITION BY
   FROM sized JOIN aimed ON sized.source IS NOT DISTINCT FROM aimed.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies * size AS BIGINT) AS taken, copies
 FROM (SELECT *, CAST(floor((rank + 1) * expected + shift) - floor(rank * expected + shift) AS BIGINT) AS copies FROM ranked)""",
+    # Two hexadecimal digits a byte. A byte is gone if one of the 100 strings that cover it is not the first of its kind.
+    "op13_repeats": """WITH doc AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+own AS (SELECT doc_id, len(h) // 2 AS n, unnest(range(0, greatest(len(h) // 2 - 99, 0))) AS p, h FROM doc),
+kind AS (SELECT doc_id, p, min((doc_id, p)) OVER (PARTITION BY md5_number(substr(h, 2 * p + 1, 200))) < (doc_id, p) AS later FROM own),
+span AS (SELECT doc_id, p, p - coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -101) > 100 AS fresh FROM kind WHERE later),
+run AS (SELECT doc_id, p, count(*) FILTER (fresh) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM span),
+gone AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS z FROM run GROUP BY doc_id, r),
+cut AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, sum(z - a) AS n_removed FROM gone GROUP BY 1)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(len(a), 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN a IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(a) + 1), lambda i: substr(h, CASE WHEN i = 0 THEN 1 ELSE 2 * z[i] + 1 END, CASE WHEN i = len(a) THEN len(h) ELSE 2 * a[i + 1] END - CASE WHEN i = 0 THEN 0 ELSE 2 * z[i] END)), '') END)) AS kept_sha256
+FROM doc LEFT JOIN cut USING (doc_id)""",
 }
