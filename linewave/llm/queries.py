@@ -90,6 +90,14 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_tokens(_documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all documents towards the benchmark, and the quarter that is drawn by them."""
+    from linewave.llm.resample import resampled
+
+    docs, target = _documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return resampled(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that lie in a string of 100 bytes which starts earlier too, removed."""
     from linewave.llm.repeats import without_repeats
@@ -98,7 +106,7 @@ def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_media, op4_near_duplicates, op5_language, op6_main_text, op7_personal_data, op8_mixing, op9_quality, op10_token_file, op13_repeats)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_media, op4_near_duplicates, op5_language, op6_main_text, op7_personal_data, op8_mixing, op9_quality, op10_token_file, op12_resampling, op13_repeats)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
@@ -109,6 +117,12 @@ def _shingles(table: str, key: str, k: int) -> str:
   FROM (SELECT {key}, {_WORDS} AS w FROM {table})"""
 
 
+# crc32 of the ``text`` rows of ``keyed``: a table of 256 by shifts, then a byte a round. ``crc`` has (text, crc).
+_CRC = r"""tab AS (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) AS v FROM (SELECT unnest(range(256)) AS i)),
+walk(text, h, k, c) AS (SELECT text, hex(encode(text)), 0::BIGINT, 4294967295::BIGINT FROM keyed
+  UNION ALL SELECT text, h, k + 1, xor(c >> 8, v) FROM walk JOIN tab ON i = xor(c, CAST('0x' || h[2 * k + 1:2 * k + 2] AS BIGINT)) & 255 WHERE 2 * k < len(h)),
+crc AS (SELECT text, xor(c, 4294967295) AS crc FROM walk WHERE 2 * k = len(h))"""
+
 SQL: dict[str, str] = {
     "op2_decontamination": f"""WITH own AS ({_shingles("documents", "doc_id", 5)}), item AS ({_shingles("benchmark", "item_id", 5)}),
 sized AS (SELECT item_id, count(*) AS n_shingles FROM item GROUP BY 1)
@@ -135,11 +149,26 @@ ranked AS (SELECT sized.*, source_size, target, row_number() OVER (PARTITION BY
   FROM sized JOIN aimed ON sized.source IS NOT DISTINCT FROM aimed.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies * size AS BIGINT) AS taken, copies
 FROM (SELECT *, CAST(floor((rank + 1) * expected + shift) - floor(rank * expected + shift) AS BIGINT) AS copies FROM ranked)""",
-    # Two hexadecimal digits a byte. A byte is gone if one of the 100 strings that cover it is not the first of its kind.
+    "op12_resampling": rf"""WITH RECURSIVE words AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT 't', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+feature AS (SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS text FROM words),
+keyed AS (SELECT DISTINCT text FROM feature), {_CRC},
+posted AS (SELECT side, id, crc % 10000 AS bucket, count(*) AS n FROM feature JOIN crc USING (text) GROUP BY ALL),
+sums AS (SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 't'), 0) AS t FROM posted GROUP BY 1),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS BIGINT) AS gain FROM sums),
+part AS (SELECT id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * gain) AS BIGINT) AS g FROM posted JOIN gain USING (bucket) WHERE side = 'd' GROUP BY 1),
+weighed AS (SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN (g - ((g % n) + n) % n) // n ELSE 0 END AS weight, CAST('0x' || sha256('7:' || doc_id)[1:8] AS BIGINT)::DOUBLE AS h
+  FROM documents JOIN words ON side = 'd' AND doc_id = words.id LEFT JOIN part ON doc_id = part.id),
+scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM weighed),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS r, count(*) FILTER (n_words >= 20) OVER () AS able FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND r <= 25 * able // 100 THEN r END AS rank FROM ranked""",
+    # Two hexadecimal digits a byte, in pieces of 500. A byte is gone if one of the 100 strings that cover it is not the first of its kind.
     "op13_repeats": """WITH doc AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-own AS (SELECT doc_id, len(h) // 2 AS n, unnest(range(0, greatest(len(h) // 2 - 99, 0))) AS p, h FROM doc),
-kind AS (SELECT doc_id, p, min((doc_id, p)) OVER (PARTITION BY md5_number(substr(h, 2 * p + 1, 200))) < (doc_id, p) AS later FROM own),
-span AS (SELECT doc_id, p, p - coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -101) > 100 AS fresh FROM kind WHERE later),
+piece AS (SELECT doc_id, 500 * q AS base, n - 99 - 500 * q AS n, substr(h, 1000 * q + 1, 1200) AS h FROM (SELECT doc_id, h, len(h) // 2 AS n, unnest(range(0, len(h) // 1000 + 1)) AS q FROM doc)),
+own AS (SELECT doc_id * 4294967296::HUGEINT + base + i AS spot, md5_number(substr(h, 2 * i + 1, 200)) AS w FROM (SELECT *, unnest(range(0, greatest(least(500, n), 0))) AS i FROM piece)),
+early AS (SELECT w, min(spot) AS spot FROM own GROUP BY w),
+later AS (SELECT CAST(own.spot // 4294967296 AS BIGINT) AS doc_id, CAST(own.spot % 4294967296 AS BIGINT) AS p FROM own JOIN early USING (w) WHERE early.spot < own.spot),
+span AS (SELECT doc_id, p, p - coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -101) > 100 AS fresh FROM later),
 run AS (SELECT doc_id, p, count(*) FILTER (fresh) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM span),
 gone AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS z FROM run GROUP BY doc_id, r),
 cut AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, sum(z - a) AS n_removed FROM gone GROUP BY 1)
