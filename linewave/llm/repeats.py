@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from linewave.llm.common import mix64
 
 #: Positions whose anchors are worked out at a time.
-PIECE = 1 << 19
+PIECE = 1 << 17
 _NULL_ID = -(1 << 63)
 _FOUND = "block long, hashes binary"
 _ENTRIES = "g long, block long, doc int, start long, end long, id long, at int, s binary"
@@ -69,7 +69,7 @@ def _anchors(data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     values = values.reshape(-1, w)
     place = np.arange(w, dtype=kind)
     before, after = np.minimum.accumulate(values, axis=1), np.minimum.accumulate(values[:, ::-1], axis=1)[:, ::-1]
-    # The places of those minima: the first of equals from the left, the last fresh one from the right.
+    # The places of those minima, of equals the leftmost.
     fresh = np.zeros(values.shape, dtype=bool)
     fresh[:, 0] = True
     fresh[:, 1:] = before[:, 1:] < before[:, :-1]
@@ -240,12 +240,13 @@ def _strings(least: int, groups: int):
     return run
 
 
-def _passes(strings: list[bytes], at: np.ndarray, group: np.ndarray, depth: int, step: int) -> list[np.ndarray]:
-    """Groups of equal bytes, by the number of bytes from ``at`` on (step 1) or before it (step -1).
+def _passes(strings: list[bytes], at: np.ndarray, group: np.ndarray, depth: int, step: int) -> Iterator[np.ndarray]:
+    """Groups of equal bytes, by the number of bytes from ``at`` on (step 1) or before it (step -1): 0, 1, ... ``depth``.
 
     A pass takes one byte; strings that end there, and those that are alone, have the group -1 and take part no more.
     """
-    now, out = group.copy(), [group]
+    now = group.astype(np.int32)
+    yield now
     flat = np.frombuffer(b"".join(strings), dtype=np.uint8)
     sizes = np.array([len(s) for s in strings], dtype=np.int64)
     begin = np.cumsum(sizes) - sizes
@@ -254,14 +255,13 @@ def _passes(strings: list[bytes], at: np.ndarray, group: np.ndarray, depth: int,
         place = at[live] + (-i if step < 0 else i - 1)
         there = (place >= 0) & (place < sizes[live])
         before, live, place = live, live[there], place[there]
-        _, own, n = np.unique(now[live] * 256 + flat[begin[live] + place], return_inverse=True, return_counts=True)
+        _, own, n = np.unique(now[live].astype(np.int64) * 256 + flat[begin[live] + place], return_inverse=True, return_counts=True)
         own = own.ravel()
         live, own = live[n[own] > 1], own[n[own] > 1]
         now = now.copy()
         now[before] = -1
         now[live] = own
-        out.append(now)
-    return out
+        yield now
 
 
 def _earliest(least: int):
@@ -286,15 +286,14 @@ def _earliest(least: int):
         shared = np.flatnonzero(np.bincount(grams)[grams] > 1) if len(grams) else grams
         if len(shared):
             some, place, group, top = [strings[i] for i in shared], where[shared], grams[shared], best[shared]
-            left = _passes(some, place, group, least - k, -1)
-            right = _passes(some, place + k, group, least - k, 1)
+            right = list(_passes(some, place + k, group, least - k, 1))
             covered: list[tuple[np.ndarray, np.ndarray]] = []
-            for o in range(least - k + 1):
-                l, r = left[o], right[least - k - o]
+            for o, l in enumerate(_passes(some, place, group, least - k, -1)):
+                r = right.pop()
                 live = np.flatnonzero((l >= 0) & (r >= 0))
                 if len(live) < 2:
                     continue
-                _, own = np.unique(l[live] * (len(some) + 1) + r[live], return_inverse=True)
+                _, own = np.unique(l[live].astype(np.int64) * (len(some) + 1) + r[live], return_inverse=True)
                 own = own.ravel()
                 low = np.full(own.max() + 1, top.max() + 1)
                 np.minimum.at(low, own, top[live])
@@ -332,13 +331,16 @@ def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
         edges = [0, *np.stack([start[lo:hi], end[lo:hi]], axis=1).ravel().tolist(), len(text)]
         kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
     at = np.array([i for _, i in own.rows])
-    spans = [[{"start": a, "end": b} for a, b in zip(start[bounds[i] : bounds[i + 1]].tolist(), end[bounds[i] : bounds[i + 1]].tolist())] for i in at]
+    n = np.diff(bounds)[at]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    each = np.arange(ends[-1]) + np.repeat(bounds[at] - ends[:-1], n)
+    spans = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(start[each], pa.int64()), pa.array(end[each], pa.int64())], names=["start", "end"]))
     sizes = np.array([len(t) for t in own.texts], dtype=np.int64)
     left_over = np.array([len(t) for t in kept], dtype=np.int64)
-    return pa.table([pa.array([i for i, _ in own.rows], pa.int64()), pa.array(sizes[at]), pa.array((sizes - left_over)[at]), pa.array(spans, span), pa.array([kept[i] for i in at], pa.binary())], names=names)
+    return pa.table([pa.array([i for i, _ in own.rows], pa.int64()), pa.array(sizes[at]), pa.array((sizes - left_over)[at]), spans, pa.array([kept[i] for i in at], pa.binary())], names=names)
 
 
-def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 100, block_bytes: int = 8 << 20, hot: int = 1 << 17) -> DataFrame:
+def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 100, block_bytes: int = 4 << 20, hot: int = 1 << 17) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept) of every row: the removed spans in UTF-8 bytes and the bytes that stay.
 
     A byte is removed if a string of ``least`` bytes that covers it also starts in a document of a smaller id or earlier in the
@@ -357,7 +359,7 @@ def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     blocks = max(1, math.ceil(total / block_bytes))
     k = gram_length(least)
     expected = 2 * total / (least - k + 2)  # anchors
-    few, many = max(1, math.ceil(expected / (1 << 20))), max(1, math.ceil(expected * 1.5 * least / (64 << 20)))
+    few, many = max(1, math.ceil(expected / (1 << 19))), max(1, math.ceil(expected * 1.5 * least / (24 << 20)))
     placed = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", "text")
     texts = placed.groupBy("block")
     digits = texts.applyInArrow(_first_digit(least, few, hot), "g long, block long, hashes binary, n binary")
