@@ -90,6 +90,13 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_tokens(_documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op11_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every conversation after set damage."""
+    from linewave.llm.conversations import repairs_of_damaged
+
+    return repairs_of_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of all documents towards the benchmark, and the quarter that is drawn by them."""
     from linewave.llm.resample import resampled
@@ -106,7 +113,7 @@ def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_media, op4_near_duplicates, op5_language, op6_main_text, op7_personal_data, op8_mixing, op9_quality, op10_token_file, op12_resampling, op13_repeats)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_media, op4_near_duplicates, op5_language, op6_main_text, op7_personal_data, op8_mixing, op9_quality, op10_token_file, op11_repairs, op12_resampling, op13_repeats)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
@@ -149,6 +156,30 @@ ranked AS (SELECT sized.*, source_size, target, row_number() OVER (PARTITION BY
   FROM sized JOIN aimed ON sized.source IS NOT DISTINCT FROM aimed.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies * size AS BIGINT) AS taken, copies
 FROM (SELECT *, CAST(floor((rank + 1) * expected + shift) - floor(rank * expected + shift) AS BIGINT) AS copies FROM ranked)""",
+    # back has the least cost from each state before a row, from the end on; step walks forward and takes the least letter that fits.
+    "op11_repairs": rf"""WITH RECURSIVE source AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS body, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS text FROM conversations),
+keyed AS (SELECT DISTINCT text FROM source), {_CRC},
+kinds AS (SELECT conv_id, turn, role, body, crc % 20 AS kind FROM source JOIN crc USING (text)),
+damaged AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(body, '.!?', '') ELSE body END AS body, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, body, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, body ORDER BY turn NULLS FIRST, copy) AS nth, rtrim(body, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS tail FROM damaged),
+coded AS (SELECT *, role[1:1] AS initial, CASE WHEN tail = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN tail[-1:] NOT IN ('.', '!', '?') THEN 'truncated' END AS fault, lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY i) AS earlier FROM placed),
+costed AS (SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS gone, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more FROM coded),
+sized AS (SELECT conv_id, count(*) AS n FROM costed GROUP BY 1),
+back(conv_id, i, f) AS (SELECT conv_id, n + 1, [0, 6, 3, 0]::BIGINT[] FROM sized
+  UNION ALL SELECT conv_id, i, [least(g[1], 3 + least(g[3], 3 + g[4])), least(g[2], 3 + least(g[3], 3 + g[4])), least(g[3], 3 + g[4]), least(g[4], 3 + g[3])] FROM (
+    SELECT b.conv_id, c.i, list_transform([0, 1, 2, 3], lambda s: least(4 + f[s + 1], CASE WHEN gone THEN 1000000000 ELSE more + least(3 + CASE s WHEN 2 THEN f[4] ELSE f[3] END,
+      CASE WHEN initial = 'u' AND s <> 2 THEN f[3] WHEN initial = 'a' AND s = 2 THEN f[4] WHEN initial = 's' AND s = 0 THEN f[2] ELSE 1000000000 END) END)) AS g
+    FROM back b JOIN costed c ON b.conv_id IS NOT DISTINCT FROM c.conv_id AND c.i = b.i - 1)),
+step(conv_id, i, s, audit, out) AS (SELECT conv_id, 1::BIGINT, 0, '', []::VARCHAR[] FROM sized
+  UNION ALL SELECT conv_id, CASE e WHEN 'I' THEN i ELSE i + 1 END, CASE e WHEN 'D' THEN s WHEN 'K' THEN CASE initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE CASE s WHEN 2 THEN 3 ELSE 2 END END, audit || e,
+    CASE e WHEN 'D' THEN out WHEN 'K' THEN list_append(out, role || ':' || body) ELSE list_append(out, CASE s WHEN 2 THEN 'assistant:' ELSE 'user:' END || CASE e WHEN 'R' THEN body ELSE '' END) END FROM (
+    SELECT t.*, c.role, c.body, c.initial, CASE WHEN c.i IS NULL THEN CASE WHEN s IN (1, 2) THEN 'I' END WHEN 4 + z.f[s + 1] = a.f[s + 1] THEN 'D' WHEN 3 + a.f[CASE s WHEN 2 THEN 4 ELSE 3 END] = a.f[s + 1] THEN 'I'
+      WHEN NOT gone AND more + CASE WHEN initial = 'u' AND s <> 2 THEN z.f[3] WHEN initial = 'a' AND s = 2 THEN z.f[4] WHEN initial = 's' AND s = 0 THEN z.f[2] ELSE 1000000000 END = a.f[s + 1] THEN 'K' ELSE 'R' END AS e
+    FROM step t JOIN back a ON t.conv_id IS NOT DISTINCT FROM a.conv_id AND t.i = a.i LEFT JOIN costed c ON t.conv_id IS NOT DISTINCT FROM c.conv_id AND t.i = c.i LEFT JOIN back z ON t.conv_id IS NOT DISTINCT FROM z.conv_id AND z.i = t.i + 1) WHERE e IS NOT NULL),
+ends AS (SELECT conv_id, audit, out FROM step JOIN sized USING (conv_id) WHERE i = n + 1 AND s IN (0, 3)),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM costed GROUP BY 1)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.f[1], 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(out, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON o.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN back b ON b.conv_id IS NOT DISTINCT FROM o.conv_id AND b.i = 1 LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id""",
     "op12_resampling": rf"""WITH RECURSIVE words AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
   UNION ALL SELECT 't', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
 feature AS (SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS text FROM words),
