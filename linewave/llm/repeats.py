@@ -287,7 +287,7 @@ def _earliest(least: int):
         if len(shared):
             some, place, group, top = [strings[i] for i in shared], where[shared], grams[shared], best[shared]
             right = list(_passes(some, place + k, group, least - k, 1))
-            covered: list[tuple[np.ndarray, np.ndarray]] = []
+            nearest, farthest = np.full(len(shared), least), np.full(len(shared), -1)  # removed windows by the bytes before the anchor
             for o, l in enumerate(_passes(some, place, group, least - k, -1)):
                 r = right.pop()
                 live = np.flatnonzero((l >= 0) & (r >= 0))
@@ -298,20 +298,13 @@ def _earliest(least: int):
                 low = np.full(own.max() + 1, top.max() + 1)
                 np.minimum.at(low, own, top[live])
                 gone = live[top[live] > low[own]]
-                covered.append((gone, place[gone] - o))
-            if covered:
-                member, begin = np.concatenate([m for m, _ in covered]), np.concatenate([b for _, b in covered])
-                if len(member):
-                    # Entries of the earliest rank of these strings: one each, but for repeated ids.
-                    m, a, e = merged(member, begin, begin + least)
-                    back = np.full(len(strings), -1)
-                    back[shared] = np.arange(len(shared))
-                    entry = np.flatnonzero(~later & (back[code] >= 0))
-                    entry = entry[np.argsort(back[code[entry]], kind="stable")]
-                    lo, hi = np.searchsorted(back[code[entry]], m), np.searchsorted(back[code[entry]], m, side="right")
-                    times = hi - lo
-                    pick = entry[np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-                    spans.append((block[pick], doc[pick], start[pick] + np.repeat(a, times), start[pick] + np.repeat(e, times)))
+                nearest[gone], farthest[gone] = np.minimum(nearest[gone], o), o
+            # The windows of a string all hold its anchor, so they overlap: one span. Its earliest entries get it: one, but for repeated ids.
+            member = np.full(len(strings), -1)
+            member[shared[farthest >= 0]] = np.flatnonzero(farthest >= 0)
+            pick = np.flatnonzero(~later & (member[code] >= 0))
+            own = member[code[pick]]
+            spans.append((block[pick], doc[pick], start[pick] + place[own] - farthest[own], start[pick] + place[own] - nearest[own] + least))
         return pa.table([pa.array(np.concatenate([s[i] for s in spans])) for i in range(4)], names=["block", "doc", "start", "end"])
 
     return run

@@ -111,7 +111,7 @@ def test_damage_and_conversations_that_lose_all_rows(spark):
 
 def test_long_conversation_and_empty_table(spark):
     rnd = random.Random(9)
-    rows = [(1, i, rnd.choice(["user", "assistant", "system"]), rnd.choice(["So it is.", f"So {i}", f"{i}!", ""])) for i in range(600)]
+    rows = [(1, i, rnd.choice(["user", "assistant", "system"]), rnd.choice(["So it is.", f"So {i}", f"{i}!", ""])) for i in range(200)]
     docs = spark.createDataFrame(rows, SCHEMA)
     want = plain([r[1:] for r in rows])
     assert [tuple(r)[1:] for r in repairs(docs).collect()] == [(*want[:-1], digest(want[-1]))]
