@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from linewave.sources.images import CHANNELS
 
 ROWS, COLUMNS = 0, 1
+#: Side of the tiles in which lines are turned across.
+TILE = 128
 
 
 def row_lines(rows: DataFrame) -> DataFrame:
@@ -20,14 +22,22 @@ def row_lines(rows: DataFrame) -> DataFrame:
     return rows.select("image_id", F.col("y").alias("line"), F.explode(each).alias("c")).select("image_id", F.lit(ROWS).alias("direction"), "c.channel", "line", "c.v")
 
 
-def transposed(lines: DataFrame, keys: list[str], line: str = "line", values: str = "v") -> DataFrame:
+def transposed(lines: DataFrame, keys: list[str], line: str = "line", values: str = "v", tile: int = TILE) -> DataFrame:
     """Lines across the given ones: (keys, line, values) with line and position swapped.
 
-    One shuffle by the new line; a group is one line of one image, so no group grows with the table.
+    Lines are cut into segments of ``tile`` values, and the segments of ``tile`` lines meet as a tile, which is turned
+    where it is; the turned segments meet by the new line. Two shuffles of segments, none of single values; no group holds more
+    than a tile or the segments of one line. Null and empty lines have no segments; lines may have unlike lengths.
     """
-    cells = lines.select(*keys, F.col(line).alias("_from"), F.posexplode(values).alias("_to", "_v"))
-    gathered = cells.groupBy(*keys, "_to").agg(F.array_sort(F.collect_list(F.struct("_from", "_v"))).alias("_all"))
-    return gathered.select(*keys, F.col("_to").alias(line), F.transform("_all", lambda s: s["_v"]).alias(values))
+    n = F.size(values)
+    cut = F.transform(F.sequence(F.lit(0), ((n - 1) / tile).cast("int")), lambda i: F.slice(values, i * tile + 1, F.lit(tile)))
+    segments = lines.where(F.col(values).isNotNull() & (n > 0)).select(*keys, F.col(line).alias("_from"), F.posexplode(cut).alias("_tx", "_v"))
+    tiles = segments.groupBy(*keys, F.floor(F.col("_from") / tile).cast("int").alias("_ty"), "_tx").agg(F.array_sort(F.collect_list(F.struct("_from", "_v"))).alias("_rows"))
+    widest = F.array_max(F.transform("_rows", lambda r: F.size(r["_v"])))
+    turned = F.transform(F.sequence(F.lit(0), widest - 1), lambda i: F.transform(F.filter("_rows", lambda r: F.size(r["_v"]) > i), lambda r: F.get(r["_v"], i)))
+    across = tiles.select(*keys, "_ty", "_tx", F.posexplode(turned).alias("_i", "_v"))
+    whole = across.groupBy(*keys, (F.col("_tx") * tile + F.col("_i")).cast("int").alias(line)).agg(F.array_sort(F.collect_list(F.struct("_ty", "_v"))).alias("_all"))
+    return whole.select(*keys, line, F.flatten(F.transform("_all", lambda s: s["_v"])).alias(values))
 
 
 def column_lines(rows: DataFrame) -> DataFrame:

@@ -132,6 +132,38 @@ def morlet(lines: DataFrame, scales: list[float], border: str = "mirrored") -> D
     return lines.where("v is not null and size(v) > 0").select("image_id", "direction", "channel", "line", "v").mapInArrow(run, COEFS)
 
 
+def morlet_each(lines: DataFrame, scales: str = "scales") -> DataFrame:
+    """:func:`morlet` with mirrored borders where every line has its own scales, an array column; kernels are chosen by row.
+
+    A line is padded for the largest of its scales; repeated scales of a line count once. Null and empty lines and lines of no scales
+    give nothing; a scale of 0 or less and a line shorter than its padding raise an error. A map: no shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.diff(batch.column("v").offsets.to_numpy()).astype(np.int64)
+            sets = [tuple(dict.fromkeys(s)) for s in batch.column("scales").to_pylist()]
+            of_scale: dict[tuple[float, int], list[int]] = {}
+            for i, own in enumerate(sets):
+                pad = padding(list(_checked(own)))
+                if sizes[i] < pad:
+                    raise ValueError(f"a line of {sizes[i]} points is too short for scale {max(own)}: it must have {pad}")
+                for s in own:
+                    of_scale.setdefault((s, pad), []).append(i)
+            for (s, pad), rows in of_scale.items():
+                some, n = batch.take(pa.array(rows)), sizes[rows]
+                part = np.cumsum(n) // VALUES
+                cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(n)]
+                for lo, hi in zip(cuts, cuts[1:]):
+                    own = some.slice(lo, hi - lo)
+                    flat, ends = own.column("v").flatten().to_numpy(), np.concatenate([[0], np.cumsum(n[lo:hi])])
+                    values = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(coefficients(flat, n[lo:hi], s, pad)))
+                    yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("image_id", "direction", "channel")), pa.array(np.full(hi - lo, s)), own.column("line"), values], names=[*KEYS, "c"])
+
+    ready = lines.where(F.col("v").isNotNull() & (F.size("v") > 0) & (F.size(scales) > 0))
+    return ready.select("image_id", "direction", "channel", "line", "v", F.col(scales).cast("array<double>").alias("scales")).mapInArrow(run, COEFS)
+
+
 def _sum(terms: list[Column]) -> Column:
     """The terms added up in pairs, so that the expression stays shallow."""
     while len(terms) > 1:

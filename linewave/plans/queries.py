@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewave.functions.scalars import clamp, colours_selected, cropped_name, duration_text, hex_colour, is_image_name, output_code, round_half_even, scale_label, task_status
 from linewave.operators import cluster, color, extrema, geometry, lines, neighbors, transform
+from linewave.plans import tasks
 from linewave.plans.pipeline import Options, analyse
 from linewave.sources import images, scales, sinks
 
@@ -18,8 +19,8 @@ COLOUR_1, COLOUR_2 = (73, 47, 110), (162, 115, 135)
 BOX = (2.0, 3.0, 14.0, 20.0)
 TRIANGLE = [(2.0, 2.0), (18.0, 6.0), (6.0, 30.0)]
 EPS = 2.0
+TASK_SCALES = ((1.0, 2.0), (4.0, 1.5), (3.0, 1.0, 3.0))
 K = 5
-ONE_TYPE = ["max_by_row"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -79,9 +80,10 @@ def channel_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pixel_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Colours at the diagonal places of each image, some of them outside."""
-    places = spark.range(-2, 30).select(F.col("id").cast("int").alias("y"), F.col("id").cast("int").alias("x")).crossJoin(spark.range(10).select(F.col("id").alias("image_id")))
-    found = images.pixel_lookup(_rows(spark, sf_dir), F.broadcast(places))
+    """Colours at a place for each event, some of them outside the image or of images that are not there."""
+    n = F.col("event_id")
+    places = spark.read.parquet(f"{sf_dir}/events.parquet").select((n % 30).alias("image_id"), (F.floor(n / 30) % 80 - 3).cast("int").alias("y"), (F.floor(n / 7) % 26 - 2).cast("int").alias("x"))
+    found = images.pixel_lookup(_rows(spark, sf_dir), places)
     return found.withColumn("colour", hex_colour(F.col("r"), F.col("g"), F.col("b")))
 
 
@@ -97,16 +99,50 @@ def crop_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.pixels(geometry.crop_polygon(_rows(spark, sf_dir), TRIANGLE))
 
 
+def _contours(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A contour of 500 vertices for each 500 orders, around the middle of an image; the prices are the distances."""
+    n, price = F.col("o_orderkey"), F.col("o_totalprice")
+    turn, far = 2 * F.pi() * (n % 500) / 500, 2 + price % 1000 / 100
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    vertices = orders.select(F.floor(n / 500).alias("contour_id"), (n % 500).alias("place"), (10 + far * F.cos(turn)).alias("x"), (25 + 2 * far * F.sin(turn)).alias("y"))
+    full = vertices.groupBy("contour_id").agg(F.count("*").alias("n")).where("n >= 3")
+    return full.select("contour_id", (F.col("contour_id") % 10).alias("image_id")), vertices.join(full.select("contour_id"), "contour_id", "left_semi")
+
+
+@query
+def crop_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of the boxes of freehand contours, black outside them."""
+    return _contour_pixels(geometry.contoured(_rows(spark, sf_dir), *_contours(spark, sf_dir), 0.0, crop=True))
+
+
+@query
+def mask_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pixels of the images of freehand contours, white outside them."""
+    return _contour_pixels(geometry.contoured(_rows(spark, sf_dir), *_contours(spark, sf_dir)))
+
+
+def _contour_pixels(found: DataFrame) -> DataFrame:
+    own = images.pixels(found.drop("image_id").withColumnRenamed("contour_id", "image_id"))
+    return own.withColumnRenamed("image_id", "contour_id")
+
+
 @query
 def mask_polygon_white(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pixels, white outside a polygon."""
     return images.pixels(geometry.mask_polygon(_rows(spark, sf_dir), TRIANGLE))
 
 
+def _colour(*parts: Column) -> Column:
+    return F.array(*(p.cast("int") for p in parts))
+
+
 @query
 def gs_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orthonormal basis of the two sample colours."""
-    return color.basis_frame(spark, COLOUR_1, COLOUR_2).withColumn("weight", round_half_even(F.col("weight"), 9))
+    """Orthonormal basis of two colours of each part."""
+    n = F.col("p_partkey")
+    pairs = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", color.basis_of(_colour(1 + n * 37 % 255, n * 91 % 256, F.lit(0)), _colour(n * 13 % 256, n * 29 % 256, 1 + n * 71 % 255)).alias("basis"))
+    weights = pairs.select("p_partkey", F.explode(color.basis_weights(F.col("basis"))).alias("w")).select("p_partkey", "w.*")
+    return weights.withColumn("weight", round_half_even(F.col("weight"), 9))
 
 
 @query
@@ -124,14 +160,19 @@ def basis_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def scale_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scales 1 to 10 by 3."""
-    return scales.scales_from_range(spark, 1, 10, 3)
+    """Scales of a range for each order, some of them empty and some counted down."""
+    n = F.col("o_orderkey")
+    ranges = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (1 + n % 4).alias("start"), (n % 13 - 1).alias("end"), F.when(n % 5 == 0, -2).otherwise(1 + n % 3).alias("step"))
+    return scales.scales_of_ranges(ranges, "o_orderkey")
 
 
 @query
 def scale_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scales from three lines of text, one of them empty."""
-    return scales.parse_scales(spark.createDataFrame([(0, "10 45  90"), (1, ""), (2, "\t2.5 45 ")], "line_no int, value string"))
+    """Scales from the lines of text of each customer, a line for each order, some of them empty."""
+    n = F.col("o_orderkey")
+    text = F.when(n % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("\t"), n % 90 + 1, F.lit("  "), (n % 7 + 1) / 2, F.lit(" ")))
+    lines_of = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", n.alias("line_no"), text.alias("value"))
+    return scales.parse_scales(lines_of, keys=("o_custkey",))
 
 
 # --- lines and transform -----------------------------------------------------------------------
@@ -167,15 +208,6 @@ def center_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def reflect_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mirrored index of every point of every padded row."""
-    pad = transform.padding(SCALES)
-    sized = _rows(spark, sf_dir).select("image_id", "y", F.size("r").alias("n"))
-    k = F.explode(F.sequence(F.lit(-pad), F.col("n") + pad - 1))
-    return sized.withColumn("k", k).select("image_id", "y", "k", transform.reflected(F.col("k"), F.col("n")).alias("m"))
-
-
-@query
-def reflect_index_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mirrored index of every point of every padded line of both directions."""
     pad = transform.padding(SCALES)
     sized = _both(spark, sf_dir).select("image_id", "direction", "channel", "line", F.size("v").alias("n"))
@@ -204,36 +236,18 @@ def morlet_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def morlet_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coefficients along rows by SQL functions alone."""
-    return transform.cells(transform.rounded(transform.morlet_native(lines.centred(_lines(spark, sf_dir, 0)), SCALES, check=False)))
-
-
-@query
-def morlet_mirrored_each(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coefficients along rows, each scale with its own pad."""
-    return transform.cells(transform.rounded(transform.morlet(lines.centred(_lines(spark, sf_dir, 0)), SCALES, "mirrored_each")))
-
-
-@query
-def morlet_unpadded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coefficients along rows without a pad."""
-    return transform.cells(transform.rounded(transform.morlet(lines.centred(_lines(spark, sf_dir, 0)), SCALES, "none")))
-
-
-@query
-def morlet_sql_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coefficients of both directions by SQL functions alone."""
     return transform.cells(transform.rounded(transform.morlet_native(lines.centred(_both(spark, sf_dir)), SCALES, check=False)))
 
 
 @query
-def morlet_mirrored_each_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+def morlet_mirrored_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coefficients of both directions, each scale with its own pad."""
     return transform.cells(transform.rounded(transform.morlet(lines.centred(_both(spark, sf_dir)), SCALES, "mirrored_each")))
 
 
 @query
-def morlet_unpadded_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+def morlet_unpadded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coefficients of both directions without a pad."""
     return transform.cells(transform.rounded(transform.morlet(lines.centred(_both(spark, sf_dir)), SCALES, "none")))
 
@@ -379,25 +393,12 @@ def channel_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def means_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number of the lines of each means file."""
-    text = sinks.means_text(lines.line_means(_lines(spark, sf_dir, 0).unionByName(_lines(spark, sf_dir, 1))))
-    return text.groupBy("image_id", "file").agg(F.count("*").alias("n_lines"), F.max("line").alias("last_line"))
-
-
-@query
-def means_text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of both directions as text."""
     return sinks.means_text(lines.line_means(_both(spark, sf_dir)))
 
 
 @query
 def coef_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coefficients along rows as text with three decimals."""
-    return sinks.coefficient_text(transform.morlet(lines.centred(_lines(spark, sf_dir, 0)), SCALES))
-
-
-@query
-def coef_text_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coefficients of both directions as text with three decimals, a matrix row a line."""
     return sinks.coefficient_text(extrema.matrix_lines(transform.morlet(lines.centred(_both(spark, sf_dir)), SCALES), 0))
 
@@ -481,13 +482,6 @@ def ready_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def scale_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summary of each task's scales."""
-    each = _tasks(spark, sf_dir).select("task_id", F.posexplode("scales").alias("scale_idx", "scale"))
-    return scales.scale_summary(each.withColumn("scale_label", F.col("scale").cast("long").cast("string")), "task_id")
-
-
-@query
-def scale_summary_unsorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary of each task's scales where they come in no order."""
     each = _tasks(spark, sf_dir).select("task_id", F.posexplode(F.transform("scales", lambda s: s * 5 % 8)).alias("scale_idx", "scale"))
     return scales.scale_summary(each.withColumn("scale_label", scale_label(F.col("scale"), True)), "task_id")
@@ -496,8 +490,8 @@ def scale_summary_unsorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- clusters ----------------------------------------------------------------------------------------
 
 
-def _clusters(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
-    return cluster.density_clusters(_points(spark, sf_dir, *types), EPS)
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.density_clusters(_points(spark, sf_dir), EPS)
 
 
 def _rounded_centroids(clusters: DataFrame) -> DataFrame:
@@ -506,36 +500,18 @@ def _rounded_centroids(clusters: DataFrame) -> DataFrame:
 
 @query
 def dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Density clusters of the row maxima's peaks."""
-    return _clusters(spark, sf_dir, *ONE_TYPE)
-
-
-@query
-def dbscan_all_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density clusters of the peaks of all four types."""
     return _clusters(spark, sf_dir)
 
 
 @query
 def cluster_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number of clusters of the row maxima's peaks in each matrix."""
-    return cluster.cluster_counts(_clusters(spark, sf_dir, *ONE_TYPE))
-
-
-@query
-def cluster_counts_all_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of clusters of each matrix and type."""
     return cluster.cluster_counts(_clusters(spark, sf_dir))
 
 
 @query
 def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Centroids of the clusters of the row maxima's peaks."""
-    return _rounded_centroids(_clusters(spark, sf_dir, *ONE_TYPE))
-
-
-@query
-def centroids_all_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centroids of the clusters of all four types."""
     return _rounded_centroids(_clusters(spark, sf_dir))
 
@@ -562,3 +538,53 @@ def greedy_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipeline_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of the whole analysis after the change of basis."""
     return analyse(_rows(spark, sf_dir), Options(scales=tuple(SCALES), colours=(COLOUR_1, COLOUR_2))).points
+
+
+# --- runs of tasks -------------------------------------------------------------------------------------
+
+
+def _run(spark: SparkSession, sf_dir: str) -> tasks.TaskRun:
+    """A task for each supplier: image, colours, scales, k and flags by its number; every ninth has no scales and is left out."""
+    n = F.col("s_suppkey")
+    own = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        n.alias("task_id"),
+        (n % 10).alias("image_id"),
+        F.when(n % 4 != 0, _colour(1 + n * 37 % 255, n * 91 % 256, F.lit(0))).alias("color1"),
+        _colour(n * 13 % 256, n * 29 % 256, 1 + n * 71 % 255).alias("color2"),
+        F.when(n % 9 != 0, F.element_at(F.array(*(F.array(*map(F.lit, s)) for s in TASK_SCALES)), (n % 3 + 1).cast("int"))).alias("scales"),
+        F.when(n % 6 != 0, (n % 6).cast("int")).alias("k"),
+        (n % 5 != 0).alias("rows"),
+        (n % 7 != 0).alias("cols"),
+        F.when(n % 2 == 0, n % 11 != 0).alias("max"),
+        "s_name",
+    )
+    return tasks.run_tasks(_rows(spark, sf_dir), own, skip=True)
+
+
+def _of_task(df: DataFrame) -> DataFrame:
+    return df.withColumnRenamed("image_id", "task_id")
+
+
+@query
+def task_coefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients of every task at its own scales, after its own change of basis."""
+    return _of_task(transform.cells(transform.rounded(_run(spark, sf_dir).coefs)))
+
+
+@query
+def task_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of every task, of the types that it asks for."""
+    return _of_task(_run(spark, sf_dir).points)
+
+
+@query
+def task_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest neighbours of every task's points, as many as it asks for."""
+    return _of_task(_plain(_run(spark, sf_dir).neighbours()))
+
+
+@query
+def task_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbour graphs as text, in the folders of their tasks and scales."""
+    began = F.make_timestamp(F.lit(2024), F.lit(1) + F.col("task_id").cast("int") % 12, F.lit(1), F.col("task_id").cast("int") % 24, F.lit(30), F.lit(0))
+    return _of_task(_run(spark, sf_dir).files(F.col("s_name"), began.cast("timestamp_ntz")))

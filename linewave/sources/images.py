@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 CHANNELS = ("r", "g", "b")
 ROWS = "image_id long, y int, r array<double>, g array<double>, b array<double>"
 LINES = "image_id long, direction int, channel int, line int, v array<double>"
+#: Lines of an image that is made of vectors.
+HEIGHT = 64
 #: Image kinds that are read, whatever the case of their extensions.
 PATTERN = "*.{[pP][nN][gG],[jJ][pP][gG],[jJ][pP][eE][gG],[bB][mM][pP]}"
 
@@ -91,15 +93,22 @@ def pixel_lookup(rows: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def embedding_rows(spark: SparkSession, sf_dir: str, slot: int = 1 << 16) -> DataFrame:
-    """``rows`` of ten images made of the embeddings: label = image, vector = line, 3 x 21 of its 64 numbers.
+    """``rows`` of images made of the embeddings: a vector is an image line, 3 x 21 of its 64 numbers.
 
-    A line's place is its rank by vec_id within the label: its rank among the vectors of its slot, ids of a common
-    ``vec_id div slot``, and the number of those in earlier slots. So a label is ranked by as many tasks as it has slots.
+    The vectors of a label, in the order of vec_id, are cut into images of :data:`HEIGHT` lines; the last one takes the rest too. So
+    an image stays below twice that height and their number grows with the table; the image_id is label + 10 * part.
+
+    A line's place is its rank within the label: its rank among the vectors of its slot, ids of a common ``vec_id div slot``, and the
+    number of those in earlier slots. So a label is ranked by as many tasks as it has slots.
     """
     scaled = lambda e: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor(F.lit(128.0) + F.lit(256.0) * e.cast("double")).cast("double")))
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").cast("long").alias("image_id"), "vec_id", F.floor(F.col("vec_id") / slot).alias("slot"), "embedding")
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("image_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    slots = vectors.groupBy("image_id", "slot").agg(F.count("*").alias("n")).select("image_id", "slot", before.alias("before"))
-    own = F.row_number().over(Window.partitionBy("image_id", "slot").orderBy("vec_id")) - 1
-    ranked = vectors.withColumn("own", own).join(slots, ["image_id", "slot"])
-    return ranked.select("image_id", (F.col("own") + F.col("before")).cast("int").alias("y"), *(F.transform(F.slice("embedding", 1 + 21 * i, 21), scaled).alias(c) for i, c in enumerate(CHANNELS)))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").cast("long").alias("label"), "vec_id", F.floor(F.col("vec_id") / slot).alias("slot"), "embedding")
+    label = Window.partitionBy("label")
+    before = F.coalesce(F.sum("n").over(label.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = F.greatest(F.lit(1), F.floor(F.sum("n").over(label) / HEIGHT))
+    slots = vectors.groupBy("label", "slot").agg(F.count("*").alias("n")).select("label", "slot", before.alias("before"), parts.alias("parts"))
+    own = F.row_number().over(Window.partitionBy("label", "slot").orderBy("vec_id")) - 1
+    ranked = vectors.withColumn("own", own).join(slots, ["label", "slot"]).withColumn("rank", F.col("own") + F.col("before"))
+    part = F.least(F.floor(F.col("rank") / HEIGHT), F.col("parts") - 1)
+    placed = ranked.select((F.col("label") + 10 * part).alias("image_id"), (F.col("rank") - HEIGHT * part).cast("int").alias("y"), "embedding")
+    return placed.select("image_id", "y", *(F.transform(F.slice("embedding", 1 + 21 * i, 21), scaled).alias(c) for i, c in enumerate(CHANNELS)))

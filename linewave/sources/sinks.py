@@ -48,17 +48,17 @@ def point_text(points: DataFrame) -> DataFrame:
     return points.select(*GROUP, F.col("point_idx").alias("line"), F.concat_ws(", ", "x", "y").alias("text"))
 
 
-def neighbour_text(neighbours: DataFrame, points: DataFrame, k: int, label: Column) -> DataFrame:
+def neighbour_text(neighbours: DataFrame, points: DataFrame, k: int | str, label: Column) -> DataFrame:
     """(group keys, line, text): five lines of head, an empty one, the caption, then a line a point.
 
-    Groups of fewer than two points have no text. ``label`` is how a scale is printed.
+    Groups of fewer than two points have no text. ``label`` is how a scale is printed; ``k`` a number or a column of ``points``.
     """
     own = neighbours.groupBy(*GROUP, "point_idx").agg(F.array_sort(F.collect_list(F.struct("nbr_rank", "nbr_idx", "distance"))).alias("nn"))
     ids = F.array_join(F.transform("nn", lambda s: s["nbr_idx"].cast("string")), ", ")
     far = F.array_join(F.transform("nn", lambda s: F.format_string("%.2f", round_half_even(s["distance"], 2))), ", ")
     body = points.select(*GROUP, "point_idx", "x", "y").join(own, [*GROUP, "point_idx"]).select(*GROUP, (F.col("point_idx") + 7).cast("int").alias("line"), F.concat_ws(" ", "point_idx", "x", "y", ids, far).alias("text"))
-    sizes = points.groupBy(*GROUP).agg(F.count("*").alias("n")).where("n > 1")
-    values = (label, colour_name(F.col("channel")), F.col("extreme_type"), F.lit(k), F.col("n"))
+    sizes = points.groupBy(*GROUP, (F.col(k) if isinstance(k, str) else F.lit(k)).alias("_k")).agg(F.count("*").alias("n")).where("n > 1")
+    values = (label, colour_name(F.col("channel")), F.col("extreme_type"), F.col("_k"), F.col("n"))
     head = F.array(*(F.concat(F.lit(h), v.cast("string")) for h, v in zip(KNN_HEAD, values)), F.lit(""), F.lit(KNN_CAPTION))
     return sizes.select(*GROUP, F.posexplode(head).alias("line", "text")).unionByName(body)
 
