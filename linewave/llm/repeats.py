@@ -99,7 +99,7 @@ def runs_of(flat: bytes, bounds: np.ndarray, least: int) -> Iterator[tuple[np.nd
         anchors, hashes = _anchors(data[lo : hi + least - 1], least)
         own = anchors[inside]
         first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (inside[1:] != inside[:-1] + 1)]))
-        yield inside[first] + lo, np.diff(np.append(first, len(own))), own[first] + lo, hashes[own[first]]
+        yield inside[first] + lo, np.diff(np.append(first, len(own))), own[first] + lo, mix64(hashes[own[first]])  # mixed anew: the smallest ones all begin alike
 
 
 def _digit(hashes: np.ndarray, groups: int) -> np.ndarray:
