@@ -161,15 +161,3 @@ def greedy_trees(centres: DataFrame, roots: DataFrame, keys: list[str] | None =
 
     empty = rooted.select(*keys, F.lit(0).alias("step"), *(F.col("x").alias(c) for c in ("from_x", "from_y", "to_x", "to_y")))
     return rooted.groupBy(*keys).applyInArrow(run, empty.schema)
-
-
-def greedy_tree(centres: DataFrame, root: tuple[float, float], most: int = 100_000) -> DataFrame:
-    """(step, from_x, from_y, to_x, to_y): the tree of :func:`greedy_trees` from ``root`` over the centroids of one group.
-
-    It runs on the driver, over at most ``most`` centroids; more raise an error.
-    """
-    rows = centres.select("label", "x", "y").orderBy("label").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} centroids")
-    out = [(i, *map(float, s)) for i, s in enumerate(_walk(np.array([(r.x, r.y) for r in rows]), root))]
-    return centres.sparkSession.createDataFrame(out, "step int, from_x double, from_y double, to_x double, to_y double")

@@ -11,7 +11,7 @@ def test_clusters_of_all_types_equal_brute_force(spark, sf_dir):
     for name in ("peaks_max_rows", "peaks_min_rows", "peaks_max_cols", "peaks_min_cols"):
         for r in QUERIES[name](spark, sf_dir).collect():
             points.setdefault(tuple(r[k] for k in GROUP), {})[r.point_idx] = (r.x, r.y)
-    for r in QUERIES["dbscan_all_types"](spark, sf_dir).collect():
+    for r in QUERIES["dbscan"](spark, sf_dir).collect():
         got.setdefault(tuple(r[k] for k in GROUP), {})[r.point_idx] = r.label
     assert {g[-1] for g in got} == set(TYPES)
     assert got == {g: brute_clusters(own, EPS, 5) for g, own in points.items()}

@@ -287,12 +287,13 @@ def test_clusters_equal_brute_force(spark):
 
 
 def test_greedy_tree_takes_three_then_two(spark):
-    centres = spark.createDataFrame([(i, float(i), 0.0) for i in range(1, 8)], "label int, x double, y double")
-    tree = [(r.from_x, r.to_x) for r in cluster.greedy_tree(centres, (0.0, 0.0)).orderBy("step").collect()]
+    centres = spark.createDataFrame([("g", i, float(i), 0.0) for i in range(1, 8)], "g string, label int, x double, y double")
+    root = spark.createDataFrame([("g", 0, 0)], "g string, x int, y int")
+    tree = [(r.from_x, r.to_x) for r in cluster.greedy_trees(centres, root, ["g"]).orderBy("step").collect()]
     assert tree == [(0, 1), (0, 2), (0, 3), (1, 4), (1, 5), (2, 6), (2, 7)]
-    assert cluster.greedy_tree(centres.limit(0), (0.0, 0.0)).count() == 0
-    with pytest.raises(ValueError):
-        cluster.greedy_tree(centres, (0.0, 0.0), most=3)
+    assert cluster.greedy_trees(centres.limit(0), root, ["g"]).count() == 0
+    with pytest.raises(Exception, match="no root"):
+        cluster.greedy_trees(centres, root.limit(0), ["g"]).collect()
 
 
 # --- text ------------------------------------------------------------------------------------------------
