@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -44,22 +45,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
 
 # --- hashes of words and shingles -------------------------------------------------------------
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[list(SPACES)] = True
-_tables: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept and grown by doubling."""
-    table = _tables.get(base)
-    if table is None:
-        table = np.ones(1, dtype=np.uint64)
-    while len(table) < n:
-        table = np.concatenate([table, table * np.uint64(pow(base, len(table), 1 << 64))])
-    _tables[base] = table
-    return table[:n]
+#: Hashes of words that were met before, short ones and a bounded number.
+_known: dict[bytes, int] = {}
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -72,6 +61,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def hash_of_word(word: bytes) -> int:
+    """64 bits of the word's BLAKE2 hash: no known words collide, and none are found by algebra."""
+    found = _known.get(word)
+    if found is None:
+        found = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 64:
+            if len(_known) >= 1 << 17:
+                _known.clear()
+            _known[word] = found
+    return found
+
+
 def _hash_piece(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(data, dtype=np.uint8)
     inside = np.empty(len(raw) + 2, dtype=np.int8)
@@ -81,10 +82,13 @@ def _hash_piece(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
         return np.empty(0, dtype=np.uint64), starts
-    total = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(raw)), out=total[1:])
-    value = (total[ends] - total[starts]) * _powers(_INVERSE, len(raw))[starts]
-    return mix64(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts
+    # Words and the white space after them, in turn; each distinct word is hashed once.
+    offsets = np.empty(2 * len(starts) + 1, dtype=np.int64)
+    offsets[::2], offsets[1::2] = np.append(starts, len(data)), ends
+    cut = pa.Array.from_buffers(pa.large_binary(), 2 * len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    coded = cut.take(pa.array(np.arange(0, 2 * len(starts), 2))).dictionary_encode()
+    own = np.fromiter(map(hash_of_word, coded.dictionary.to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
+    return own[coded.indices.to_numpy(zero_copy_only=False)], starts
 
 
 def word_hashes(data: bytes, piece: int = 1 << 20, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:

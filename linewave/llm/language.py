@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewave.llm.common import _BASE, _INVERSE, _powers, held_out, slices
+from linewave.llm.common import held_out, slices
 from linewave.storage import written
 
 MARK = "▁"
@@ -36,6 +36,22 @@ UNKNOWN = 1e-7
 _LETTERS = regex.compile(r"\p{L}+")
 _vocabularies: dict[str, "Pieces"] = {}
 
+#: Base of the hash that substrings of a word are looked up by.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_tables: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64, kept and grown by doubling."""
+    table = _tables.get(base)
+    if table is None:
+        table = np.ones(1, dtype=np.uint64)
+    while len(table) < n:
+        table = np.concatenate([table, table * np.uint64(pow(base, len(table), 1 << 64))])
+    _tables[base] = table
+    return table[:n]
+
 
 class Pieces:
     """The vocabulary's lower-case letter pieces, looked up by a rolling hash of their code points."""
@@ -337,8 +353,9 @@ def fit_languages(
     Learns from rows with a language outside the held-out ids: about ``docs_each`` documents of each
     language, chosen by id hash. Word counts and expected piece counts are summed by Spark; the driver gets
     languages x pieces numbers, so more than ``most_languages`` languages are an error. A tenth of the words, by
-    hash, is left out of the counts: rounds end when their log likelihood rises by less than ``least_gain`` of itself (a
-    round that lowers it is taken back), after ``most_rounds`` at the latest. Without such rows the model knows no language.
+    hash, is left out of the counts to find the number of rounds: they end when the log likelihood of these words rises by less than
+    ``least_gain`` of itself (a round that lowers it is taken back), after ``most_rounds`` at the latest. Then as many rounds go over
+    all words, and these give the model. Without such rows the model knows no language.
     """
     spark = df.sparkSession
     usable = df.where(F.col(lang).isNotNull() & ~held_out(F.col(doc_id))).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
@@ -365,21 +382,22 @@ def fit_languages(
 
     words = written(sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).withColumn("out", F.pmod(F.xxhash64("word"), F.lit(10)) == 0), "words")
     shape = (pieces.size + 2, len(languages))
-    chance = np.full(shape, 1 / pieces.size)
-    chance[-2], chance[-1] = 0, UNKNOWN
+    even = np.full(shape, 1 / pieces.size)
+    even[-2], even[-1] = 0, UNKNOWN
     place = {s: i for i, s in enumerate(languages)}
-    last = None
-    for _ in range(most_rounds):
+
+    def fitted(chance: np.ndarray, all_words: bool) -> tuple[np.ndarray, float]:
+        """One round: the new probabilities, and the log likelihood of the words left out under the old ones."""
         now = spark.sparkContext.broadcast(chance)
 
-        def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+        def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, log = np.zeros(shape), 0.0
             for batch in batches:
                 for lo in range(0, batch.num_rows, 20_000):
                     part = batch.slice(lo, 20_000)
                     own = np.fromiter((place[s] for s in part.column("lang").to_pylist()), dtype=np.int64)
                     n, out = part.column("n").to_numpy().astype(float), part.column("out").to_numpy(zero_copy_only=False)
-                    each, counts = _pieces(vocabulary).expectations(part.column("word").to_pylist(), np.where(out, 0.0, n), own, now.value)
+                    each, counts = _pieces(vocabulary).expectations(part.column("word").to_pylist(), n if all_words else np.where(out, 0.0, n), own, now.value)
                     total, log = total + counts, log + (each * n)[out].sum()
             piece, language = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([-1, *piece], pa.int64()), pa.array([-1, *language], pa.int64()), pa.array([log, *total[piece, language]])], names=["piece", "language", "n"])
@@ -391,14 +409,23 @@ def fit_languages(
                 likelihood = r.n / 1000
             else:
                 counts[r.piece, r.language] = r.n / 1000
-        if last is not None and likelihood - last < least_gain * abs(last):
-            chance = chance if likelihood > last else before
-            break
-        last, before = likelihood, chance
         counts[:-2] += 0.05
         counts[-2:] = 0
-        chance = counts / counts.sum(axis=0)
-        chance[-1] = UNKNOWN
+        new = counts / counts.sum(axis=0)
+        new[-1] = UNKNOWN
+        return new, likelihood
+
+    # The words left out say how many rounds to go; then all words are fitted in as many.
+    chance, last, rounds = even, None, most_rounds
+    for done in range(most_rounds):
+        new, likelihood = fitted(chance, False)
+        if last is not None and likelihood - last < least_gain * abs(last):
+            rounds = done if likelihood > last else done - 1
+            break
+        chance, last = new, likelihood
+    chance = even
+    for _ in range(max(1, rounds)):
+        chance, _ = fitted(chance, True)
     return LanguageModel(vocabulary, languages, chance)
 
 

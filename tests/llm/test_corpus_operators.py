@@ -377,6 +377,6 @@ def test_stages_of_the_pipeline(spark, sf_dir, tmp_path):
 def test_registered_queries(spark, sf_dir):
     from linewave.llm.queries import QUERIES, SQL
 
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
     assert set(SQL) <= set(QUERIES)
     assert WORDS
