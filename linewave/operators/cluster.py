@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewave.operators.components import connected_components
@@ -12,78 +14,118 @@ from linewave.operators.neighbors import GROUP
 from linewave.storage import written
 
 
-#: Cells around a cell, itself left out, of which one of each opposite two.
-_AHEAD = [(i, 0) for i in (1, 2)] + [(i, j) for j in (1, 2) for i in range(-2, 3)]
-
+#: Side of the tiles that clusters are first sought in.
+TILE = 64
 
-def _offsets(pairs: list[tuple[int, int]]) -> Column:
-    return F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs)))
 
+def _united(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number that each of 0 .. n-1 reaches over the links a - b: roots are hooked to smaller ones, paths halved."""
+    root = np.arange(n)
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != high
+        if not apart.any():
+            return root
+        np.minimum.at(root, high[apart], low[apart])
+        while True:
+            further = root[root]
+            if (further == root).all():
+                break
+            root = further
 
-def _cell_links(core: DataFrame, eps: float) -> DataFrame:
-    """(a, b): cells with core places within ``eps`` of each other.
 
-    A cell shows its neighbours no more than the ends of its columns, or of its rows to those beside it: of all places of a
-    column, the end is nearest to anything above. So pairs stay in proportion to the places of a cell, not to their square.
-    """
-    cell = ["_lw_g", "cx", "cy"]
-    out = None
-    for line, across, offsets in (("x", "y", [o for o in _AHEAD if o[1]]), ("y", "x", [o for o in _AHEAD if not o[1]])):
-        ends = core.groupBy(*cell, "node", F.col(line).alias("at")).agg(F.min(across).alias("low"), F.max(across).alias("high"))
-        seek = ends.select("_lw_g", "cx", "cy", F.col("node").alias("a"), F.col("at").alias("u"), F.col("high").alias("w"), _offsets(offsets).alias("o"))
-        seek = seek.select("_lw_g", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), "a", "u", "w")
-        near = (F.col("at") - F.col("u")) ** 2 + (F.col("low") - F.col("w")) ** 2 <= float(eps) ** 2
-        part = seek.join(ends, cell).where(near).select("a", F.col("node").alias("b"))
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+def _tile_clusters(eps: float, least: int, tile: int):
+    """Clusters within each tile of a table of tiles, all of them at once."""
+    r = int(eps)
+    halo = 2 * r
+    side = tile + 2 * halo + 2 * r
+    around = [(i, j) for i in range(-r, r + 1) for j in range(-r, r + 1) if i * i + j * j <= eps * eps]
 
-
-def density_clusters(points: DataFrame, eps: float, least: int = 5, keys: list[str] | None = None) -> DataFrame:
-    """(keys, point_idx, x, y, label) for points (keys, point_idx, x, y); label -1 is noise.
+    def run(table: pa.Table) -> pa.Table:
+        g, tx, ty, x, y, n, idx = (table.column(c).to_numpy() for c in ("_lw_g", "tx", "ty", "x", "y", "n", "idx"))
+        by = np.lexsort((y, x, ty, tx, g))
+        g, tx, ty, x, y, n, idx = (v[by] for v in (g, tx, ty, x, y, n, idx))
+        own_tile = np.cumsum(np.concatenate([[0], (g[1:] != g[:-1]) | (tx[1:] != tx[:-1]) | (ty[1:] != ty[:-1])]))
+        u, w = x - tx * tile, y - ty * tile
+        place = (own_tile * side + u + halo + r) * side + w + halo + r  # in order; a margin keeps tiles apart
+
+        def beside(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+            there = place + i * side + j
+            at = np.minimum(np.searchsorted(place, there), len(place) - 1)
+            hit = np.flatnonzero(place[at] == there)
+            return hit, at[hit]
+
+        near = np.zeros(len(place), dtype=np.int64)
+        for o in around:
+            hit, at = beside(*o)
+            near[hit] += n[at]
+        # What lies up to eps beyond the tile has all its neighbours here too.
+        core = (near >= least) & (u >= -r) & (u < tile + r) & (w >= -r) & (w < tile + r)
+        links = [(hit[ok], at[ok]) for o in around if o > (0, 0) for hit, at in [beside(*o)] for ok in [core[hit] & core[at]]]
+        order = np.argsort(idx, kind="stable")
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        a, b = (rank[np.concatenate([p[i] for p in links])] if links else np.zeros(0, np.int64) for i in (0, 1))
+        head = idx[order[_united(len(place), a, b)[rank]]].astype(np.int64)
+        # Others join the smallest core place beside them.
+        best, at_best = np.full(len(place), np.iinfo(np.int64).max), np.zeros(len(place), dtype=np.int64)
+        for o in around:
+            hit, at = beside(*o)
+            ok = core[at] & (idx[at] < best[hit])
+            best[hit[ok]], at_best[hit[ok]] = idx[at[ok]], at[ok]
+        joined = ~core & (best < np.iinfo(np.int64).max)
+        head[joined] = head[at_best[joined]]
+        own = (u >= 0) & (u < tile) & (w >= 0) & (w < tile)
+        seen_twice = core & (~own | (u < r) | (u >= tile - r) | (w < r) | (w >= tile - r))
+        rows = np.concatenate([np.flatnonzero(own), np.flatnonzero(seen_twice)])
+        kind = np.arange(len(rows)) < own.sum()
+        none = kind & ~(core | joined)[rows]
+        return pa.table([pa.array(g[rows]), pa.array(x[rows]), pa.array(y[rows]), pa.array(idx[rows].astype(np.int64)), pa.array(head[rows], mask=none), pa.array(kind)], names=["_lw_g", "x", "y", "idx", "head", "own"])
+
+    return run
+
+
+def density_clusters(points: DataFrame, eps: float, least: int = 5, keys: list[str] | None = None, tile: int = TILE, tasks_rows: int = 200_000) -> DataFrame:
+    """(keys, point_idx, x, y, label) for points (keys, point_idx, x, y) at whole coordinates; label -1 is noise.
 
     A core point has ``least`` points within ``eps``, itself counted. Core points within eps share a cluster;
     another point within eps of a core point joins the cluster of the one with the smallest point_idx.
-    Labels count from 0 in the order of the clusters' smallest core point_idx.
+    Labels count from 0 in the order of the clusters' smallest core point_idx. Null keys form groups like any other value.
 
-    Cells have the diagonal ``eps``: the points of one are within eps of each other, so a cell of ``least`` points is core as a
-    whole, and clusters are components of cells. Only places in cells of fewer points look for their neighbours one by one.
+    Groups are cut into tiles, each with the places up to twice eps beyond it: that is all it takes to know which are core, and to
+    find the clusters within a tile. Only core places near a border, which two tiles know, are exchanged: they link the parts
+    of clusters, and these links are all that the search for components sees. A tile holds no more than its places, points at one place
+    being counted first; some ``tasks_rows`` places share a task, whatever groups they belong to.
     """
     if eps <= 0 or least < 1:
         raise ValueError("eps must be positive and least at least 1")
     keys = GROUP if keys is None else keys
-    flat = points.select(*keys, "point_idx", "x", "y").withColumn("_lw_g", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
-    flat = written(flat, "points")
-    side = float(eps) / 2**0.5 * (1 - 1e-9)
-    cell = lambda c: F.floor(F.col(c) / F.lit(side)).cast("long")
+    r = int(eps)
+    tile = max(tile, 8 * r)
+    whole = [F.col(c).cast("long").alias(c) for c in ("x", "y")]
+    named = points.select(*keys, "point_idx", *whole, F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_lw_name"))
+    named = written(named, "named")
+    groups = written(named.groupBy("_lw_name").agg(*(F.first(c).alias(c) for c in keys), F.count("*").alias("_lw_n")).withColumn("_lw_g", F.monotonically_increasing_id()), "groups")
+    flat = named.join(groups.select("_lw_name", "_lw_g"), "_lw_name").select("_lw_g", "point_idx", "x", "y")
     places = flat.groupBy("_lw_g", "x", "y").agg(F.count("*").alias("n"), F.min("point_idx").alias("idx"))
-    places = places.withColumns({"cx": cell("x"), "cy": cell("y")})
-    places = written(places.withColumn("dense", F.sum("n").over(Window.partitionBy("_lw_g", "cx", "cy")) >= least), "places")
-
-    # Neighbours of the places in thin cells.
-    seek = places.where("not dense").select("_lw_g", F.col("idx").alias("a"), "x", "y", "cx", "cy", _offsets([(i, j) for i in range(-2, 3) for j in range(-2, 3)]).alias("o"))
-    seek = seek.select("_lw_g", "a", "x", "y", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
-    there = places.select("_lw_g", "cx", "cy", F.col("x").alias("u"), F.col("y").alias("w"), "n", F.col("idx").alias("b"), "dense")
-    near = (F.col("x") - F.col("u")) ** 2 + (F.col("y") - F.col("w")) ** 2 <= float(eps) ** 2
-    pairs = written(seek.join(there, ["_lw_g", "cx", "cy"]).where(near).select("_lw_g", "a", "b", "n", "dense", "cx", "cy"), "pairs")
-    thin = pairs.groupBy("_lw_g", F.col("a").alias("idx")).agg(F.sum("n").alias("near")).where(F.col("near") >= least).drop("near")
-    core = places.where("dense").select("_lw_g", "idx", "x", "y", "cx", "cy")
-    core = core.unionByName(places.where("not dense").select("_lw_g", "idx", "x", "y", "cx", "cy").join(thin, ["_lw_g", "idx"]))
-    # A cell is named by its smallest core point, so that names sort as those do within a group.
-    name = F.format_string("%012d|%s", F.min("idx").over(Window.partitionBy("_lw_g", "cx", "cy")), F.col("_lw_g"))
-    core = written(core.withColumn("node", name), "core")
-
-    linked = connected_components(_cell_links(core, eps))
-    cells = core.select("_lw_g", "cx", "cy", "node").distinct().join(linked, "node", "left").select("_lw_g", "cx", "cy", F.coalesce("component", "node").alias("cluster"))
-    labels = cells.select("_lw_g", "cluster").distinct().withColumn("label", F.row_number().over(Window.partitionBy("_lw_g").orderBy("cluster")) - 1)
-    of_cell = cells.join(labels, ["_lw_g", "cluster"]).select("_lw_g", "cx", "cy", "label")
-    # Places that are no core take the cell of the smallest core point near them, if there is one.
-    sparse = core.select("_lw_g", "idx")
-    to_core = pairs.join(sparse.withColumnRenamed("idx", "a"), ["_lw_g", "a"], "left_anti")
-    to_core = to_core.where("dense").unionByName(to_core.where("not dense").join(sparse.withColumnRenamed("idx", "b"), ["_lw_g", "b"], "left_semi"))
-    border = to_core.groupBy("_lw_g", F.col("a").alias("idx")).agg(F.min_by(F.struct("cx", "cy"), "b").alias("c")).select("_lw_g", "idx", "c.cx", "c.cy")
-    member = core.select("_lw_g", "idx", "cx", "cy").unionByName(border).join(of_cell, ["_lw_g", "cx", "cy"]).select("_lw_g", "idx", "label")
-    of_place = places.join(member, ["_lw_g", "idx"], "left").select("_lw_g", "x", "y", F.coalesce("label", F.lit(-1)).alias("label"))
-    return flat.join(of_place, ["_lw_g", "x", "y"]).select(*keys, "point_idx", "x", "y", "label")
+    for axis in ("x", "y"):
+        low, high = (F.floor((F.col(axis) + d) / tile) for d in (-2 * r, 2 * r))
+        places = places.withColumn(f"t{axis}", F.explode(F.sequence(low, high)))
+    total = groups.agg(F.sum("_lw_n").alias("n")).first().n or 0
+    tasks = max(1, math.ceil(total / tasks_rows))
+    dealt = places.groupBy(F.pmod(F.xxhash64("_lw_g", "tx", "ty"), F.lit(tasks)).alias("task"))
+    found = written(dealt.applyInArrow(_tile_clusters(eps, least, tile), "_lw_g long, x long, y long, idx long, head long, own boolean"), "tiles")
+    # Parts of clusters are named by their smallest core point, so that names sort as those do within a group.
+    node = lambda c: F.format_string("%012d|%d", F.col(c), F.col("_lw_g"))
+    known = found.where("not own").groupBy("_lw_g", "idx").agg(F.min("head").alias("low"), F.collect_set("head").alias("heads"))
+    links = known.where(F.size("heads") > 1).select("_lw_g", "low", F.explode("heads").alias("head")).where("head != low")
+    linked = connected_components(links.select(node("head").alias("a"), node("low").alias("b")).distinct())
+    parts = found.where("own and head is not null").select("_lw_g", "head").distinct().withColumn("node", node("head"))
+    whole_of = parts.join(linked, "node", "left").select("_lw_g", "head", F.coalesce("component", "node").alias("cluster"))
+    labels = whole_of.select("_lw_g", "head", (F.dense_rank().over(Window.partitionBy("_lw_g").orderBy("cluster")) - 1).alias("label"))
+    of_place = found.where("own").join(labels, ["_lw_g", "head"], "left").select("_lw_g", "x", "y", F.coalesce("label", F.lit(-1)).alias("label"))
+    out = flat.join(of_place, ["_lw_g", "x", "y"]).join(groups.select("_lw_g", *keys), "_lw_g")
+    return out.select(*keys, "point_idx", "x", "y", "label")
 
 
 def cluster_counts(clusters: DataFrame, keys: list[str] | None = None) -> DataFrame:

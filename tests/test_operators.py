@@ -286,6 +286,20 @@ def test_clusters_equal_brute_force(spark):
     assert {r.g: r.n_clusters for r in cluster.cluster_counts(got, ["g"]).collect()}["b"] == 0
 
 
+@pytest.mark.parametrize("eps, least, tile", [(2.0, 5, 16), (1.0, 3, 8), (3.5, 9, 28), (0.5, 2, 4), (1.5, 1, 64)])
+def test_clusters_across_tiles_equal_brute_force(spark, eps, least, tile):
+    rng = np.random.RandomState(int(eps * 10))
+    groups = {g: {i: (int(x), int(y)) for i, (x, y) in enumerate(rng.randint(-30, 30, (n, 2)))} for g, n in (("a", 700), (None, 300), ("b", 2))}
+    groups["snake"] = {i: (i // 2 if i % 4 < 2 else i // 2, 3 + (i // 40) % 2) for i in range(0, 200)}  # one long cluster over many tiles
+    df = spark.createDataFrame([(g, i, x, y, 7) for g, own in groups.items() for i, (x, y) in own.items()], "g string, point_idx int, x int, y int, head int")
+    got = {}
+    for r in cluster.density_clusters(df, eps, least, ["g"], tile=tile, tasks_rows=100).collect():
+        assert (r.x, r.y) == groups[r.g][r.point_idx]
+        got.setdefault(r.g, {})[r.point_idx] = r.label
+    assert got == {g: brute_clusters(own, eps, least) for g, own in groups.items()}
+    assert cluster.density_clusters(df.limit(0), eps, least, ["g"]).count() == 0
+
+
 def test_greedy_tree_takes_three_then_two(spark):
     centres = spark.createDataFrame([("g", i, float(i), 0.0) for i in range(1, 8)], "g string, label int, x double, y double")
     root = spark.createDataFrame([("g", 0, 0)], "g string, x int, y int")
