@@ -7,6 +7,10 @@ neighbouring blocks as far as their paths agree, and fused with what the markup
 aside by its names loses a fixed amount, one in an article or main element gains one. Paths whose score
 comes near the page's mean are the content.
 
+The chosen paths mark where the text is: the innermost element that holds most of their text is the page's region. Within it all
+text stays, whatever its path (a lead, short paragraphs, definitions, lists of sources), but for what its own names, its
+links or its form as a run of comments set apart. So a path that is seldom used loses no text to the smoothing.
+
 Nothing in the markup but ``hidden`` decides by itself: without any class names and with ``div`` for all elements
 that tell something, the ratios find the same text on most pages.
 """
@@ -40,7 +44,17 @@ ASIDE_NAMES = frozenset(
     "search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget".split()
 )
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-WHOLE_NAMES = frozenset("with has no layout page".split())
+# Words that, joined with one of the names, still name such a part: ``site-footer``, but not ``social-history``.
+JOINED_NAMES = frozenset(
+    "area bar block body bottom box btn button buttons col column container content global group header heading icon icons inner item items left link links list main message outer "
+    "page panel post posts primary right row secondary section site stories thread title top widget wrap wrapper".split()
+)
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption blockquote pre figcaption summary address center".split())
+COMMENTS = re.compile(r"(?i)\s*[(\d.,)\s]*(comments?|reader comments?|replies|responses|discussion|kommentare?|commentaires?|comentarios|comentários)[\s(\d.,)]*:?\s*")
+SAYS = re.compile(r"(?i)\d|\b(says|said|wrote|writes|ago|schrieb|sagt|dit|écrit|dice|dijo)\b")
+SENTENCE = re.compile(r"[.!?…。！？:][\"'»”’)\]]*$")
+#: Share of the chosen paths' text that the region holds, and records in a row that make a run of comments.
+REGION_SHARE, RECORDS = 0.75, 3
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 
 # Possessive throughout: no input makes them go back.
@@ -54,7 +68,7 @@ ASIDE_LOSS, REGION_GAIN = 3.5, 1.0
 #: How far below the page's mean score the content goes, as a logarithm.
 NEAR_MEAN = 0.5
 _ATTRIBUTE = re.compile(r"""(?i)(?<![\w-])(class|id|role|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Block(NamedTuple):
@@ -69,6 +83,10 @@ class Block(NamedTuple):
     aside: bool
     text: str
     links: int  # characters of link text
+    tag: str  # of the innermost element
+    open: int  # levels whose elements have stayed open since the block before
+    asides: int  # elements around it that are set aside
+    headed: bool  # within a header
     regions: tuple[bool, ...]  # whether within each of REGIONS
 
 
@@ -93,8 +111,8 @@ def _marks(tag: str, attributes: str, in_article: bool) -> tuple[str, bool, bool
         label = found.get("class") or found.get("id") or ""
         name = f"{tag}.{label.split()[0]}" if label.split() else tag
         if tag not in ("html", "body", "main"):
-            words = {w.lower() for w in _NAME.findall(f"{found.get('class', '')} {found.get('id', '')}")}
-            aside = aside or bool(words & ASIDE_NAMES and not words & WHOLE_NAMES) or ("header" in words and not in_article and not words & {"article", "entry", "post"})
+            names = [{w.lower() for w in _NAME.findall(token)} for token in f"{found.get('class', '')} {found.get('id', '')}".split()]
+            aside = aside or any(own & ASIDE_NAMES and own <= ASIDE_NAMES | JOINED_NAMES for own in names) or (not in_article and any("header" in own and own <= {"header", "site", "page", "top", "main"} for own in names))
             aside = aside or found.get("role", "").lower() in ASIDE_ROLES
             hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true"
     return name, aside, hidden
@@ -123,14 +141,14 @@ def blocks_of(html: str) -> list[Block]:
         if text:
             words = " ".join(unescape("".join(text)).split())
             if words and not hidden:
-                same = min(least, len(before))
+                stayed = same = min(least, len(before))
                 while same < min(len(stack), len(before)) and stack[same].name == before[same]:
                     same += 1
                 before[same:] = [s.name for s in stack[same:]]
                 least = len(stack)
                 top = stack[-1] if stack else _Open("", "", False, False, 0, 0, 0)
                 heading = 0 if top.tag not in HEADINGS else 2 if len(stack) > 1 and stack[-2].tag in ("header", "hgroup") else 1
-                out.append(Block(top.path, len(stack), top.base, same, top.outer, heading, set_aside > 0, words, min(links, len(words)), tuple(bool(where.get(r)) for r in REGIONS)))
+                out.append(Block(top.path, len(stack), top.base, same, top.outer, heading, set_aside > 0, words, min(links, len(words)), top.tag, stayed, set_aside, bool(where.get("header")), tuple(bool(where.get(r)) for r in REGIONS)))
             text.clear()
         links = 0
 
@@ -242,6 +260,113 @@ def path_ratio(sums: _Sums) -> float:
     return log1p(plain) + log1p(sums.marks / sums.blocks) + 0.25 * log1p(spread) + 2 * log(1.01 - sums.links / sums.chars)
 
 
+class _Tree:
+    """Blocks as nested elements: spans of blocks, cut where fewer levels have stayed open than anywhere else in the span.
+
+    Made in one pass; a span is (first, end, its cut), the cut being -1 in a span of one block.
+    """
+
+    def __init__(self, opened: list[int]):
+        n = len(opened)
+        self.opened, self.left, self.right = opened, [-1] * n, [-1] * n
+        spine: list[int] = []
+        for k in range(1, n):
+            last = -1
+            while spine and opened[spine[-1]] > opened[k]:
+                last = spine.pop()
+            self.left[k] = last
+            if spine:
+                self.right[spine[-1]] = k
+            spine.append(k)
+        self.root = (0, n, spine[0] if spine else -1)
+
+    def parts(self, span: tuple[int, int, int]) -> list[tuple[int, int, int]]:
+        """The elements that a span's blocks lie in, one level below what they all have in common."""
+        lo, hi, cut = span
+        if cut < 0:
+            return []
+        out, level = [], self.opened[cut]
+        while cut >= 0 and self.opened[cut] == level:
+            out.append((lo, cut, self.left[cut]))
+            lo, cut = cut, self.right[cut]
+        return [*out, (lo, hi, cut)]
+
+
+def region(blocks: list[Block], tree: _Tree, chosen: set[int]) -> tuple[int, int, int]:
+    """The innermost element of more than one block that holds :data:`REGION_SHARE` of the chosen blocks' text."""
+    before = [0]
+    for i, b in enumerate(blocks):
+        before.append(before[-1] + (len(b.text) - b.links if i in chosen else 0))
+    span = tree.root
+    while True:
+        for part in tree.parts(span):
+            if part[1] - part[0] > 1 and before[part[1]] - before[part[0]] >= REGION_SHARE * before[-1]:
+                span = part
+                break
+        else:
+            return span
+
+
+def comments_of(blocks: list[Block], tree: _Tree, inside: tuple[int, int, int], kept: set[int]) -> set[int]:
+    """Blocks of readers' comments that nothing names: what follows a heading such as "3 comments" within its element or the region,
+    and :data:`RECORDS` elements in a row, behind some of the text, that all begin with a line on the same path with a time or "says".
+    """
+    out: set[int] = set()
+    for i, b in enumerate(blocks):
+        if i and b.heading and COMMENTS.fullmatch(b.text):
+            levels = b.depth - b.heading
+            j = i + 1
+            while j < len(blocks) and blocks[j].open >= levels and not (blocks[j].heading and blocks[j].depth <= b.depth and blocks[j].tag <= b.tag):
+                j += 1
+            out.update(range(i, j))
+    # An element that begins with a line such as a name and a time, and goes on with sentences.
+    sentences = [0]
+    for b in blocks:
+        sentences.append(sentences[-1] + bool(SENTENCE.search(b.text)))
+    line = [not b.heading and b.tag not in ITEMS and len(b.text) <= 80 and after == before for b, before, after in zip(blocks, sentences, sentences[1:])]
+    first_kept = min(kept, default=len(blocks))
+    stack = [tree.root]
+    while stack:
+        parts, run = tree.parts(stack.pop()), []
+        for part in [*parts, None]:
+            fits = part is not None and line[part[0]] and sentences[part[1]] > sentences[part[0]] and (not run or blocks[part[0]].path == blocks[run[0][0]].path)
+            if fits:
+                run.append(part)
+                continue
+            if len(run) >= RECORDS and all(SAYS.search(blocks[r[0]].text) for r in run) and first_kept < run[0][0]:
+                out.update(range(run[0][0], run[-1][1]))
+            else:
+                stack += [r for r in run if r[2] >= 0]
+            run = []
+            if part is not None and part[2] >= 0:
+                stack.append(part)
+    return out
+
+
+def _text_of_region(blocks: list[Block], inside: tuple[int, int, int]) -> Iterator[int]:
+    """Blocks of the region that are text: of a text element, or with punctuation; neither set aside within it nor a line of names in a header.
+
+    A run of links is text as the items of a list that text leads to, such as sources; under a linked heading it is none.
+    """
+    lo, hi, _ = inside
+    level = min(b.asides for b in blocks[lo:hi])
+    led = False
+    for i in range(lo, hi):
+        b = blocks[i]
+        if b.asides > level:
+            continue
+        if 10 * b.links >= 9 * len(b.text):
+            led = led and b.tag in ITEMS and not b.heading
+            if led:
+                yield i
+            continue
+        led = True
+        if b.headed and not b.heading and not SENTENCE.search(b.text):
+            continue
+        if not b.heading and (b.tag in TEXT_TAGS or SENTENCE.search(b.text)):
+            yield i
+
+
 def content(blocks: list[Block], near_mean: float = NEAR_MEAN, reach: int = 3) -> list[int]:
     """Indices of the content blocks: those of paths with a score of ``near_mean`` below the page's mean at the least.
 
@@ -293,6 +418,11 @@ def content(blocks: list[Block], near_mean: float = NEAR_MEAN, reach: int = 3) -
             kept.add(i)
         else:
             level = None
+    tree = _Tree([b.open for b in blocks])
+    inside = region(blocks, tree, kept)
+    comments = comments_of(blocks, tree, inside, kept)
+    kept |= {i for i in _text_of_region(blocks, inside) if i not in comments}
+    kept -= comments
     # A heading stands over the block that follows, or over one soon after it in the same element or that around its header.
     for i in range(len(blocks) - 1, -1, -1):
         b = blocks[i]
