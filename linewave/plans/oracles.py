@@ -231,7 +231,11 @@ FROM (SELECT o_custkey, o_orderkey, unnest([0, 1]) AS i, unnest([CAST(o_orderkey
     "task_neighbours": _with(_TASK_POINTS + _TASK_NEAR, f"SELECT image_id AS task_id, {_G.removeprefix('image_id, ')}, point_idx, CAST(nbr_rank AS INTEGER) AS nbr_rank, nbr_idx, {_round('sqrt(d2)', 6)} AS distance FROM neighbours"),
     "task_files": _with(
         _TASK_POINTS + _TASK_NEAR + _graph_text("(SELECT k FROM own WHERE own.n = image_id)"),
-        """SELECT 'ВП_' || stamp || '/' || s_name || ' ' || stamp || '/Scale_' || scale AS folder, image_id AS task_id, texts.* EXCLUDE (image_id) FROM texts
+        f"""SELECT 'ВП_' || stamp || '/' || s_name || ' ' || stamp || '/Scale_' || scale AS folder, file, line, text FROM (
+  SELECT image_id, scale, 'Расчет_вейвлетов_' || ['Str', 'Tr'][direction + 1] || '_Масштаб_' || scale || '_' || ['Красный', 'Зелёный', 'Синий'][channel + 1] AS file, CAST(CASE direction WHEN 0 THEN line ELSE pos END AS INTEGER) AS line, string_agg(printf('%.3f', raw), ',' ORDER BY CASE direction WHEN 0 THEN pos ELSE line END) AS text
+    FROM plain GROUP BY {_M}, CASE direction WHEN 0 THEN line ELSE pos END
+  UNION ALL SELECT image_id, scale, ['Str', 'Tr'][direction + 1] || CASE extreme_type WHEN 'max_by_row' THEN '_Точки_максимума_по_строкам' WHEN 'max_by_column' THEN '_Точки_максимума_по_cтолбцам' WHEN 'min_by_row' THEN '_Точки_минимума_по_строкам' ELSE '_Точки_минимума_по_cтолбцам' END || '_масштаб_' || scale || '_' || ['Красный', 'Зелёный', 'Синий'][channel + 1], point_idx, x || ', ' || y FROM points
+  UNION ALL SELECT image_id, scale, 'KNN_' || ['Str', 'Tr'][direction + 1] || '_Info_Scale_' || scale || '_Channel_' || ['Red', 'Green', 'Blue'][channel + 1] || '_' || extreme_type, line, text FROM texts)
 JOIN (SELECT n, s_name, printf('01_%02d_2024_%02d_30', n % 12 + 1, n % 24) AS stamp FROM own) ON image_id = n""",
     ),
     "crop_contours": _with(f"{_PIXELS},{_CONTOURS}", "SELECT contour_id, channel, CAST(y - y1 AS INTEGER) AS y, CAST(x - x1 AS INTEGER) AS x, CASE WHEN inside THEN v ELSE 0.0 END AS v FROM seen WHERE y >= y1 AND y < y2 AND x >= x1 AND x < x2"),

@@ -585,6 +585,6 @@ def task_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def task_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbour graphs as text, in the folders of their tasks and scales."""
+    """Coefficients, points and neighbour graphs as text files of their names, in the folders of their tasks and scales."""
     began = F.make_timestamp(F.lit(2024), F.lit(1) + F.col("task_id").cast("int") % 12, F.lit(1), F.col("task_id").cast("int") % 24, F.lit(30), F.lit(0))
-    return _of_task(_run(spark, sf_dir).files(F.col("s_name"), began.cast("timestamp_ntz")))
+    return _run(spark, sf_dir).files(F.col("s_name"), began.cast("timestamp_ntz"), ("coefs", "points", "neighbours"))

@@ -20,6 +20,7 @@ from linewave.storage import written
 
 FLAGS = ("rows", "cols", "max", "min")
 DEFAULT_K = 5
+KINDS = ("means", "coefs", "points", "neighbours")
 
 
 @dataclass
@@ -39,16 +40,30 @@ class TaskRun:
         k = self.tasks.select(F.col("task_id").alias("image_id"), "k")
         return near.join(k, "image_id").where("nbr_rank <= k").drop("k")
 
-    def files(self, name: Column, began: Column) -> DataFrame:
-        """(folder, group keys, line, text): the neighbour graphs as text, in the folder of their task and scale.
+    def files(self, name: Column, began: Column, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+        """(folder, file, line, text): the results as text files, in the folders of their tasks and scales.
 
-        ``name`` and ``began`` are columns of the tasks. Tasks whose k is 0 have no graph.
+        ``name`` and ``began`` are columns of the tasks. ``kinds`` are some of means, coefs, points and neighbours; means lie in the task's
+        own folder. Types without points and graphs of fewer than two have no file, tasks whose k is 0 no graphs.
         """
         own = self.tasks.select(F.col("task_id").alias("image_id"), "k", name.alias("_name"), began.alias("_began"))
-        points = self.points.join(own.select("image_id", "k").where("k > 0"), "image_id")
         label = scale_label(F.col("scale"), False)
-        text = sinks.neighbour_text(self.neighbours(), points, "k", label).join(own.drop("k"), "image_id")
-        return text.select(sinks.result_folder(F.col("_name"), F.col("_began"), label).alias("folder"), *GROUP, "line", "text")
+        task = sinks.task_folder(F.col("_name"), F.col("_began"))
+        scale = sinks.result_folder(F.col("_name"), F.col("_began"), label)
+        whole = sinks.coefficient_text(extrema.matrix_lines(self.coefs, 0)) if "coefs" in kinds else None
+        points = self.points.join(own.select("image_id", "k").where("k > 0"), "image_id") if "neighbours" in kinds else None
+        made = {
+            "means": lambda: (sinks.means_text(self.means), task, F.col("file")),
+            "coefs": lambda: (whole, scale, sinks.coefficient_file(label)),
+            "points": lambda: (sinks.point_text(self.points), scale, sinks.point_file(label)),
+            "neighbours": lambda: (sinks.neighbour_text(self.neighbours(), points, "k", label), scale, sinks.neighbour_file(label)),
+        }
+        out = None
+        for kind in kinds:
+            text, folder, file = made[kind]()
+            part = text.join(own.drop("k"), "image_id").select(folder.alias("folder"), file.alias("file"), F.col("line").cast("int").alias("line"), "text")
+            out = part if out is None else out.unionByName(part)
+        return out
 
 
 def is_ready(tasks: DataFrame) -> Column:

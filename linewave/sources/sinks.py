@@ -19,6 +19,11 @@ DIRECTIONS = ("Str", "Tr")
 ROOT_FOLDER, SCALE_FOLDER = "ВП_", "Scale_"
 CHANNEL_FILE = "Исходный_цветовой_канал_"
 KNN_HEAD = ("Масштаб: ", "Канал: ", "Тип экстремумов: ", "Количество соседей (k): ", "Всего точек: ")
+COLOUR_NAMES = ("Красный", "Зелёный", "Синий")
+COEFFICIENT_FILE = ("Расчет_вейвлетов_", "_Масштаб_")
+POINT_FILES = {"max_by_row": "Точки_максимума_по_строкам", "max_by_column": "Точки_максимума_по_cтолбцам", "min_by_row": "Точки_минимума_по_строкам", "min_by_column": "Точки_минимума_по_cтолбцам"}
+POINT_SCALE = "_масштаб_"
+KNN_FILE = ("KNN_", "_Info_Scale_", "_Channel_")
 KNN_CAPTION = "Индекс точки, X координата, Y координата, Индексы соседей, Расстояния до соседей"
 
 
@@ -63,10 +68,35 @@ def neighbour_text(neighbours: DataFrame, points: DataFrame, k: int | str, label
     return sizes.select(*GROUP, F.posexplode(head).alias("line", "text")).unionByName(body)
 
 
-def result_folder(task: Column, began: Column, label: Column) -> Column:
-    """Folder of a task's results at one scale: the day's root, the task with its time, the scale."""
+def _one_of(names: tuple[str, ...], at: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, names)), at + 1)
+
+
+def coefficient_file(label: Column) -> Column:
+    """Name of the file of a matrix' coefficients; ``label`` is how its scale is printed."""
+    return F.concat(F.lit(COEFFICIENT_FILE[0]), _one_of(DIRECTIONS, F.col("direction")), F.lit(COEFFICIENT_FILE[1]), label, F.lit("_"), _one_of(COLOUR_NAMES, F.col("channel")))
+
+
+def point_file(label: Column) -> Column:
+    """Name of the file of a matrix' points of one type."""
+    kind = F.create_map(*(F.lit(v) for pair in POINT_FILES.items() for v in pair))[F.col("extreme_type")]
+    return F.concat(_one_of(DIRECTIONS, F.col("direction")), F.lit("_"), kind, F.lit(POINT_SCALE), label, F.lit("_"), _one_of(COLOUR_NAMES, F.col("channel")))
+
+
+def neighbour_file(label: Column) -> Column:
+    """Name of the file of a matrix' neighbour graph of one type."""
+    return F.concat(F.lit(KNN_FILE[0]), _one_of(DIRECTIONS, F.col("direction")), F.lit(KNN_FILE[1]), label, F.lit(KNN_FILE[2]), colour_name(F.col("channel")), F.lit("_"), F.col("extreme_type"))
+
+
+def task_folder(task: Column, began: Column) -> Column:
+    """Folder of a task's results: the day's root, the task with its time."""
     at = F.date_format(began, "dd_MM_yyyy_HH_mm")
-    return F.concat(F.lit(ROOT_FOLDER), at, F.lit("/"), task, F.lit(" "), at, F.lit("/" + SCALE_FOLDER), label)
+    return F.concat(F.lit(ROOT_FOLDER), at, F.lit("/"), task, F.lit(" "), at)
+
+
+def result_folder(task: Column, began: Column, label: Column) -> Column:
+    """Folder of a task's results at one scale, within :func:`task_folder`."""
+    return F.concat(task_folder(task, began), F.lit("/" + SCALE_FOLDER), label)
 
 
 def save_text(text: DataFrame, path: str, folders: list[str]) -> None:

@@ -48,9 +48,9 @@ def test_files_lie_in_the_folder_of_task_and_scale(spark):
     files = run_tasks(pictures(spark), tasks).files(F.col("name"), F.expr("timestamp_ntz'2024-03-05 07:08:09'"))
     folders = {r.folder for r in files.select("folder").distinct().collect()}
     at = "05_03_2024_07_08"
-    assert folders == {f"ВП_{at}/{t} {at}/Scale_{s}" for t, s in (("T10", 1.0), ("T10", 2.0), ("T11", 4.0), ("T11", 1.5), ("T12", 3.0))}
-    heads = {(r.image_id, r.text) for r in files.where("line = 3").collect()}
-    assert heads == {(10, "Количество соседей (k): 3"), (11, "Количество соседей (k): 5"), (12, "Количество соседей (k): 1")}
+    assert folders == {f"ВП_{at}/{t} {at}/Scale_{s}" for t, s in (("T10", 1.0), ("T10", 2.0), ("T11", 4.0), ("T11", 1.5), ("T12", 3.0), ("T13", 2.0))} | {f"ВП_{at}/T{t} {at}" for t in (10, 11, 12, 13)}
+    heads = {(r.folder.split("/")[1][:3], r.text) for r in files.where("line = 3 and file like 'KNN%'").collect()}
+    assert heads == {("T10", "Количество соседей (k): 3"), ("T11", "Количество соседей (k): 5"), ("T12", "Количество соседей (k): 1")}
 
 
 def test_unready_tasks_are_refused_or_left_out(spark):
