@@ -47,8 +47,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[list(SPACES)] = True
-#: Hashes of words that were met before, short ones and a bounded number.
-_known: dict[bytes, int] = {}
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -61,16 +59,29 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _hash_words(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words of ``data``.
+
+    Words of up to 8 bytes are one number and its mixture, so unlike ones of a length never collide; a second number is mixed in
+    for words of up to 16. Longer ones, few in number, are hashed by BLAKE2: no algebra makes two of them alike.
+    """
+    size = ends - starts
+    eights = np.ndarray((len(data) + 9,), "<u8", data + bytes(16), 0, (1,))
+    kept = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+    first = eights[starts] & kept[np.minimum(size, 8)]
+    out = mix64(first + np.uint64(0xA0761D6478BD642F))
+    more = np.flatnonzero(size > 8)
+    second = eights[starts[more] + 8] & kept[np.minimum(size[more], 16) - 8]
+    out[more] = mix64(out[more] * np.uint64(0xE7037ED1A0B428DB) ^ (second + np.uint64(0x8EBC6AF09C88C6E3)))
+    out = mix64(out + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    for i in np.flatnonzero(size > 16).tolist():
+        out[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
 def hash_of_word(word: bytes) -> int:
-    """64 bits of the word's BLAKE2 hash: no known words collide, and none are found by algebra."""
-    found = _known.get(word)
-    if found is None:
-        found = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= 64:
-            if len(_known) >= 1 << 17:
-                _known.clear()
-            _known[word] = found
-    return found
+    """The hash that :func:`word_hashes` gives this word."""
+    return int(_hash_words(word, np.array([0]), np.array([len(word)]))[0])
 
 
 def _hash_piece(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -82,13 +93,7 @@ def _hash_piece(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
         return np.empty(0, dtype=np.uint64), starts
-    # Words and the white space after them, in turn; each distinct word is hashed once.
-    offsets = np.empty(2 * len(starts) + 1, dtype=np.int64)
-    offsets[::2], offsets[1::2] = np.append(starts, len(data)), ends
-    cut = pa.Array.from_buffers(pa.large_binary(), 2 * len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-    coded = cut.take(pa.array(np.arange(0, 2 * len(starts), 2))).dictionary_encode()
-    own = np.fromiter(map(hash_of_word, coded.dictionary.to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
-    return own[coded.indices.to_numpy(zero_copy_only=False)], starts
+    return _hash_words(data, starts, ends), starts
 
 
 def word_hashes(data: bytes, piece: int = 1 << 20, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
