@@ -2,6 +2,7 @@
 
 import os
 import re
+import time
 
 import numpy as np
 import pytest
@@ -142,3 +143,33 @@ def test_nearest_with_many_points_at_one_place(spark):
     points = [("a", i, 5, 5) for i in range(40)] + [("a", 40 + i, 5 + i, 5) for i in range(1, 9)] + [("a", 60, 300, 300), ("a", 61, 300, 301)]
     got = neighbors.nearest(spark.createDataFrame(points, POINTS), 3, ["g"])
     assert sorted(((r.g, r.point_idx, r.nbr_rank, r.nbr_idx, r.distance) for r in got.collect()), key=str) == brute_nearest(points, 3)
+
+
+@pytest.mark.parametrize("scale", [31.0, 45.0, 90.0])
+def test_wide_kernels_equal_the_direct_sum(scale):
+    rng = np.random.RandomState(int(scale))
+    pad = transform.padding([scale])
+    sizes = np.array([100_000, pad, 7000])
+    flat = rng.randint(0, 256, sizes.sum()).astype(float) - 127
+    got, lo = transform.coefficients(flat, sizes, scale, pad), 0
+    for n in sizes:
+        own = flat[lo : lo + n]
+        wide = np.concatenate([own[:pad][::-1], own, own[-pad:][::-1]])
+        w = transform.taps(scale)
+        r = len(w) // 2
+        edge = max(0, r - pad)
+        direct = np.convolve(np.pad(wide, edge), w, "valid")[max(0, pad - r) :][:n]
+        assert np.abs(got[lo : lo + n] - direct).max() < 1e-10
+        lo += n
+
+
+def test_wide_kernels_take_less_time_than_their_width():
+    flat, sizes = np.random.RandomState(1).rand(400_000), np.array([400_000])
+
+    def took(scale):
+        transform.coefficients(flat, sizes, scale, 0)
+        began = time.perf_counter()
+        transform.coefficients(flat, sizes, scale, 0)
+        return time.perf_counter() - began
+
+    assert took(800.0) < 6 * took(50.0) + 0.5  # 16 times as wide
