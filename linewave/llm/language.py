@@ -402,13 +402,12 @@ def fit_languages(
             piece, language = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([-1, *piece], pa.int64()), pa.array([-1, *language], pa.int64()), pa.array([log, *total[piece, language]])], names=["piece", "language", "n"])
 
-        counts, likelihood = np.zeros(shape), 0.0
         # Summed in thousandths as integers, so that the order of tasks cannot change the result.
-        for r in words.mapInArrow(expect, "piece long, language long, n double").groupBy("piece", "language").agg(F.sum(F.round(F.col("n") * 1000).cast("long")).alias("n")).collect():
-            if r.piece < 0:
-                likelihood = r.n / 1000
-            else:
-                counts[r.piece, r.language] = r.n / 1000
+        sums = words.mapInArrow(expect, "piece long, language long, n double").groupBy("piece", "language").agg(F.sum(F.round(F.col("n") * 1000).cast("long")).alias("n")).toArrow()
+        piece, language, n = (sums.column(c).to_numpy() for c in ("piece", "language", "n"))
+        counts, own = np.zeros(shape), piece >= 0
+        counts[piece[own], language[own]] = n[own] / 1000
+        likelihood = n[~own].sum() / 1000
         counts[:-2] += 0.05
         counts[-2:] = 0
         new = counts / counts.sum(axis=0)
