@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from linewave.functions.scalars import colours_selected, scale_label
 from linewave.operators import color, extrema, lines, neighbors, transform
-from linewave.operators.neighbors import GROUP
 from linewave.sources import sinks
 from linewave.storage import written
 
