@@ -35,3 +35,11 @@ def test_coefficients_of_the_tasks_are_never_written(spark):
         wrote.append(_sizes(block))
         block.clear()
     assert wrote[1]["coefs"] == wrote[0]["coefs"] and wrote[1]["waves"] == wrote[0]["waves"]
+
+
+def test_small_groups_are_searched_without_scratch_tables(spark):
+    with Scratch(spark) as block:
+        run = plan.run_tasks(pictures(spark), spark.createDataFrame(TASKS, SCHEMA))
+        assert run.neighbours().where("nbr_rank = 1").count() > 0
+    assert set(_sizes(block)) == {"settings", "tasks", "coefs", "waves"}
+    block.clear()
