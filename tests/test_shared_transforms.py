@@ -2,7 +2,6 @@
 
 import os
 
-import pytest
 from pyspark.sql import functions as F
 
 from linewave.operators import neighbors
@@ -43,3 +42,11 @@ def test_small_groups_are_searched_without_scratch_tables(spark):
         assert run.neighbours().where("nbr_rank = 1").count() > 0
     assert set(_sizes(block)) == {"settings", "tasks", "coefs", "waves"}
     block.clear()
+
+
+def test_coefficients_need_no_points(spark):
+    with Scratch(spark) as block:
+        run = plan.run_tasks(pictures(spark), spark.createDataFrame(TASKS[:1], SCHEMA))
+        assert run.coefficients(3).count() == 2 * 3 * (40 + 36)
+    assert "points" not in _sizes(block)
+    block.clear()
