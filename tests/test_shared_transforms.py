@@ -50,3 +50,12 @@ def test_coefficients_need_no_points(spark):
         assert run.coefficients(3).count() == 2 * 3 * (40 + 36)
     assert "points" not in _sizes(block)
     block.clear()
+
+
+def test_matrices_beyond_one_block_give_the_same(spark, monkeypatch):
+    tasks = spark.createDataFrame(TASKS[:2], SCHEMA)
+    columns = [*neighbors.GROUP, "point_idx", "x", "y", "n", "nn", "k"]
+    want = {str(r) for r in plan.run_tasks(pictures(spark), tasks).graph().select(*columns).collect()}
+    monkeypatch.setattr(plan, "BLOCK", 300)
+    run = plan.run_tasks(pictures(spark), tasks)
+    assert run._beyond and {str(r) for r in run.graph().select(*columns).collect()} == want
