@@ -18,3 +18,10 @@ def test_edges_of_a_graph_need_no_join(spark):
     want, got = neighbors.edges(neighbors.nearest(points, 5), points), neighbors.graph_edges(neighbors.graph(points, 5))
     assert got.columns == want.columns and [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
     assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 4 * 3 + 90 * 5
+
+
+def test_text_of_a_graph_needs_no_join(spark):
+    points, label = dots(spark), F.col("scale").cast("string")
+    want = sinks.neighbour_text(neighbors.nearest(points, 5), points, 5, label)
+    got = sinks.graph_text(neighbors.graph(points, 5), 5, label)
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
