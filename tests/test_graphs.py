@@ -25,3 +25,10 @@ def test_text_of_a_graph_needs_no_join(spark):
     want = sinks.neighbour_text(neighbors.nearest(points, 5), points, 5, label)
     got = sinks.graph_text(neighbors.graph(points, 5), 5, label)
     assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+
+
+def test_small_and_large_groups_give_the_same(spark, monkeypatch):
+    points = dots(spark).withColumn("channel", F.when(F.col("image_id") != 3, F.col("channel")))
+    want = {str(r) for r in neighbors.graph(points, 5).collect()}
+    monkeypatch.setattr(neighbors, "SMALL", 50)
+    assert {str(r) for r in neighbors.graph(points, 5).collect()} == want and len(want) == 94
