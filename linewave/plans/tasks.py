@@ -38,7 +38,7 @@ _GROUP = "image_id long, direction int, channel int, scale double"
 
 @dataclass
 class _Step:
-    """Some tasks' coefficients of a block of lines: ``values`` (tasks, channels, values), the lines one behind the other."""
+    """Some tasks' coefficients of a block of lines: ``values`` (sets, channels, values), the lines one behind the other, each set once; ``which`` is a task's."""
 
     axis: int
     direction: int
@@ -51,23 +51,22 @@ class _Step:
     asked: np.ndarray
     notes: pa.Array
     values: np.ndarray
-    #: Whether all tasks have the same values, as none changes the basis.
-    same: bool
+    which: np.ndarray
 
     def keys(self, task: np.ndarray, channel: np.ndarray) -> list[pa.Array]:
         """Matrix keys of rows of these tasks and channels (places in the arrays)."""
         n = len(task)
         return [pa.array(self.tasks[task]), pa.array(np.full(n, self.direction, np.int32)), pa.array(self.channels[channel]), pa.array(np.full(n, self.scale))]
 
-    def peaks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(place of the type in TYPES, matrix = task * channels + channel, line, position) of the asked-for peaks, in order."""
-        each = transform.rounded_values(self.values[:1] if self.same else self.values)
+    def peaks(self) -> Iterator[_Peaks]:
+        """The peaks of the asked-for types."""
+        each = transform.rounded_values(self.values)
         own, n_channels = len(self.sizes), len(self.channels)
-        for at, (axis, sign) in enumerate(extrema.TYPES.values()):
-            asked = np.flatnonzero(self.asked[:, at])
+        for kind, (axis, sign) in extrema.TYPES.items():
+            asked = np.flatnonzero(self.asked[:, list(extrema.TYPES).index(kind)])
             if axis != self.axis or not len(asked):
                 continue
-            parts, among = [], np.zeros(1, dtype=np.int64) if self.same else asked
+            parts, among = [], np.unique(self.which[asked])
             step = max(1, CACHED // max(1, each[0].size))
             for lo in range(0, len(among), step):
                 some = among[lo : lo + step]
@@ -77,9 +76,49 @@ class _Step:
                 matrix = line // own
                 parts.append((some[matrix // n_channels] * n_channels + matrix % n_channels, self.lines[line % own], pos))
             matrix, line, pos = (np.concatenate(p) for p in zip(*parts))
-            if self.same:
-                matrix, line, pos = np.repeat(asked * n_channels, len(matrix)) + np.tile(matrix, len(asked)), np.tile(line, len(asked)), np.tile(pos, len(asked))
-            yield at, matrix, line, pos
+            groups, first, sizes = np.unique(matrix, return_index=True, return_counts=True)
+            idx = np.arange(len(matrix)) - np.repeat(first, sizes)
+            begin = np.searchsorted(matrix, self.which[asked] * n_channels)
+            at, point = spread(begin, np.searchsorted(matrix, (self.which[asked] + 1) * n_channels) - begin)
+            yield _Peaks(self, kind, matrix, *((pos, line) if axis == 0 else (line, pos)), idx, groups, sizes, asked[at], point)
+
+
+@dataclass
+class _Peaks:
+    """Points of one type of a step: (matrix = set * channels + channel, x, y, idx), in order, with the sizes of the matrices that have any; rows ``point`` of them are those of the tasks ``task``."""
+
+    step: _Step
+    kind: str
+    matrix: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+    idx: np.ndarray
+    groups: np.ndarray
+    sizes: np.ndarray
+    task: np.ndarray
+    point: np.ndarray
+
+    def keys(self, row: np.ndarray | slice = slice(None)) -> list[pa.Array]:
+        """Group keys of the tasks' rows, or of some of them."""
+        task = self.task[row]
+        return [*self.step.keys(task, self.matrix[self.point[row]] % len(self.step.channels)), pa.repeat(self.kind, len(task))]
+
+    def near(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(counts, at, far, rank): the neighbours of the tasks' rows, as many as each task asks for; a set is searched once, for the most that any does."""
+        own = self.step.k[self.task]
+        k = np.zeros(len(self.groups), dtype=np.int64)
+        group = np.repeat(np.arange(len(self.groups)), self.sizes)
+        np.maximum.at(k, group[self.point], own)
+        counts, at, far = neighbors.near_lists(self.x.astype(np.int64), self.y.astype(np.int64), self.idx, self.sizes, k)
+        begin, many = (np.cumsum(counts) - counts)[self.point], np.minimum(np.maximum(own, 0), counts[self.point])
+        row, listed = spread(begin, many)
+        return many, at[listed], far[listed], listed - begin[row]
+
+
+def spread(begin: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, number) of the numbers of ranges that begin at ``begin`` and have ``counts`` each."""
+    which = np.repeat(np.arange(len(counts)), counts)
+    return which, np.arange(len(which)) + np.repeat(begin - (np.cumsum(counts) - counts), counts)
 
 
 def _steps(batch: pa.RecordBatch) -> Iterator[_Step]:
@@ -93,18 +132,25 @@ def _steps(batch: pa.RecordBatch) -> Iterator[_Step]:
             raise ValueError("the channels of an image must have the same lines")
         raw = of("c", row).to_numpy().reshape(len(channels), -1)
         own = of("own", row)
+        bases = None
+        if channel < 0:
+            bases = own.field(3).flatten().to_numpy().reshape(-1, 9)
+            order = np.lexsort(bases.T)
+            if (bases[order[1:]] == bases[order[:-1]]).all(axis=1).any():
+                # Tasks of one basis lie together.
+                own, bases = own.take(pa.array(order)), bases[order]
         tasks, k, asked, notes = (own.field(i) for i in (0, 1, 2, 4))
         asked = asked.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(extrema.TYPES))
-        bases = None if channel >= 0 else own.field(3).flatten().to_numpy().reshape(-1, 3, 3)
         each = max(1, VALUES // max(1, raw.size))
         for lo in range(0, len(tasks), each):
             some = slice(lo, lo + each)
             if bases is None:
-                values = np.broadcast_to(raw, (len(tasks[some]), *raw.shape))
+                which, values = np.zeros(len(tasks[some]), dtype=np.int64), raw[None]
             else:
-                b = bases[some, :, :, None]
+                new = np.concatenate([[True], (bases[some][1:] != bases[some][:-1]).any(axis=1)])
+                which, b = np.cumsum(new) - 1, bases[some][new].reshape(-1, 3, 3, 1)
                 values = b[:, 0] * raw[0] + b[:, 1] * raw[1] + b[:, 2] * raw[2]
-            yield _Step(axis, direction, scale, at[0], sizes[0].astype(np.int64), channels, tasks[some].to_numpy(), k[some].to_numpy().astype(np.int64), asked[some], notes[some], values + 0.0, bases is None)
+            yield _Step(axis, direction, scale, at[0], sizes[0].astype(np.int64), channels, tasks[some].to_numpy(), k[some].to_numpy().astype(np.int64), asked[some], notes[some], values + 0.0, which)
 
 
 def _coefficients(digits: int | None, text: bool = False):
@@ -114,7 +160,8 @@ def _coefficients(digits: int | None, text: bool = False):
                 n_tasks, n_channels, n = len(s.tasks), len(s.channels), len(s.lines)
                 place = np.arange(n_tasks * n_channels * n)
                 ends = np.concatenate([[0], np.cumsum(np.tile(s.sizes, n_tasks * n_channels))]).astype(np.int32)
-                values = s.values if digits is None or text else transform.rounded_values(s.values, digits)
+                values = (s.values if digits is None or text else transform.rounded_values(s.values, digits))
+                values = values if len(values) == n_tasks else values[s.which]
                 task = place // (n * n_channels)
                 arrays = [*s.keys(task, place // n % n_channels), pa.array(s.lines[place % n], pa.int32()), sinks.decimals(values.ravel(), ends, digits) if text else pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel())), s.notes.take(pa.array(task))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*transform.KEYS, "text" if text else "c", "note"])
@@ -122,33 +169,34 @@ def _coefficients(digits: int | None, text: bool = False):
     return run
 
 
-def _at(axis: int, line: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (pos, line) if axis == 0 else (line, pos)
-
-
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for s in _steps(batch):
-            for kind, matrix, line, pos in s.peaks():
-                first = np.searchsorted(matrix, matrix)
-                x, y = _at(s.axis, line, pos)
-                task = matrix // len(s.channels)
-                own = [pa.array([list(extrema.TYPES)[kind]] * len(matrix), pa.string()), pa.array(np.arange(len(matrix)) - first, pa.int32()), pa.array(x, pa.int32()), pa.array(y, pa.int32()), s.notes.take(pa.array(task))]
-                yield pa.RecordBatch.from_arrays([*s.keys(task, matrix % len(s.channels)), *own], names=[*neighbors.GROUP, "point_idx", "x", "y", "note"])
+            for p in s.peaks():
+                own = [pa.array(v[p.point], pa.int32()) for v in (p.idx, p.x, p.y)]
+                yield pa.RecordBatch.from_arrays([*p.keys(), *own, s.notes.take(pa.array(p.task))], names=[*neighbors.GROUP, "point_idx", "x", "y", "note"])
 
 
 def _graphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for s in _steps(batch):
-            for kind, matrix, line, pos in s.peaks():
-                groups, first, sizes = np.unique(matrix, return_index=True, return_counts=True)
-                idx = np.arange(len(matrix)) - np.repeat(first, sizes)
-                x, y = (v.astype(np.int64) for v in _at(s.axis, line, pos))
-                counts, at, far = neighbors.near_lists(x, y, idx, sizes, s.k[groups // len(s.channels)])
-                nn = neighbors.list_array(counts, at, far, x, y, idx)
-                task = matrix // len(s.channels)
-                own = [pa.array([list(extrema.TYPES)[kind]] * len(matrix), pa.string()), pa.array(idx, pa.int32()), pa.array(x), pa.array(y), pa.array(np.repeat(sizes, sizes)), nn, pa.array(s.k[task], pa.int32()), s.notes.take(pa.array(task))]
-                yield pa.RecordBatch.from_arrays([*s.keys(task, matrix % len(s.channels)), *own], names=[*neighbors.GROUP, "point_idx", "x", "y", "n", "nn", "k", "note"])
+            for p in s.peaks():
+                counts, at, far, _ = p.near()
+                x, y = p.x.astype(np.int64), p.y.astype(np.int64)
+                nn = neighbors.list_array(counts, at, far, x, y, p.idx)
+                n = np.repeat(p.sizes, p.sizes)
+                own = [pa.array(p.idx[p.point], pa.int32()), *(pa.array(v[p.point]) for v in (x, y, n)), nn, pa.array(s.k[p.task], pa.int32()), s.notes.take(pa.array(p.task))]
+                yield pa.RecordBatch.from_arrays([*p.keys(), *own], names=[*neighbors.GROUP, "point_idx", "x", "y", "n", "nn", "k", "note"])
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for s in _steps(batch):
+            for p in s.peaks():
+                counts, at, far, rank = p.near()
+                row = np.repeat(np.arange(len(counts)), counts)
+                own = [pa.array(v, pa.int32()) for v in (p.idx[p.point[row]], rank + 1, p.idx[at])]
+                yield pa.RecordBatch.from_arrays([*p.keys(row), *own, pa.array(np.sqrt(far.astype(float)))], names=neighbors.NEIGHBOURS)
 
 
 @dataclass
@@ -220,16 +268,18 @@ class TaskRun:
     def graph(self, note: Column | None = None) -> DataFrame:
         """(matrix keys, extreme_type, point_idx, x, y, n, nn, k, note): every point with its task's k nearest neighbours; points of none are left out."""
         near = self._met(F.col("whole"), note).mapInArrow(_graphs, f"{_GROUP}, extreme_type string, {neighbors.LISTS}, k int, note string")
-        if self._beyond:
-            most = self.tasks.agg(F.max("k").alias("k")).first().k or 0
-            more = self._named(neighbors.graph(self._large, max(0, most)), note, F.col("k").cast("int").alias("k"))
-            near = near.unionByName(more.withColumn("nn", F.slice("nn", F.lit(1), F.greatest(F.lit(0), F.col("k")))))
-        return near.where(F.size("nn") > 0)
+        return (near.unionByName(self._large_graph(note)) if self._beyond else near).where(F.size("nn") > 0)
+
+    def _large_graph(self, note: Column | None = None) -> DataFrame:
+        """:meth:`graph` of the matrices beyond one block."""
+        most = self.tasks.agg(F.max("k").alias("k")).first().k or 0
+        more = self._named(neighbors.graph(self._large, max(0, most)), note, F.col("k").cast("int").alias("k"))
+        return more.withColumn("nn", F.slice("nn", F.lit(1), F.greatest(F.lit(0), F.col("k"))))
 
     def neighbours(self) -> DataFrame:
         """The k nearest neighbours of every point, k being its task's."""
-        each = self.graph().select(*neighbors.GROUP, "point_idx", F.posexplode("nn").alias("r", "s"))
-        return each.select(*neighbors.GROUP, "point_idx", (F.col("r") + 1).alias("nbr_rank"), F.col("s.i").alias("nbr_idx"), F.sqrt(F.col("s.d").cast("double")).alias("distance"))
+        near = self._met(F.col("whole")).mapInArrow(_neighbours, f"{_GROUP}, extreme_type string, {neighbors.RANKED}")
+        return near.unionByName(neighbors.ranked(self._large_graph())) if self._beyond else near
 
     def files(self, name: Column, began: Column, kinds: tuple[str, ...] = KINDS) -> DataFrame:
         """(folder, file, line, text): the results as text files, in the folders of their tasks and scales.
