@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from linewave.operators import neighbors
+from linewave.operators import extrema, neighbors
 from linewave.plans import tasks as plan
 
 OWN = pa.struct([("task_id", pa.int64()), ("k", pa.int32()), ("asked", pa.list_(pa.bool_())), ("basis", pa.list_(pa.float64())), ("note", pa.string())])
@@ -57,3 +57,15 @@ def test_equal_tasks_are_searched_once(monkeypatch):
             rows(plan._graphs, block(own, channel))
         costs.append(sum(sought))
     assert costs[0] == costs[1] > 0
+
+
+def test_peaks_of_equal_tasks_are_sought_once(monkeypatch):
+    sought = []
+    envelopes = extrema.upper_envelopes
+    monkeypatch.setattr(extrema, "upper_envelopes", lambda flat, *more: sought.append(len(flat)) or envelopes(flat, *more))
+    costs = []
+    for n in (1, 60):
+        sought.clear()
+        found = rows(plan._points, block([(t, 3, ALL, FIRST) for t in range(n)]))
+        costs.append((sum(sought), len(found) // n))
+    assert costs[0] == costs[1] and costs[0][0] == 2 * 3 * 12 * 40
