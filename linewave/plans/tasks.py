@@ -322,6 +322,7 @@ def run_tasks(rows: DataFrame, tasks: DataFrame, skip: bool = False) -> TaskRun:
         raise ValueError(f"task {waiting.task_id} has no image or no scales")
     other = [c for c in tasks.columns if c not in (*FLAGS, "k", "scales")]
     own = tasks.where(ready).select(*other, F.col("scales").cast("array<double>").alias("scales"), F.coalesce("k", F.lit(DEFAULT_K)).alias("k"), *map(flag, FLAGS))
+    own = own.repartition(tasks.sparkSession.sparkContext.defaultParallelism)  # a small file of tasks has many bases to work out
     basis = F.when(colours_selected(F.col("color1"), F.col("color2")), color.basis_of(F.col("color1"), F.col("color2")))
     own = own.withColumn("basis", basis).withColumn("changed", F.col("basis").isNotNull())
     same = ["image_id", "scales", "changed"]
